@@ -58,7 +58,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
 
     A source whose target is c times its size first gives floor(c) whole copies of every row.
     The rest of the target is met by one more copy of the rows of lowest Pareto rank,
-    (u / (1 - u)) / (p / (1 - p)), as many as come nearest to it in words; u is a hash of doc_id,
+    (u / (1 - u)) / (p / (1 - p)), as many as come nearest to it in words, and one row more or fewer, that whose size is nearest to
+    what is missing still; u is a hash of doc_id,
     row text length and seed, so reruns agree; p is c - floor(c), times `inclusion` where that is
     given (a positive column of docs, mean about 1), kept below 1. Rows of a whole-number c get no
     more. Null texts and blank texts have size 0 and take no words. A null source is a source of
@@ -85,6 +86,14 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
     inside = r.where("q is not null and bin = edge").select("source", "row", "q", "size", "before", "left")
     run = F.sum("size").over(W.partitionBy("source").orderBy("q", "row").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
     chosen = inside.withColumn("run", run).where("run - size < left and run - left <= left - (run - size)").select("row", F.lit(1).alias("more"))
-    copies = F.col("whole") + F.when(F.col("bin") < F.col("edge"), 1).otherwise(F.coalesce("more", F.lit(0)))
-    return r.join(chosen, "row", "left").withColumn("copies", copies.cast("long")).select(
+    more = F.when(F.col("bin") < F.col("edge"), 1).otherwise(F.coalesce("more", F.lit(0)))
+    drawn = written(r.join(chosen, "row", "left").withColumn("more", F.when(F.col("q").isNotNull(), more).otherwise(0)), "drawn")
+    gaps = drawn.where("q is not null").groupBy("source").agg((F.first("left") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
+    d = drawn.alias("d").join(gaps.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
+    miss = F.abs(F.abs("gap") - F.col("size"))
+    d = d.where("q is not null and size > 0 and more = if(gap > 0, 0, 1)").where(miss < F.abs("gap"))
+    last_row = written(d.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(1).alias("turn")), "last")
+    final = drawn.join(last_row, "row", "left")
+    copies = F.col("whole") + F.when(F.col("turn") == 1, 1 - F.col("more")).otherwise(F.col("more"))
+    return final.withColumn("copies", copies.cast("long")).select(
         "doc_id", "source", "row", "size", F.col("source_size").cast("long"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
