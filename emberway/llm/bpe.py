@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -13,10 +14,20 @@ from pyspark.sql import DataFrame
 
 from emberway.llm._words import BLOCK
 
-CACHE = 300_000  #: pieces of text that a worker remembers
+CACHE = 800_000  #: pieces of text, and words, that a worker remembers: about 300 MB
 REMEMBERED = 200  #: characters of the longest piece that is remembered
 
 
+NONE, POSITION = 1 << 62, (1 << 32) - 1
+FAN = 16  #: children of a node
+
+
+@lru_cache(2)
+def shared(path: str, pattern: str) -> ByteBpe:
+    """One coder for all tasks of a worker, so that they have its memory of pieces in common."""
+    return ByteBpe(path, pattern)
+
+
 class ByteBpe:
     """Encoder and decoder for a rank file; pattern splits a text before the merges."""
 
@@ -26,52 +37,51 @@ class ByteBpe:
         self.vocab = {v: k for k, v in self.ranks.items()}
         self.strings = {v: str(v) for v in self.vocab}
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one match: again and again the leftmost pair of the lowest rank is merged.
 
         Leaf i of the tree holds the rank of the pair that begins at byte i, an inner node the
-        smaller of its children, the left one if equal. A merge changes three leaves: the pair's
-        own, that of the token to its left, and that of the token merged away; each is updated up
-        to the root.
+        least of its FAN children, the leftmost one if equal. A merge changes three leaves: the
+        pair's own, that of the token to its left, and that of the token merged away; the nodes
+        above them are taken anew, up to the root.
         """
         ranks = self.ranks
         if (whole := ranks.get(word)) is not None:
             return [whole]
-        n, none = len(word), len(ranks)
-        end = list(range(1, n + 1))  # of the live token that begins at i
-        prev = list(range(-1, n - 1))
-        size = 1 << (n - 1).bit_length()
-        rank = [ranks.get(word[i : i + 2], none) for i in range(n - 1)]
-        tree = [(none, n)] * size + [(r, i) for i, r in enumerate(rank)] + [(none, n)] * (size - n + 1)
-        for k in range(size - 1, 0, -1):
-            left, right = tree[2 * k], tree[2 * k + 1]
-            tree[k] = left if left <= right else right
-
-        def put(i: int, r: int) -> None:
-            k = size + i
-            tree[k] = (r, i)
-            while k > 1:
-                k >>= 1
-                left, right = tree[2 * k], tree[2 * k + 1]
-                best = left if left <= right else right
-                if tree[k] == best:
-                    break
-                tree[k] = best
-
-        while tree[1][0] < none:
-            i = tree[1][1]
+        n, get = len(word), ranks.get
+        end = list(range(1, n + 2))  # of the live token that begins at i
+        prev = list(range(-1, n))
+        # a leaf is rank * 2**32 + position, so that the lesser of two is the lower rank, or the one further left
+        leaves = [NONE] * n
+        for i in range(n - 1):
+            if (r := get(word[i : i + 2])) is not None:
+                leaves[i] = r << 32 | i
+        tree = [leaves]
+        while len(tree) == 1 or len(tree[-1]) > 1:
+            tree.append([min(tree[-1][k : k + FAN]) for k in range(0, len(tree[-1]), FAN)])
+        root = tree[-1]
+        while (top := root[0]) != NONE:
+            i = top & POSITION
             gone = end[i]
             end[i] = stop = end[gone]
-            put(gone, none)
+            leaves[gone] = leaves[i] = NONE
             if stop < n:
                 prev[stop] = i
-                put(i, ranks.get(word[i : end[stop]], none))
-            else:
-                put(i, none)
+                if (r := get(word[i : end[stop]])) is not None:
+                    leaves[i] = r << 32 | i
             if (p := prev[i]) >= 0:
-                put(p, ranks.get(word[p:stop], none))
+                leaves[p] = NONE if (r := get(word[p:stop])) is None else r << 32 | p
+            if n <= FAN:
+                root[0] = min(leaves)
+                continue
+            nodes = {gone // FAN, i // FAN, max(p, 0) // FAN}
+            for below, own in zip(tree, tree[1:]):
+                for k in nodes:
+                    own[k] = min(below[k * FAN : (k + 1) * FAN])
+                nodes = {k // FAN for k in nodes}
         out, i = [], 0
         while i < n:
             out.append(ranks[word[i : end[i]]])
@@ -79,30 +89,42 @@ class ByteBpe:
         return out
 
     def piece(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.merged(m.encode()) for m in self.find(text)))
+        known, out = self.words, []
+        if len(known) > CACHE:
+            known.clear()
+        for m in self.find(text):
+            if (ids := known.get(m)) is None:
+                ids = tuple(self.merged(m.encode()))
+                if len(m) <= REMEMBERED:
+                    known[m] = ids
+            out += ids
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text. A single space between two characters that are no white space begins a
         match in any case, so that the text's pieces between such spaces can be encoded alone."""
-        known, out, kept = self.known, [], ""
+        known, out = self.known, []
         if len(known) > CACHE:
             known.clear()
-        for i, part in enumerate(text.split(" ")):
-            part = " " + part if i else part
-            if kept or not part[1:] or part[1].isspace() or part[-1].isspace() or part[0].isspace() and not i:
-                kept += part  # white space at an edge: goes with what follows
-                if kept[-1].isspace():
-                    continue
-                part, kept = kept, ""
-            if (ids := known.get(part)) is None:
-                ids = self.piece(part)
-                if len(part) <= REMEMBERED:
-                    known[part] = ids
-            out.append(ids)
-        if kept:
-            out.append(self.piece(kept))
+        get = known.get
+        rest = iter(text.split(" "))
+        now = next(rest)
+        for part in rest:
+            if part and now and not part[0].isspace() and not now[-1].isspace():
+                out.append(get(now) or self.remembered(now))
+                now = " " + part
+            else:
+                now += " " + part
+        if now:
+            out.append(get(now) or self.remembered(now))
         return list(chain.from_iterable(out))
 
+    def remembered(self, text: str) -> tuple[int, ...]:
+        ids = tuple(self.piece(text))
+        if len(text) <= REMEMBERED:
+            self.known[text] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
 
@@ -121,7 +143,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
     schema = "doc_id long" + ", ids array<int>" * ids + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = shared(path, pattern)
         for batch in batches:
             for rows in parts(batch):
                 out = []

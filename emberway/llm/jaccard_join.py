@@ -94,11 +94,12 @@ def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(docs: DataFrame, frequent: HashSet) -> DataFrame:
-    """token, identity: of each set as many tokens as it can spare and one, in one order of all tokens, frequent ones last.
+    """token, identity, size, at: of each set as many tokens as it can spare and one, in one order of all tokens, frequent ones last.
 
-    Two linked sets share a token of these.
+    Two linked sets share a token of these; size is the set's, at the token's place in the order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    schema = "token long, identity long, size int, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +112,39 @@ def prefixes(docs: DataFrame, frequent: HashSet) -> DataFrame:
                 fresh = np.zeros(len(s.size), bool)
                 fresh[np.unique(s.identity, return_index=True)[1]] = True
                 take = (place < spare[s.row]) & fresh[s.row]
-                yield _batch([s.token[order][take].view(np.int64), s.identity[s.row[take]]], "token long, identity long")
+                own = s.row[take]
+                yield _batch([s.token[order][take].view(np.int64), s.identity[own], s.size[own].astype(np.int32), place[take].astype(np.int32)], schema)
 
-    return docs.select("text").mapInArrow(run, "token long, identity long")
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def regions(token: DataFrame) -> DataFrame:
+    """region, identity: the sets of each pivot's region that could be linked within it, two at least.
+
+    A token's sets are cut where sizes, in order, part by more than linked sets' may. Of a cut's
+    sets those cannot be linked by way of this token as the first one they share whose shingles
+    from there on are too few for the smallest set in reach. The cut's pivot is, of the others,
+    that of least identity, a random one; its region is that of all cuts that it is pivot of.
+
+    Linked sets of sizes n and m share, of both prefixes, all of their ceil((n + m) * NUM / (NUM + DEN))
+    shingles but those that the longer of the two rests can hold. A set goes from a region if all
+    its tokens that any other set has are fewer than that for the sizes in reach at either end.
+    """
+    by_size = W.partitionBy("token").orderBy("size", "identity")
+    apart = DEN * F.lag("size").over(by_size) < NUM * F.col("size")
+    rows = token.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("cut", F.sum("apart").over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+    cut = W.partitionBy("token", "cut")
+    rows = rows.withColumn("lo", F.min("identity").over(cut)).withColumn("hi", F.max("identity").over(cut)).withColumn("least", F.min("size").over(cut)).withColumn("most", F.max("size").over(cut)).where("lo <> hi")
+    n = F.col("size")
+    reach = lambda m: F.ceil((n + m) * NUM / (NUM + DEN))
+    spared = lambda m: F.ceil(m * NUM / DEN)
+    low, high = F.greatest("least", spared(n)), F.least("most", F.floor(n * DEN / NUM))
+    able = n - F.col("at") >= reach(low)
+    common = F.least(reach(low) - F.greatest(spared(n), spared(low)), reach(high) - F.greatest(spared(n), spared(high)))
+    rows = rows.withColumn("able", able).withColumn("region", F.when(able, F.min(F.when(F.col("able"), F.col("identity"))).over(cut)))
+    each = rows.groupBy("region", "identity").agg(F.count("*").alias("shared"), F.min(common).alias("common"))
+    kept = each.withColumn("all", F.sum("shared").over(W.partitionBy("identity"))).where("region is not null and common <= all")
+    return kept.withColumn("n", F.count("*").over(W.partitionBy("region"))).where("n > 1").select("region", "identity")
 
 
 def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -234,10 +265,7 @@ def links_of(docs: DataFrame, sizes: DataFrame, frequent: DataFrame, members: in
     spark = docs.sparkSession
     common = written(frequent.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token"), "frequent")
     token = prefixes(docs, HashSet(common, "token", common.count()))
-    # the pivot of a token's sets is the one of least identity, a random one; its region are the sets of all its tokens
-    near = token.withColumn("region", F.min("identity").over(W.partitionBy("token"))).where("identity <> region").select("region", "identity").distinct()
-    near = written(near, "near")
-    pairs = near.unionByName(near.select("region", F.col("region").alias("identity")).distinct())
+    pairs = regions(token)
     sets = sizes.groupBy("identity").agg(F.max("n_shingles").alias("size"))
     pairs = written(pairs.join(sets, "identity"), "members")
     each = pairs.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
@@ -249,7 +277,7 @@ def links_of(docs: DataFrame, sizes: DataFrame, frequent: DataFrame, members: in
     if n_large:
         texts = written(texts, "texts")
         held = pairs.join(large.select("region"), "region", "left_anti").join(texts, "identity")
-    small = held.withColumn("part", F.lit(0)).withColumn("pivot", (F.col("identity") == F.col("region")).cast("int"))
+    small = held.withColumn("part", F.lit(0)).withColumn("pivot", (F.col("identity") == F.col("region")).cast("int"))  # the pivot itself may have gone: then the next one serves
     found = written(_regions(small, _whole), "found")
     if not n_large:
         return found
