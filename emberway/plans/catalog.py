@@ -1,10 +1,11 @@
-"""Queries by name, and the SQL that each is held against."""
+"""Queries by name, and the SQL that each is held against.
 
-from __future__ import annotations
+A name begins with the survey's id of the operator that the query applies to the driver's tables.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from emberway.plans import building, containment, fires, graphs, io, meshes
+from emberway.plans._registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "building", "containment", "fires", "graphs", "io", "meshes"]
