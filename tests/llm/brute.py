@@ -129,3 +129,12 @@ def chats(turns):
         loss = "".join(x for *_, r, x in rows if r == "assistant")
         out[c] = (len(rows), sha("".join(f"{r}\n{x}\n" for *_, r, x in rows)), len(loss), sha(loss))
     return out
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def same(df, rows):
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(map(tuple, rows), key=key)
