@@ -17,7 +17,7 @@ from emberway.llm.components import components
 
 SHINGLE, NUM, DEN = 5, 80, 100  #: words of a shingle; the least similarity is NUM / DEN
 PORTION = 4_000_000  #: shingles that a task counts at a time to find frequent ones
-SEEN, FREQUENT = 3, 48  #: texts of a portion, and of all portions that had so many, that make a shingle frequent
+SEEN, FREQUENT = 2, 24  #: texts of a portion, and of all portions that had so many, that make a shingle frequent
 MEMBERS, WEIGHT = 512, 2_000_000  #: members and shingles of a region that is joined in one piece
 PIVOTS = 64  #: pivots a round that a larger region gets
 SLACK = 1e-9  #: for the windows' floating point; links are decided in integers
