@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberway.llm._store import written
 from emberway.llm._words import Words, blocks, mixed
 
 LENGTHS = (4, 5, 6, 8, None)  #: a word's features: its first so many bytes, and all of them
@@ -131,12 +132,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     the sample's features of these. The class prior is the toxic share of the labelled rows that are not held out
     (of at most LABELLED of them), unless fixed_prior is given. A doc_id that any label calls
     toxic is toxic; rows without a toxic value are not labelled. Without toxic labels the model
-    knows no features and scores the prior, 0.5 / (labelled rows + 1).
+    knows no features and scores the prior, 0.5 / (labelled rows + 2).
     """
     order = lambda c: F.xxhash64(c, F.lit(seed))
     told = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = told.orderBy(order("doc_id"), "doc_id").limit(LABELLED).agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
-    prior = fixed_prior or min(max((n_toxic or 0.5) / (n + 1), 1e-4), 0.9)
+    prior = fixed_prior or min(max((n_toxic or 0.5) / (n + 2), 1e-4), 0.9)
     if not n_toxic:
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
     ids = told.where("toxic = 1").select("doc_id").orderBy(order("doc_id"), "doc_id").limit(positives).withColumn("positive", F.lit(True))
@@ -162,74 +163,6 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return Model(vocabulary, *fit_nnpu(rows, found, positive, len(vocabulary), prior))
 
 
-def score(self, texts: pa.Array) -> np.ndarray:
-        out = np.empty(len(texts))
-        for at, n, rows, found in features(texts, self.vocabulary):
-            out[at : at + n] = self.bias + np.bincount(rows, self.weights[found], n)
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
-
-
-def fit_nnpu(rows: np.ndarray, found: np.ndarray, positive: np.ndarray, n_features: int, prior: float, steps: int = 120, rate: float = 0.1, l1: float = 3e-4, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with logistic loss l:
-
-    prior * mean_P l(g) + max(0, mean_U l(-g) - prior * mean_P l(-g)), by Adam over all rows.
-    Where the second term has fallen below -beta, a step goes up its gradient instead, gamma
-    times, so that it does not fit the unlabelled rows' noise. l1 draws unused weights to 0.
-    """
-    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
-    m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
-    share = np.where(positive, prior / n_p, 1.0 / n_u)
-    for t in range(1, steps + 1):
-        g = b + np.bincount(rows, w[found], len(positive))
-        s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-        soft = np.logaddexp(0, g)  # l(-g)
-        rest = float(np.sum(np.where(positive, -share * soft, share * soft)))
-        up = np.where(positive, -share * s, share * s)  # gradient of the second term
-        grad = np.where(positive, -share * (1 - s), 0) + up if rest >= -beta else -gamma * up
-        dw, db = np.bincount(found, grad[rows], n_features), float(grad.sum())
-        m, v, mb, vb = 0.9 * m + 0.1 * dw, 0.999 * v + 0.001 * dw**2, 0.9 * mb + 0.1 * db, 0.999 * vb + 0.001 * db**2
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        pace = rate * (1 - t / (steps + 1))
-        step = pace / (np.sqrt(v / c2) + 1e-6)
-        w = w - step * m / c1
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1)
-        b -= pace * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    return w, b
-
-
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 7, fixed_prior: float | None = None) -> Model:
-    """Fits a model to a bounded sample: rows labelled toxic, and texts whose labels are not looked at.
-
-    Labels of held-out rows (see held_out) are never read. The sample is the rows of lowest hash,
-    at most `positives` and `unlabelled` of them, each text once. Features are those of LEAST positive
-    texts whose share among them lies APART from that among the unlabelled ones; the driver holds
-    the sample's features of these. The class prior is the toxic share of the labelled rows that are not held out
-    (of at most LABELLED of them), unless fixed_prior is given. A doc_id that any label calls
-    toxic is toxic; rows without a toxic value are not labelled. Without toxic labels the model
-    knows no features and scores the prior, 0.5 / (labelled rows + 1).
-    """
-    order = lambda c: F.xxhash64(c, F.lit(seed))
-    told = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, n_toxic = told.orderBy(order("doc_id"), "doc_id").limit(LABELLED).agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
-    prior = fixed_prior or min(max((n_toxic or 0.5) / (n + 1), 1e-4), 0.9)
-    if not n_toxic:
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
-    ids = told.where("toxic = 1").select("doc_id").orderBy(order("doc_id"), "doc_id").limit(positives).withColumn("positive", F.lit(True))
-    some = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").orderBy(order("doc_id"), "doc_id").limit(unlabelled)
-    ids = ids.unionByName(some.distinct().withColumn("positive", F.lit(False)))
-    sample = docs.select(F.col("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("positive", "text")
-    common = _lists(sample.where("positive"), None).select(F.explode("found").alias("f")).groupBy("f").count().where(F.col("count") >= LEAST)
-    top = common.orderBy(F.desc("count"), "f").limit(FEATURES).toPandas()
-    vocabulary = np.sort(top["f"].to_numpy(np.int64).view(np.uint64))
-    table = _lists(sample, vocabulary).toArrow().combine_chunks()
-    lists = table.column("found").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
-    rows = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    found = lists.flatten().to_numpy(zero_copy_only=False)
-    positive = table.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-    return Model(vocabulary, *fit_nnpu(rows, found, positive, len(vocabulary), prior))
-
-
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs, by its whole text.
 
