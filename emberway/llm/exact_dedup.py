@@ -27,8 +27,13 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, table: str, buckets: int = 16):
         self.spark, self.table, self.buckets = spark, table, buckets
 
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def unbucketed(self) -> DataFrame:
+        """The same rows, for joins whose large keys Spark may split: it splits no bucket."""
+        at = next(r["data_type"] for r in self.spark.sql(f"describe extended {self.table}").collect() if r["col_name"] == "Location")
+        return self.spark.read.schema(self.read().schema).parquet(at)
 
     def append(self, rows: DataFrame) -> None:
         """Adds rows of digests that the index lacks, one file a bucket."""
@@ -50,9 +55,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     all blank texts are one group. Of a batch's equal texts the longest original stays, then the
     smallest doc_id (null last), then one of identical rows. A digest that the index already
     holds keeps the row that it names, so the batch keeps none of that group; group_size counts
-    the batch's rows and those counted when the digest was added. The index is anti-joined by
-    sort-merge and then appended to; without one, a new table is made. An empty table gives no
-    rows. Other columns of docs are not read.
+    the batch's rows and those counted when the digest was added. The batch's groups are
+    anti-joined with the index by sort-merge, those left are appended; without an index an empty
+    one is made. A group of any size is one row of the index, and its rows may be split among
+    tasks. An empty table gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -60,19 +66,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "row"))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n_rows"))
     groups = groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n_rows")
+    if not spark.catalog.tableExists(index.table):
+        index.append(groups.limit(0))
     old = index.read()
-    if old is None:
-        index.append(groups)
-        return _told(rows, index.read().withColumn("n_old", F.lit(0)))
     seen = written(old.hint("merge").join(groups.select("digest", F.col("n_rows").alias("n_new")), "digest"), "seen")
     index.append(groups.join(old.hint("merge"), "digest", "left_anti"))
     spark.catalog.refreshTable(index.table)
     known = seen.select("digest", "keep_id", F.lit(-1).cast("long").alias("keep_row"), (F.col("n_rows") + F.col("n_new")).alias("n_rows"))
-    fresh = index.read().join(seen.select("digest"), "digest", "left_anti")
+    fresh = index.unbucketed().join(seen.select("digest"), "digest", "left_anti")
     return _told(rows, fresh.unionByName(known))
 
 
 def _told(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(groups, "digest").select(
+    return rows.join(groups.hint("merge"), "digest").select(
         "doc_id", "keep_id", F.col("n_rows").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
