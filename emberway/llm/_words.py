@@ -14,7 +14,6 @@ import pyarrow as pa
 
 BLOCK = 2_000_000  #: bytes of text hashed at a time; a longer text makes a block of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +60,10 @@ class Words:
         """A hash of each word, or of its first `longest` bytes."""
         power, inverse = _powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=total[1:])
+        each = self.data.astype(np.uint64)
+        each += np.uint64(1)
+        each *= power[: len(each)]
+        np.cumsum(each, out=total[1:])
         ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         return mixed((total[ends] - total[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64))
 
@@ -70,13 +72,13 @@ class Words:
         n = len(hashes) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = hashes[:n].copy()
-        for j in range(1, k):
-            h *= _STEP
-            h += hashes[j : j + n]
+        power, inverse = _powers(len(hashes) + 1)
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * power[: len(hashes)], out=total[1:])
+        h = (total[k:] - total[:-k]) * inverse[:n]
         last = np.repeat(self.first[1:], np.diff(self.first))[:n]
         at = np.flatnonzero(np.arange(n) + k <= last)
-        return mixed(h[at]), at
+        return mixed(h[at] if len(at) < n else h), at
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

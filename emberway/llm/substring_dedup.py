@@ -19,6 +19,7 @@ WINDOW = 35  #: words of a passage that counts as repeated
 ANCHOR = 14  #: words of an anchor: a window's run of so many words with the least hash
 HOT = 512  #: occurrences from which an anchor is told apart further, by whole windows
 SHARD_BYTES = 6_000_000  #: text of the documents that share an automaton, about
+LETTERS, WIDTH = 24, 3  #: letters of an alphabet and alphabets of the codes of an automaton's words; the last alphabet is as large as it must be
 
 
 class Anchors:
@@ -33,15 +34,24 @@ class Anchors:
         span = window - anchor + 1
         if len(self.at):
             # the leftmost least of each window's grams; a window's grams lie side by side
-            views = np.lib.stride_tricks.sliding_window_view(grams, span) if len(grams) >= span else np.empty((0, span), np.uint64)
-            best = views.argmin(axis=1)
-            start = place[self.at]
-            chosen = start + best[start]
+            chosen = leftmost_least(grams, span)[place[self.at]]
             self.anchor, self.anchor_at = grams[chosen], first[chosen]
         else:
             self.anchor, self.anchor_at = np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
+def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
+    """Of each `span` values side by side, the place of the least one, the leftmost if equal."""
+    at, width = np.arange(len(values), dtype=np.int32), 1
+    while width < span:
+        step = min(width, span - width)
+        a, b = values[:-step], values[step:]
+        later = b < a
+        values, at = np.where(later, b, a), np.where(later, at[step:], at[:-step])
+        width += step
+    return at
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -78,8 +88,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     1. Every window names an anchor: its run of `anchor` words with the least hash. Anchors that
        occur once cannot lie in a recurring window. A bounded map tells the others.
-    2. Windows with such an anchor are counted by hash; of each that recurs, the first occurrence
-       is its canonical one. Runs of canonical windows with one anchor are the phrases.
+    2. Windows with such an anchor are counted by hash; each that recurs belongs to the least row
+       that has it. In a row, windows of its own with one anchor, side by side, are a phrase.
     3. Documents are dealt into shards of bounded size. A phrase goes to the shards where its
        anchor occurs (for an anchor of `hot` occurrences or more: where one of its windows does).
     4. A shard compiles its phrases' anchors into an automaton over word numbers; each of its
@@ -104,25 +114,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         some = np.flatnonzero(common.value.holds(a.anchor))
         at = a.at[some]
         doc = np.searchsorted(words.first, at, "right") - 1
-        return [_signed(a.hash[some]), pa.array(ids[doc]), pa.array((at - words.first[doc]).astype(np.int32))]
+        return [_signed(a.hash[some]), pa.array(ids[doc])]
 
-    seen = _scan(docs, own_windows, "window long, row long, at int", window, anchor)
-    first = seen.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("f")).where("n > 1").select("f.row", "f.at")
-    places = written(first.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at")), "places")
+    seen = _scan(docs, own_windows, "window long, row long", window, anchor)
+    first = seen.groupBy("window").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n > 1")
+    places = written(first.groupBy("row").agg(F.collect_list("window").alias("windows")), "places")
 
     def keys(a: Anchors, at: np.ndarray) -> np.ndarray:
         return np.where(busy.value.holds(a.anchor[at]), mixed(a.hash[at] + np.uint64(1)), a.anchor[at])
 
     def phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("at")
+            lists = batch.column("windows")
             out = []
             for at, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
                 a = Anchors(words, window, anchor)
-                home = np.searchsorted(a.at, words.first[:-1])
+                home = np.searchsorted(a.at, words.first)
                 for k in range(len(offsets) - 1):
-                    own = home[k] + lists[at + k].values.to_numpy().astype(np.int64)
+                    hashes = a.hash[home[k] : home[k + 1]]
+                    there = np.flatnonzero(np.isin(hashes, lists[at + k].values.to_numpy().view(np.uint64)))
+                    own = home[k] + np.sort(there[np.unique(hashes[there], return_index=True)[1]])
                     # windows of one anchor side by side make a phrase, up to the last window's end
                     cut = np.ones(len(own), bool)
                     cut[1:] = (np.diff(own) != 1) | (a.anchor_at[own[1:]] != a.anchor_at[own[:-1]])
@@ -131,12 +143,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     for i, j in zip(begin, np.append(begin[1:], len(own))):
                         lo, hi = a.at[own[i]], a.at[own[j - 1]] + window
                         text = b" ".join(data[words.starts[x] : words.ends[x]].tobytes() for x in range(lo, hi))
-                        out += [(int(x), text, int(a.anchor_at[own[i]] - lo)) for x in np.unique(key[i:j]).view(np.int64)]
+                        out.append((np.unique(key[i:j]).view(np.int64), text, int(a.anchor_at[own[i]] - lo)))
             columns = list(zip(*out)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32())], names=["key", "phrase", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32())], names=["keys", "phrase", "offset"])
 
-    source = docs.join(places, "row").select("text", "at")
-    phrases = written(source.mapInArrow(phrase_rows, "key long, phrase binary, offset int"), "phrases")
+    source = docs.join(places, "row").select("text", "windows")
+    phrases = source.mapInArrow(phrase_rows, "keys array<long>, phrase binary, offset int")
+    phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases")
 
     # 3
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -151,10 +164,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         return [_signed(key[new]), pa.array(ids[doc])]
 
     there = _scan(docs, own_keys, "key long, row long", window, anchor).select("key", shard_of.alias("shard")).distinct()
-    sent = phrases.join(there, "key").groupBy("shard", F.xxhash64("phrase", "offset").alias("id")).agg(F.first("phrase").alias("data"), F.first("offset").alias("offset"))
-    sent = sent.select("shard", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), "data", "offset")
+    keyed = phrases.select("id", F.explode("keys").alias("key")).join(there, "key").select("id", "shard").distinct()
+    sent = phrases.select("id", "phrase", "offset").join(keyed, "id")
+    sent = sent.select("shard", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("phrase").alias("data"), "offset")
     told = docs.select(shard_of.alias("shard"), "row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.lit(-1).alias("offset"))
-    rows = sent.unionByName(told).repartition(n_shards, "shard").sortWithinPartitions("shard", F.desc("offset"))
+    rows = sent.unionByName(told).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.desc("offset"))
     schema = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
     # 4
@@ -182,17 +196,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 
 class Machine:
-    """An automaton over the phrases' anchors, as sequences of word numbers."""
+    """An automaton over the phrases' anchors. A word is a code of WIDTH characters, one of each of WIDTH alphabets,
+
+    as the automaton looks through a node's children one by one; matches so begin at words only.
+    """
 
     def __init__(self, window: int, anchor: int):
         self.window, self.anchor = window, anchor
-        self.numbers: dict[bytes, int] = {}
-        self.phrases: dict[tuple[int, ...], list[tuple[tuple[int, ...], int]]] = {}
+        self.codes: dict[bytes, str] = {}
+        self.phrases: dict[str, list[tuple[str, int]]] = {}
         self.automaton = None
 
+    def code(self, word: bytes) -> str:
+        if (c := self.codes.get(word)) is None:
+            n = len(self.codes)
+            c = self.codes[word] = "".join(chr(1 + LETTERS * k + (n // LETTERS**k) % LETTERS) for k in range(WIDTH - 1)) + chr(1 + LETTERS * (WIDTH - 1) + n // LETTERS ** (WIDTH - 1))
+        return c
+
     def add(self, phrase: bytes, offset: int) -> None:
-        words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in phrase.split())
-        self.phrases.setdefault(words[offset : offset + self.anchor], []).append((words, offset))
+        get, code = self.codes.get, self.code
+        text = "".join([get(w) or code(w) for w in phrase.split()])
+        self.phrases.setdefault(text[offset * WIDTH : (offset + self.anchor) * WIDTH], []).append((text, offset * WIDTH))
 
     def covered(self, words: list[bytes]) -> np.ndarray:
         """Which words lie in a recurring window."""
@@ -200,20 +224,33 @@ class Machine:
         if not self.phrases or len(words) < self.window:
             return out
         if self.automaton is None:
-            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            self.automaton = ahocorasick.Automaton()
             for key, found in self.phrases.items():
                 self.automaton.add_word(key, found)
             self.automaton.make_automaton()
-        get = self.numbers.get
-        numbers = tuple([get(w, 0) for w in words])
-        for last, found in self.automaton.iter(numbers):
-            at = last - self.anchor + 1
+        get, other = self.codes.get, "\0" * WIDTH
+        text = "".join([get(w, other) for w in words])
+        for last, found in self.automaton.iter(text):
+            end = last + 1
+            at = end - self.anchor * WIDTH
             for phrase, offset in found:
-                lo, hi = 0, self.anchor
-                while lo < offset and lo < at and phrase[offset - lo - 1] == numbers[at - lo - 1]:
-                    lo += 1
-                while offset + hi < len(phrase) and at + hi < len(numbers) and phrase[offset + hi] == numbers[at + hi]:
-                    hi += 1
-                if lo + hi >= self.window:
-                    out[at - lo : at + hi] = True
+                lo, hi = at - offset, at - offset + len(phrase)
+                if lo < 0 or not text.startswith(phrase, lo):
+                    after = offset + end - at
+                    lo = at - alike(text[max(lo, 0) : at][::-1], phrase[:offset][::-1])
+                    hi = end + alike(text[end:hi], phrase[after:])
+                if hi - lo >= self.window * WIDTH:
+                    out[lo // WIDTH : hi // WIDTH] = True
         return out
+
+
+def alike(a: str, b: str) -> int:
+    """Characters of the words that a and b begin with alike."""
+    lo, hi = 0, min(len(a), len(b)) // WIDTH
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[: mid * WIDTH] == b[: mid * WIDTH]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo * WIDTH
