@@ -1,3 +1,96 @@
-"""SQL that queries of this subpackage are held against, where SQL can express them."""
+"""SQL that queries of this subpackage are held against, where SQL can express them (DuckDB)."""
 
-ORACLES: dict[str, str] = {}
+from emberway.llm.chat_format import BODY, CLOSE, ESCAPES, OPEN
+from emberway.llm.queries import PROBE
+
+WORDS = r"""regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"""
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def escaped(column: str) -> str:
+    """The backslash comes first in ESCAPES; no other control string overlaps another one or an escape."""
+    for control, code in ESCAPES.items():
+        column = f"replace({column}, {quoted(control)}, {quoted(code)})"
+    return column
+
+
+OP1 = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', {quoted(PROBE)}), (-7, 1, 'assistant', {quoted(PROBE)})
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
+  cast(sum(if(role = 'assistant', length(text), 0)) as bigint) as loss_chars,
+  sha256(string_agg(if(role = 'assistant', text, ''), '' order by turn nulls last, role, text)) as loss_sha256,
+  cast(sum({len(OPEN) + len(BODY) + len(CLOSE)} + length({escaped('role')}) + length({escaped('text')})) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+OP2 = """
+with bodies as (select page_id, coalesce(html, '') as html from pages),
+told as (select page_id, html, max(page_id) over (partition by html) as first_id from bodies),
+bits as (
+  select page_id, html, first_id, list_aggregate(list_transform(split(sha1(html), ''), lambda x: right(bin(cast('0x' || x as int)), 4).lpad(4, '0')), 'string_agg', '') as b
+  from told
+)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + 16 * cast(b[5 * i + 1] as int) + 8 * cast(b[5 * i + 2] as int) + 4 * cast(b[5 * i + 3] as int) + 2 * cast(b[5 * i + 4] as int) + cast(b[5 * i + 5] as int) as bigint), 1)), 'string_agg', '') as payload_digest,
+  if(page_id = first_id, 'response', 'revisit') as record_type, if(page_id = first_id, null, first_id) as refers_to, true as digest_ok
+from bits
+"""
+
+OP3 = f"""
+with recursive words as (select doc_id, {WORDS.format(LOWER)} as w from documents),
+sets as (
+  select doc_id, case when len(w) >= 5 then list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: md5_number_lower(array_to_string(w[i:i + 4], ' '))))) when len(w) > 0 then [md5_number_lower(array_to_string(w, ' '))] else [] end as s
+  from words
+),
+distinct_sets as (select s, min(doc_id) as rep, len(s) as n from sets where len(s) > 0 group by s),
+tokens as (select rep, n, unnest(s) as token from distinct_sets),
+shared as (select a.rep as a, b.rep as b, count(*) as common, any_value(a.n) as an, any_value(b.n) as bn from tokens a join tokens b on a.token = b.token and a.rep < b.rep where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+links as (select a, b from shared where 100 * common >= 80 * (an + bn - common)),
+arcs as (select a, b from links union all select b, a from links),
+reach as (select rep as node, rep as seen from distinct_sets union select r.node, arcs.b from reach r join arcs on arcs.a = r.seen),
+named as (select node, min(seen) as component_id from reach group by node)
+select sets.doc_id, len(sets.s) as n_shingles, coalesce(named.component_id, sets.doc_id) as component_id
+from sets left join distinct_sets on sets.s = distinct_sets.s left join named on named.node = distinct_sets.rep
+"""
+
+OP5 = """
+with levels as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scores as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from levels q join levels c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from scores)
+select * from ranked where rank <= 20
+"""
+
+OP8 = r"""
+with texts as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents),
+named as (
+  select doc_id, sha256(t) as text_sha256, count(*) over (partition by t) as group_size,
+    first_value(doc_id) over (partition by t order by n desc, doc_id) as keep_id from texts
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from named
+"""
+
+OP9 = f"""
+with words as (select doc_id, {WORDS.format('text')} as w from documents),
+windows as (select doc_id, i, md5_number_lower(array_to_string(w[i:i + 34], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from words)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by h) as n from windows) where n > 1),
+spans as (select doc_id, i, least(35, coalesce(lead(i) over (partition by doc_id order by i) - i, 35)) as n from again),
+gone as (select doc_id, unnest(range(i, i + n)) as place from spans),
+each as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from words),
+kept as (select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n from each anti join gone using (doc_id, place) group by doc_id)
+select words.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
+# without SQL: a trained model (4), merges (6), layout (7) and hashed draws (10); tests hold them against plain versions
+ORACLES: dict[str, str] = {"op1_chat_format": OP1, "op2_warc": OP2, "op3_jaccard_join": OP3, "op5_exact_top_k": OP5, "op8_exact_dedup": OP8, "op9_substring_dedup": OP9}

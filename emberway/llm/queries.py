@@ -41,7 +41,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.levels(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
