@@ -252,11 +252,15 @@ def _whole(ids: list[int], texts: pa.Array, pivots: int) -> list[tuple[int, int]
 
 
 def _star(ids: list[int], texts: pa.Array, pivots: int) -> list[tuple[int, int]]:
-    """Links of a part's members with the region's pivots."""
-    region, links = Region(ids, texts), []
+    """Links of a part's members with the region's pivots; of those within one class, enough to connect it."""
+    region, links, label = Region(ids, texts), [], np.arange(len(ids))
     for i in range(min(pivots, len(ids) - 1)):
         some = np.arange(i + 1, len(ids))
-        links += [(ids[i], ids[j]) for j in some[region.linked(i, some)[0]]]
+        some = some[label[some] != label[i]]
+        if len(some):
+            for j in some[region.linked(i, some)[0]]:
+                links.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
     return links
 
 
