@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from emberway.llm._words import BLOCK
 
-CACHE = 800_000  #: pieces of text, and words, that a worker remembers: about 300 MB
+CACHE = 200_000  #: pieces of text, and words, that a worker remembers: about 100 MB
 REMEMBERED = 200  #: characters of the longest piece that is remembered
 
 
