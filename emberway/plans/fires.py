@@ -131,11 +131,19 @@ def routes(spark, sf):
     return rounded(paths.changed_routes(found), "cost")
 
 
+def _walk_edges(spark, sf, events):
+    keys = graph.edge_keys(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_orderkey").alias("edge")))
+    return paths.path_edges(events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("node")), keys)
+
+
 @query("p8_path_edges", "WITH k AS (SELECT least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '|' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS key, min(l_orderkey) AS edge FROM lineitem GROUP BY 1), s AS (SELECT event_id AS pos, user_id AS node, lead(user_id) OVER (ORDER BY event_id) AS after FROM events WHERE event_id < 1000) SELECT pos, edge FROM s JOIN k ON key = least(CAST(node AS VARCHAR), CAST(after AS VARCHAR)) || '|' || greatest(CAST(node AS VARCHAR), CAST(after AS VARCHAR))")
 def path_edges(spark, sf):
-    keys = graph.edge_keys(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_orderkey").alias("edge")))
-    walk = table(spark, sf, "events").where("event_id < 1000").select(F.col("event_id").alias("pos"), F.col("user_id").alias("node"))
-    return paths.path_edges(walk, keys)
+    return _walk_edges(spark, sf, table(spark, sf, "events").where("event_id < 1000"))
+
+
+@query("p8_path_edges_whole", "WITH k AS (SELECT least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '|' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS key, min(l_orderkey) AS edge FROM lineitem GROUP BY 1), s AS (SELECT event_id AS pos, user_id AS node, lead(user_id) OVER (ORDER BY event_id) AS after FROM events) SELECT pos, edge FROM (SELECT * FROM s WHERE after IS NOT NULL) JOIN k ON key = least(CAST(node AS VARCHAR), CAST(after AS VARCHAR)) || '|' || greatest(CAST(node AS VARCHAR), CAST(after AS VARCHAR))")
+def whole_path_edges(spark, sf):
+    return _walk_edges(spark, sf, table(spark, sf, "events"))
 
 
 @query("r1_learned_route")
