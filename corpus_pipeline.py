@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberway.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from emberway.llm._store import kept_rows, unused, written
+from emberway.llm._store import kept_rows, keyed, unused, written
 
 REJECTED = 0.3  #: a document of this score or more goes
 
@@ -20,21 +20,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal texts, the row that exact dedup keeps."""
-    return kept_rows(docs, exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct())
+    key = unused(docs.columns, "row_key")
+    docs = keyed(docs, key)
+    return kept_rows(docs, exact_dedup.exact_dedup(docs, key=key).where("kept"), key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts, the smallest doc_id."""
-    return kept_rows(docs, jaccard_join.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct())
+    """Of each group of linked texts, one row of the smallest doc_id."""
+    key = unused(docs.columns, "row_key")
+    docs = keyed(docs, key)
+    return kept_rows(docs, jaccard_join.near_duplicates(docs, key=key).where("kept"), key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it."""
     names = docs.columns
-    copies, own = unused(names, "copies"), unused(names, "own_id")
-    taken = written(mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
-    taken = taken.select(F.col("doc_id").alias(own), F.col("copies").alias(copies))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(own)))
+    key, copies = unused(names, "row_key"), unused(names, "copies")
+    docs = keyed(docs, key)
+    taken = mixing.mix(docs, key=key).where("copies > 0").select(F.col("row").alias(key), F.col("copies").alias(copies))
+    rows = docs.join(taken, key)
     return rows.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*names)
 
 

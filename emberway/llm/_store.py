@@ -25,20 +25,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in keep; of several rows with one doc_id, one stays.
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a number of each row as column key, written once, so that all later jobs see the same numbers."""
+    from pyspark.sql import functions as F
+
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def kept_rows(docs: DataFrame, keep: DataFrame, key: str) -> DataFrame:
+    """Rows of docs (from keyed()) whose key is in keep, without the key.
 
-    keep has a column doc_id without repeats. A null doc_id matches a null one.
     Columns of docs may have any names.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    names = docs.columns
-    mark, order = unused(names, "kept_mark"), unused(names, "kept_order")
-    held = docs.join(keep.select(F.col("doc_id").alias(mark)), docs["doc_id"].eqNullSafe(F.col(mark)), "left_semi")
-    ranked = held.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")))
-    return ranked.where(F.col(order) == 1).select(*names)
+    return docs.join(keep.select(key), key, "left_semi").drop(key)
 
 
 def unused(names: list[str], base: str) -> str:

@@ -41,14 +41,14 @@ class DigestIndex:
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_chars, row) for each row of docs, written once; row tells repeated rows apart."""
+def digests(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, digest, n_chars, row) for each row of docs, written once; row, the key if there is one, tells repeated rows apart."""
     return written(docs.select(
         "doc_id", digest(F.col("text")).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
-        F.monotonically_increasing_id().alias("row")), "digests")
+        (F.col(key) if key else F.monotonically_increasing_id()).alias("row")), "digests")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, key: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when equal without white space [\\x20\\x09-\\x0D]; null counts as empty, so
@@ -58,11 +58,12 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     the batch's rows and those counted when the digest was added. The batch's groups are
     anti-joined with the index by sort-merge, those left are appended; without an index an empty
     one is made. A group of any size is one row of the index, and its rows may be split among
-    tasks. An empty table gives no rows. Other columns of docs are not read.
+    tasks. An empty table gives no rows. Other columns of docs are not read, but for key, a column
+    of whole numbers, each once and not below 0: it is returned too.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = digests(docs)
+    rows = digests(docs, key)
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "row"))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n_rows"))
     groups = groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n_rows")
@@ -74,10 +75,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     spark.catalog.refreshTable(index.table)
     known = seen.select("digest", "keep_id", F.lit(-1).cast("long").alias("keep_row"), (F.col("n_rows") + F.col("n_new")).alias("n_rows"))
     fresh = index.unbucketed().join(seen.select("digest"), "digest", "left_anti")
-    return _told(rows, fresh.unionByName(known))
+    return _told(rows, fresh.unionByName(known), key)
 
 
-def _told(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _told(rows: DataFrame, groups: DataFrame, key: str | None = None) -> DataFrame:
     return rows.join(groups.hint("merge"), "digest").select(
         "doc_id", "keep_id", F.col("n_rows").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"))
+        F.lower(F.hex("digest")).alias("text_sha256"), *([F.col("row").alias(key)] if key else []))

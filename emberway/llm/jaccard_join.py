@@ -63,9 +63,10 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, identity) of each row, and (token, n) of shingles frequent in a task's portion."""
-    schema = "doc_id long, n_shingles long, identity long, token long, n long"
+def sized(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, identity) of each row, and (token, n) of shingles frequent in a task's portion; with a key, row is the key."""
+    own = ["doc_id", "row"] if key else ["doc_id"]
+    schema = "".join(f"{c} long, " for c in own) + "n_shingles long, identity long, token long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -74,14 +75,14 @@ def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             token, n = token[n >= SEEN], n[n >= SEEN]
             none = pa.nulls(len(token), pa.int64())
-            return _batch([none, none, none, token.view(np.int64), n.astype(np.int64)], schema)
+            return _batch([none] * (len(own) + 2) + [token.view(np.int64), n.astype(np.int64)], schema)
 
         for batch in batches:
             for at, data, offsets in blocks(batch.column("text")):
                 s = Sets(data, offsets)
                 n = len(s.size)
                 none = pa.nulls(n, pa.int64())
-                yield _batch([batch.column("doc_id").slice(at, n), s.size.astype(np.int64), s.identity, none, none], schema)
+                yield _batch([*(batch.column(c).slice(at, n) for c in own), s.size.astype(np.int64), s.identity, none, none], schema)
                 held.append(s.token)
                 if sum(map(len, held)) > PORTION:
                     yield counted()
@@ -89,8 +90,9 @@ def sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield counted()
 
-    rows = written(docs.select("doc_id", "text").mapInArrow(run, schema), "sized")
-    return rows.where("n_shingles is not null").select("doc_id", "n_shingles", "identity"), rows.where("token is not null").select("token", "n")
+    rows = docs.select("doc_id", "text", F.col(key).cast("long").alias("row")) if key else docs.select("doc_id", "text")
+    rows = written(rows.mapInArrow(run, schema), "sized")
+    return rows.where("n_shingles is not null").select(*own, "n_shingles", "identity"), rows.where("token is not null").select("token", "n")
 
 
 def prefixes(docs: DataFrame, frequent: HashSet) -> DataFrame:
@@ -312,7 +314,7 @@ def best_few(order: str, column: str, k: int):
     return F.slice(F.array_sort(F.collect_list(F.struct(order, column))), 1, k)
 
 
-def near_duplicates(docs: DataFrame, members: int = MEMBERS, weight: int = WEIGHT, pivots: int = PIVOTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, members: int = MEMBERS, weight: int = WEIGHT, pivots: int = PIVOTS, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs.
 
     Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case; a set holds the text's distinct
@@ -326,13 +328,22 @@ def near_duplicates(docs: DataFrame, members: int = MEMBERS, weight: int = WEIGH
     two linked sets always do, so regions give all links. Within one, distances to the pivot make
     windows outside of which the triangle inequality allows no link. What a window leaves is
     joined with further pivots, within a task for regions of bounded size, else in rounds.
+
+    With key, a column of whole numbers, each once, it is returned too, and kept: of the rows that
+    links connect that of the smallest doc_id (null last), then of the smallest key. Rows with
+    empty sets are all kept. Equal component_ids need not be one component where doc_ids repeat.
     """
-    sizes, frequent = sized(docs)
+    sizes, frequent = sized(docs, key)
     names = components(links_of(docs, sizes, frequent, members, weight, pivots))
-    sets = sizes.where("n_shingles > 0").groupBy("identity").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row") if key else F.col("doc_id")
+    sets = sizes.where("n_shingles > 0").groupBy("identity").agg(F.min(order).alias("least"))
     named = sets.join(names, F.col("identity") == F.col("node"), "left").select("identity", "least", F.coalesce("label", "identity").alias("label"))
     named = written(named, "named")
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "label").select(F.col("identity").alias("own"), "component_id")
-    full = sizes.where("n_shingles > 0").join(final, F.col("identity") == F.col("own")).select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = named.groupBy("label").agg(F.min("least").alias("first"))
+    final = named.join(least, "label").select(F.col("identity").alias("own"), "first")
+    full = sizes.where("n_shingles > 0").join(final, F.col("identity") == F.col("own"))
+    empty = sizes.where("n_shingles = 0")
+    if key is None:
+        return full.select("doc_id", "n_shingles", F.col("first").alias("component_id")).unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = full.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("row").alias(key), (F.col("row") == F.col("first.row")).alias("kept"))
+    return full.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias(key), F.lit(True).alias("kept")))

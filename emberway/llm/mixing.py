@@ -53,7 +53,7 @@ def targets(sources: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = C
     return rows.select("source", "source_size", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, seed: int = 17, inclusion: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, seed: int = 17, inclusion: Column | None = None, key: str | None = None) -> DataFrame:
     """doc_id, source, row, size, source_size, target, copies, taken: one row per row of docs.
 
     A source whose target is c times its size first gives floor(c) whole copies of every row.
@@ -64,11 +64,12 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
     given (a positive column of docs, mean about 1), kept below 1. Rows of a whole-number c get no
     more. Null texts and blank texts have size 0 and take no words. A null source is a source of
     its own, last in order. No row gives more than ceil(cap) copies. Identical rows may differ in
-    copies. An empty table gives no rows.
+    copies. An empty table gives no rows. row is the column key of docs (a number of each row),
+    where that is given.
     """
     extra = F.lit(1.0) if inclusion is None else inclusion.cast("double")
     rows = written(docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), extra.alias("odds_of"), F.monotonically_increasing_id().alias("row"),
+        "doc_id", "source", n_words(F.col("text")).alias("size"), extra.alias("odds_of"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row"),
         ((F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), 11) + 0.5) / 2.0**53).alias("u")), "sized")
     goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, cap), "targets")
     goal = goal.withColumn("c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
