@@ -32,11 +32,10 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     response; rows that repeat that page_id are responses too. A null html is an empty payload.
     """
     body = F.coalesce("html", F.lit(""))
-    marks = pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
-    first = marks.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1")
-    again = marks.join(first, ["digest", "n"]).where("not page_id <=> first_id").select(F.col("page_id").alias("again_id"), "first_id").distinct()
-    return pages.select("page_id", "url", "html").join(again, F.col("page_id").eqNullSafe(F.col("again_id")), "left").select(
-        "page_id", "url", "html", F.col("first_id").alias("refers_to"))
+    rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("n"))
+    first = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1")
+    other = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return rows.join(first.hint("merge"), ["digest", "n"], "left").select("page_id", "url", "html", F.when(other, F.col("first_id")).alias("refers_to"))
 
 
 def header(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -56,6 +55,7 @@ def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     payload_so_far is the SHA-1, in base32, of the payload up to the row's end, carried along
     from chunk to chunk. Chunks are slices of the column's own memory; no record is copied whole.
+    A row's number in its task is part of the record's id, so that equal rows are records apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +66,8 @@ def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
             _, where, what = texts.buffers()
             starts = memoryview(where).cast("q")
             view = memoryview(what) if what is not None else memoryview(b"")
-            ids, urls, refs = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to"))
-            for i, (page, url, ref) in enumerate(zip(ids, urls, refs)):
+            ids, urls, refs, keys = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "row"))
+            for i, (page, url, ref, key) in enumerate(zip(ids, urls, refs, keys)):
                 body = view[starts[texts.offset + i] : starts[texts.offset + i + 1]] if texts[i].is_valid else view[:0]
                 states, h = [], hashlib.sha1()
                 for at in range(0, max(len(body), 1), chunk):
@@ -76,7 +76,7 @@ def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 head = header(page, url, len(body), states[-1], ref)
                 stored = body if ref is None else body[:0]
                 pieces = [(head, 0)] + [(stored[at : at + chunk], k) for k, at in enumerate(range(0, len(stored), chunk))]
-                record, n = uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {url} {states[-1]}").urn, max(1, len(pieces) - 1)
+                record, n = uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {url} {states[-1]} {key}").urn, max(1, len(pieces) - 1)
                 for k in range(n):
                     data = (head if k == 0 else b"") + (bytes(pieces[k + 1][0]) if len(pieces) > 1 else b"") + (b"\r\n\r\n" if k == n - 1 else b"")
                     rows.append((record, k, n, page, data, states[k] if ref is None else states[-1]))
@@ -87,7 +87,7 @@ def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if rows:
             yield _batch(rows, CHUNKS)
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, CHUNKS)
+    return pages.select("page_id", "url", "html", "refers_to", F.monotonically_increasing_id().alias("row")).mapInArrow(run, CHUNKS)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -157,8 +157,8 @@ def write_archive(pages: DataFrame, path: str | None = None, least: int = 0, chu
     """Writes pages (page_id, url, html) as a chunk table and returns its path, in the shared folder unless given.
 
     Empty and null html give records without payload, which `least` may leave out of the
-    comparison. Rows that repeat page_id, url and html give one record each, of the same id; they
-    are told apart by the place in the table, and longer ones than a chunk should not repeat.
+    comparison. Rows that repeat page_id, url and html give one record each; no two records have
+    the same id, and ids differ from one archive to the next.
     """
     path = path or f"{shared_dir(pages.sparkSession)}/emberway/warc-{uuid.uuid4().hex}"
     chunk_rows(typed(pages, least), chunk).write.parquet(path)
