@@ -97,7 +97,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
        as far as the phrase goes; `window` words or more are removed.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    # written once: several jobs read the rows and must see the same numbers
+    docs = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "docs")
 
     # 1
     def own_anchors(a: Anchors, words: Words, ids: np.ndarray) -> list:
