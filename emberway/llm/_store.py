@@ -9,17 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only in local mode, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="emberway-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20  #: bytes of rows that Spark hands to a Python worker at a time
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """spark, whose Arrow batches are from now on bounded by bytes too, not by their 10,000 rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back."""
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/emberway/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 """Words of many texts at once, by numpy over the bytes of an Arrow string column.
 
-A word is a maximal run of bytes outside [\\x20\\x09-\\x0D]; as these are ASCII, that is
-the same as a run of characters in UTF-8. Hashes are 64 bits wide: a polynomial over the
-bytes, then splitmix64's finaliser; a text's memory is about 40 bytes for each of its bytes.
+A word is a maximal run of bytes outside [\x20\x09-\x0D]; as these are ASCII, that is
+the same as a run of characters in UTF-8. A word's hash is a sum of one random 64-bit number
+for each of its (place, byte) pairs, drawn once from a seed: no polynomial, so that no two words
+collide by their make, only by chance. Seeds 0 and 1 give two independent hashes, 128 bits in all.
+A text's memory is about 40 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -12,23 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000  #: bytes of text hashed at a time; a longer text makes a block of its own
-_BASE = 0x9E3779B97F4A7C15 | 1
+BLOCK = 500_000  #: bytes of text hashed at a time; a longer text makes a block of its own
+PLACES = 64  #: places of a word that have random numbers of their own; those of later ones are multiples
+_NUMBERS = [np.random.default_rng(seed).integers(0, 1 << 64, PLACES * 256, np.uint64) for seed in (20, 21)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least."""
-    if len(_tables[0]) < n:
-        for k, base in ((0, _BASE), (1, pow(_BASE, -1, 1 << 64))):
-            t = np.full(max(n, BLOCK + 1), np.uint64(base))
-            t[0] = 1
-            _tables[k] = np.cumprod(t)
-    return _tables[0], _tables[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,6 +33,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h += b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class Words:
     """Word bounds of a block of texts: starts, ends (bytes of data) and first (texts + 1 word numbers)."""
 
@@ -56,29 +58,48 @@ class Words:
         self.ends = np.flatnonzero(~space & after) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, longest: int | None = None) -> np.ndarray:
-        """A hash of each word, or of its first `longest` bytes."""
-        power, inverse = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        each = self.data.astype(np.uint64)
-        each += np.uint64(1)
-        each *= power[: len(each)]
+    def sums(self, seed: int = 0) -> np.ndarray:
+        """The numbers of all bytes up to each, as sums modulo 2**64."""
+        n, lengths = len(self.data), np.diff(self.starts, append=len(self.data))
+        lead = self.starts[0] if len(self.starts) else n
+        place = np.arange(n, dtype=np.int64 if n >> 30 else np.int32)
+        place[lead:] -= np.repeat(self.starts.astype(place.dtype), lengths)
+        late = np.flatnonzero(place >= PLACES) if max(int(lengths.max(initial=0)), lead) > PLACES else place[:0]
+        later = place[late] // PLACES
+        place[late] %= PLACES
+        place <<= 8
+        place |= self.data
+        each = _NUMBERS[seed].take(place, mode="clip")
+        each[late] *= mixed(later.astype(np.uint64)) | np.uint64(1)
+        total = np.zeros(n + 1, np.uint64)
         np.cumsum(each, out=total[1:])
+        return total
+
+    def hashes(self, longest: int | None = None, seed: int = 0, sums: np.ndarray | None = None) -> np.ndarray:
+        """A hash of each word, or of its first `longest` bytes."""
+        total = self.sums(seed) if sums is None else sums
         ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
-        return mixed((total[ends] - total[self.starts]) * inverse[self.starts] + (ends - self.starts).astype(np.uint64))
+        return mixed(total[ends] - total[self.starts] + (ends - self.starts).astype(np.uint64))
 
     def runs(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of k words that lie in one text, and the number of each run's first word."""
+        """Hashes of the runs of k words that lie in one text, and the number of each run's first word.
+
+        A run's hash is joined from those of runs of 1, 2, 4, ... words that it is made of.
+        """
         n = len(hashes) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        power, inverse = _powers(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * power[: len(hashes)], out=total[1:])
-        h = (total[k:] - total[:-k]) * inverse[:n]
+        whole, done, width, level = None, 0, 1, hashes
+        while width <= k:
+            if k & width:
+                piece = level[done : done + n]
+                whole, done = piece if whole is None else joined(whole, piece), done + width
+            width *= 2
+            if width <= k:
+                level = joined(level[: -(width // 2)], level[width // 2 :])
         last = np.repeat(self.first[1:], np.diff(self.first))[:n]
         at = np.flatnonzero(np.arange(n) + k <= last)
-        return mixed(h[at] if len(at) < n else h), at
+        return mixed(whole[at] if len(at) < n else whole + np.uint64(0)), at
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -50,15 +50,17 @@ sets as (
   select doc_id, case when len(w) >= 5 then list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: md5_number_lower(array_to_string(w[i:i + 4], ' '))))) when len(w) > 0 then [md5_number_lower(array_to_string(w, ' '))] else [] end as s
   from words
 ),
-distinct_sets as (select s, min(doc_id) as rep, len(s) as n from sets where len(s) > 0 group by s),
+distinct_sets as (select s, min(doc_id) as rep, len(s) as n, count(*) as copies from sets where len(s) > 0 group by s),
 tokens as (select rep, n, unnest(s) as token from distinct_sets),
 shared as (select a.rep as a, b.rep as b, count(*) as common, any_value(a.n) as an, any_value(b.n) as bn from tokens a join tokens b on a.token = b.token and a.rep < b.rep where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
 links as (select a, b from shared where 100 * common >= 80 * (an + bn - common)),
 arcs as (select a, b from links union all select b, a from links),
 reach as (select rep as node, rep as seen from distinct_sets union select r.node, arcs.b from reach r join arcs on arcs.a = r.seen),
-named as (select node, min(seen) as component_id from reach group by node)
-select sets.doc_id, len(sets.s) as n_shingles, coalesce(named.component_id, sets.doc_id) as component_id
-from sets left join distinct_sets on sets.s = distinct_sets.s left join named on named.node = distinct_sets.rep
+named as (select node, min(seen) as component_id from reach group by node),
+near as (select arcs.a as rep, sum(copies) as n from arcs join distinct_sets d on d.rep = arcs.b group by arcs.a)
+select sets.doc_id, len(sets.s) as n_shingles, coalesce(named.component_id, sets.doc_id) as component_id,
+  cast(coalesce(d.copies - 1 + coalesce(near.n, 0), 0) as bigint) as n_links
+from sets left join distinct_sets d on sets.s = d.s left join named on named.node = d.rep left join near on near.rep = d.rep
 """
 
 OP5 = """

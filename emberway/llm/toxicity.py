@@ -35,9 +35,10 @@ def features(texts: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[
     for at, data, offsets in blocks(texts):
         words = Words(data, offsets, lower=True)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
+        sums = words.sums()
         rows, found = [], []
         for k, longest in enumerate(LENGTHS):
-            h = mixed(words.hashes(longest) + np.uint64(k + 1))
+            h = mixed(words.hashes(longest, sums=sums) + np.uint64(k + 1))
             r = row
             if vocabulary is not None:
                 some = np.flatnonzero(sieve[(h >> np.uint64(64 - FILTER)).astype(np.int64)])

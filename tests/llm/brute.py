@@ -20,7 +20,7 @@ def shingles(text):
 
 
 def near(docs):
-    """(doc_id, n_shingles, component_id) of [(doc_id, text)]."""
+    """(doc_id, n_shingles, component_id, n_links) of [(doc_id, text)]."""
     sets = [shingles(t) for _, t in docs]
     at = defaultdict(list)
     for i, s in enumerate(sets):
@@ -32,7 +32,7 @@ def near(docs):
         for a, i in enumerate(group):
             for j in group[a + 1 :]:
                 both[i, j] += n
-    root = list(range(len(docs)))
+    root, n_links = list(range(len(docs))), Counter()
 
     def find(i):
         while root[i] != i:
@@ -43,11 +43,12 @@ def near(docs):
     for (i, j), n in both.items():
         if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
             root[find(i)] = find(j)
+            n_links.update((i, j))
     least = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return [(d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(docs)]
+    return [(d, len(sets[i]), least.get(find(i)), n_links[i]) for i, (d, _) in enumerate(docs)]
 
 
 def repeats(docs, window=35):

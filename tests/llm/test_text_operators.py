@@ -47,26 +47,55 @@ def test_jaccard_join_table(spark, sf):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_join_in_rounds(spark, seed):
-    """Regions beyond their bound go through rounds of pivots; results stay exact."""
+def test_jaccard_join_in_voronoi_regions(spark, seed):
+    """Regions beyond their bound are parted by pivots, those that pivots do not part are joined by blocks; results stay exact."""
     rng = np.random.default_rng(seed)
     rows = []
-    for g in range(4):
-        base = [f"g{g}w{i}" for i in range(60)]
-        for k in range(12):
+    for g in range(8):
+        base = ["common"] * 5 + [f"g{g}w{i}" for i in range(100)]
+        for k in range(9):
             own = base[:]
-            for i in rng.choice(60, rng.integers(0, 3), replace=False):
+            for i in rng.choice(np.arange(5, 105), rng.integers(0, 3), replace=False):
                 own[i] = f"c{k}"
             rows.append((len(rows), " ".join(own)))
+    # one region of them all: all sets share the shingle of the common words
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sizes, frequent = jaccard_join.sized(docs)
-    links = jaccard_join.links_of(docs, sizes, frequent, members=3, weight=200, pivots=2)
-    names = {r["node"]: r["label"] for r in components(links).collect()}
-    label = {r["doc_id"]: names.get(r["identity"], r["identity"]) for r in sizes.collect()}
-    least = {}
-    for d, c in sorted(label.items()):
-        least.setdefault(c, d)
-    assert {(d, least[c]) for d, c in label.items()} == {(d, c) for d, _, c in brute.near(rows)}
+    want = brute.near(rows)
+    sets = [brute.shingles(t) for _, t in rows]
+    one = spark.createDataFrame([(7, i, len(s), 1, [7]) for i, s in enumerate(sets)], "root long, node long, size long, copies long, homes array<long>")
+    report = []
+    found = jaccard_join.found_in(one, docs.withColumnRenamed("doc_id", "node"), 12, 100_000, 8, report).collect()
+    assert report[0][0] == report[0][1] == 1, report
+    assert report[0][2] > len(rows)  # one region, parted, some sets in several parts
+    assert {(r["a"], r["n"]) for r in found if r["b"] is None} == {(d, n) for d, _, _, n in want if n}
+    same(jaccard_join.near_duplicates(docs, members=4, weight=300, pivots=3), want)
+
+
+def test_jaccard_join_of_alike_and_of_unlinked_sets(spark):
+    """Pivots part neither: blocks give all links of a group of near copies, and none of sets that share one shingle only."""
+    alike = [(i, " ".join([f"a{k}" for k in range(120)] + [f"own{i}"])) for i in range(60)]
+    apart = [(100 + i, "shared by all of us " + " ".join(f"u{i}x{k}" for k in range(3 + i % 3))) for i in range(5000)]
+    docs = spark.createDataFrame(alike + apart, "doc_id long, text string")
+    report = []
+    out = jaccard_join.near_duplicates(docs, members=16, report=report)
+    same(out, [(d, len(brute.shingles(t)), 0 if d < 100 else d, 59 if d < 100 else 0) for d, t in alike + apart])
+    assert report
+
+
+def test_jaccard_join_by_blocks(spark):
+    rows = [(i, " ".join([f"a{k}" for k in range(40)] + [f"own{i % 7}"] * (i % 5))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard_join.near_duplicates(docs, members=5, weight=120, pivots=2), brute.near(rows))
+
+
+def test_words_that_collide_under_polynomials_are_told_apart(spark):
+    """The Thue-Morse word and its complement are equal under any polynomial hash modulo 2**64."""
+    one, other = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048)) for k in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{one} x"), (2, f"{other} x"), (3, f"{one} {rest}"), (4, f"{other} {rest}")], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+    assert out[1] == 1 and out[2] == 2
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()] == [0] * 4
 
 
 def test_jaccard_join_empty(spark):
@@ -167,7 +196,7 @@ def test_contracts_of_columns(spark, sf):
     from emberway.llm.queries import QUERIES
 
     kinds = {
-        "op3_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+        "op3_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "n_links": "bigint"},
         "op6_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
         "op8_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
         "op9_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
