@@ -12,7 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from emberway.llm._words import BLOCK
+from emberway.llm._store import small_batches
+from emberway.llm._words import parts
 
 CACHE = 200_000  #: pieces of text, and words, that a worker remembers: about 100 MB
 REMEMBERED = 200  #: characters of the longest piece that is remembered
@@ -154,19 +155,5 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
                 names = ["doc_id", *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def parts(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold at most so many bytes of text, or one row."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    if not batch.num_rows:
-        return
-    total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(total, most + (total[i - 1] if i else 0), "right")))
-        yield batch.slice(i, j - i)
-        i = j

@@ -35,7 +35,7 @@ _ESCAPED = re.compile("|".join(map(re.escape, _BACK)))
 _TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(BODY)}(.*?){re.escape(CLOSE)}", re.DOTALL)
 
 PACK = 1 << 16  #: characters that a pack aims at; only one longer conversation makes it longer
-SEGMENTS = "pack string, node string, seq_start long, seq_end long, pos_start long, text string, loss_start long, loss_end long, ancestors array<struct<start:long,end:long>>"
+SEGMENTS = "pack string, node string, leaf boolean, seq_start long, seq_end long, pos_start long, text string, loss_start long, loss_end long, ancestors array<struct<start:long,end:long>>"
 
 
 def escape(text: str) -> str:
@@ -89,11 +89,12 @@ def packs(paths: DataFrame, limit: int = PACK) -> DataFrame:
     steps = paths.select("path", F.posexplode("keys").alias("depth", "key"), F.col("texts"))
     steps = steps.select("path", "depth", "key", F.length(F.col("texts")[F.col("depth")]).alias("n"))
     # characters below a node, its own among them; shared ones count once
-    own = steps.groupBy("key").agg(F.first("n").alias("n"), F.first("path").alias("any_path"))
+    # written, so that joins by a key which very many paths share may be split among tasks
+    own = written(steps.groupBy("key").agg(F.first("n").alias("n"), F.min("path").alias("any_path")), "own")
     below = steps.select("path", "key", "depth").join(own.select(F.col("key").alias("leaf_key"), "any_path", "n"), F.col("key") == F.col("leaf_key"))
     spent = below.withColumn("n", F.when(F.col("path") == F.col("any_path"), F.col("n")).otherwise(0))
     run = F.sum("n").over(W.partitionBy("path").orderBy(F.desc("depth")).rowsBetween(W.unboundedPreceding, 0))
-    weight = spent.withColumn("w", run).groupBy("key").agg(F.sum("w").alias("weight"))
+    weight = written(spent.withColumn("w", run).groupBy("key").agg(F.sum("w").alias("weight")), "weights")
     weighed = below.select("path", "depth", "key").join(weight, "key").select("path", F.struct("depth", "key", "weight").alias("s"))
     total = F.lit(own.agg(F.sum("n")).first()[0] or 0)
     lists = weighed.groupBy("path").agg(F.sort_array(F.collect_list("s")).alias("s"))
@@ -112,7 +113,8 @@ def format_chats(turns: DataFrame, limit: int = PACK, loss_role: str = "assistan
     A segment is a turn that one or more conversations share, in the order of a depth-first walk:
     its characters are seq_start to seq_end of its pack; their positions go up from pos_start, the
     length of all turns before it in its conversation; it attends to its own characters up to the
-    same one and to the intervals `ancestors`, its path's earlier turns, and to nothing else.
+    same one and to the intervals `ancestors`, its path's earlier turns (those side by side are one
+    interval), and to nothing else. leaf: a conversation ends with it.
     loss_start to loss_end is the escaped text of a turn of loss_role (empty for other roles).
 
     Turns are sorted by turn (null last), role and text, so ties have one order; a null role or
@@ -138,44 +140,57 @@ def format_chats(turns: DataFrame, limit: int = PACK, loss_role: str = "assistan
                     if (span := seen.get(key)) is None:
                         span = seen[key] = {"start": at, "end": at + len(text)}
                         counts = text.startswith(loss)
-                        rows.append((p, key, at, at + len(text), pos, text, at + len(loss) if counts else at, at + len(text) - len(CLOSE) if counts else at, list(spans)))
+                        rows.append((p, key, depth == len(keys) - 1, at, at + len(text), pos, text, at + len(loss) if counts else at, at + len(text) - len(CLOSE) if counts else at, list(map(dict, spans))))
                         at += len(text)
-                    spans.append(span)
+                    if spans and spans[-1]["end"] == span["start"]:
+                        spans[-1] = {"start": spans[-1]["start"], "end": span["end"]}
+                    else:
+                        spans.append(span)
                     pos += len(text)
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             columns = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in SEGMENTS.replace(",end:", "|").split(", ")])
 
-    # sorted by path, a node's descendants follow it: depth first
+    # sorted by path, a node's descendants follow it: depth first; a conversation that is another's beginning comes before it
     walk = packed.repartition("pack").sortWithinPartitions("pack", "keys").select("pack", "keys", "texts")
     return walk.mapInArrow(run, SEGMENTS), leaf.join(packed.select(F.col("path").alias("node"), "pack"), "node").select("conv_id", "pack", "node")
 
 
 def read_back(segments: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """pack, node, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars for every node, read from the packed sequences.
+    """pack, node, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars for every leaf, read from the packed sequences.
 
-    A node's conversation is the characters of its ancestors' intervals and its own; turns are
-    parsed from them, loss text is cut by the loss spans.
+    A leaf's conversation is the characters of its ancestors' intervals and its own; turns are
+    parsed from them, loss text is cut by the loss spans. A pack is read once, front to back.
     """
     schema = "pack string, node string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    names = ["pack", "node", "leaf", "seq_start", "text", "loss_start", "loss_end", "ancestors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, held = None, {}
+        pack, said, losses, place = None, [], [], {}
         for batch in batches:
             out = []
-            for s in batch.to_pylist():
-                if s["pack"] != pack:
-                    pack, held = s["pack"], {}
-                start, own = s["seq_start"], s["text"]
-                held[start] = (own, unescape(own[s["loss_start"] - start : s["loss_end"] - start]))
-                path = [held[a["start"]] for a in s["ancestors"]] + [held[start]]
-                whole, lost = "".join(p[0] for p in path), "".join(p[1] for p in path)
+            for p, node, leaf, start, text, lo, hi, ancestors in zip(*(batch.column(c).to_pylist() for c in names)):
+                if p != pack:
+                    pack, said, losses, place = p, [], [], {}
+                place[start] = len(said)
+                said.append(text)
+                losses.append(text[lo - start : hi - start])
+                if not leaf:
+                    continue
+                path = []
+                for a in ancestors:
+                    at, i = a["start"], place[a["start"]]
+                    while at < a["end"]:
+                        path.append(i)
+                        at, i = at + len(said[i]), i + 1
+                path.append(place[start])
+                whole, lost = "".join([said[i] for i in path]), "".join([unescape(losses[i]) for i in path])
                 turns = parse(whole)
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                out.append((pack, s["node"], len(turns), digest, len(lost), hashlib.sha256(lost.encode()).hexdigest(), len(whole)))
+                digest = hashlib.sha256("".join([f"{r}\n{t}\n" for r, t in turns]).encode()).hexdigest()
+                out.append((pack, node, len(turns), digest, len(lost), hashlib.sha256(lost.encode()).hexdigest(), len(whole)))
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*out)) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     rows = segments.repartition("pack").sortWithinPartitions("pack", "seq_start")
-    return rows.mapInArrow(run, schema)
+    return rows.select(*names).mapInArrow(run, schema)

@@ -9,11 +9,13 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberway.llm.bpe import parts
+from emberway.llm._store import small_batches
+from emberway.llm._words import parts
 
 # The classes of elements that the rules below speak of.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template head title noscript iframe object svg math audio video canvas datalist".split())
+HIDDEN = frozenset("script style template head title noscript iframe object audio video canvas datalist".split())
+FOREIGN_HIDDEN = frozenset("desc metadata defs symbol annotation annotation-xml".split())  # within svg and math
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend main menu nav option optgroup search section select summary".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote figure".split())
@@ -27,12 +29,15 @@ IMPLIED = {
 }
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "rt": {"ruby"}, "rp": {"ruby"}, "body": {"html"}}
 TABLE_SCOPE = {"table"}
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+TABLE_INNER = frozenset("table tbody thead tfoot tr".split())  # hold table parts only; what else is in them goes before the table
 HEAD_CONTENT = frozenset("meta link title style script base template noscript".split())
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|([!?]))")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -48,6 +53,7 @@ class Node:
 def tree(html: str) -> Node:
     """Builds the tree: void elements have no children, opening tags end what they imply, p ends at blocks,
     an end tag without its opening one is ignored (</p> and </br> stand for an element), open elements end with the text.
+    Text and elements that lie in a table but in none of its cells go before the table.
     """
     root = Node("html", {})
     stack, at, n = [root], 0, len(html)
@@ -56,7 +62,30 @@ def tree(html: str) -> Node:
         if text:
             if stack[-1].tag == "head" and text.strip():
                 close({"head"}, {"html"})
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            said = unescape(text) if "&" in text else text
+            put(said, stack[-1].tag in TABLE_INNER and bool(said.strip()))
+
+    def put(x: Node | str, before: bool) -> None:
+        """Into the open element, or before the open table."""
+        if not before:
+            stack[-1].children.append(x)
+            return
+        table = max(i for i, e in enumerate(stack) if e.tag == "table") if any(e.tag == "table" for e in stack) else 0
+        if not table:
+            stack[-1].children.append(x)
+            return
+        around = stack[table - 1].children
+        at = next((i for i in range(len(around) - 1, -1, -1) if around[i] is stack[table]), len(around))
+        around.insert(at, x)
+
+    def back_to_table() -> None:
+        """Ends what is open in a table outside its cells."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ("td", "th", "caption"):
+                return
+            if stack[i].tag in TABLE_INNER:
+                del stack[i + 1 :]
+                return
 
     def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -108,8 +137,12 @@ def tree(html: str) -> Node:
             scope = SCOPE.get(tag, TABLE_SCOPE)
             for _ in range(4 if scope is TABLE_SCOPE else 2):
                 close(IMPLIED[tag], scope)
+        if tag in TABLE_PARTS:
+            back_to_table()
+        if tag == "table" and stack[-1].tag in TABLE_INNER:  # ends the one that it is in, but for cells
+            close({"table"}, frozenset())
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        put(node, stack[-1].tag in TABLE_INNER and tag not in TABLE_PARTS and tag not in HIDDEN)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(html, at)
             text = html[at : end.start() if end else n]
@@ -182,21 +215,27 @@ def _render(root: Node, page: Page) -> None:
     counts: list[list] = []
     tables: list[dict] = []
     pages = [page]
+    seen, foreign = True, 0
     while todo:
         x, p = todo.pop(), pages[-1]
         if isinstance(x, str):
-            p.text(x, pre > 0)
+            if seen:
+                p.text(x, pre > 0)
         elif isinstance(x, tuple):
             act, tag = x
             if act == "cell":
                 p.end(0)
                 cell = pages.pop().lines
-                tables[-1]["rows"][-1].extend([cell] + [[] for _ in range(tag - 1)])
+                tables[-1]["rows"][-1].append((cell, *tag))
             elif act == "table":
                 for line in _table(tables.pop()["rows"]):
                     p.now = [line] if line else []
                     p.end(0, True)
                 p.end(1)
+            elif act == "seen":
+                seen = tag
+            elif act == "foreign":
+                foreign -= 1
             elif act == "list":
                 counts.pop()
                 p.end(0 if counts else 1)
@@ -209,8 +248,14 @@ def _render(root: Node, page: Page) -> None:
             else:
                 p.end(1 if tag in SPACED else 0)
                 p.indent -= 4 * (tag == "blockquote" or tag == "dd")
-        elif not hidden(x):
+        elif not hidden(x) and not (foreign and x.tag in FOREIGN_HIDDEN):
             tag = x.tag
+            if "style" in x.attrs and (said := _VISIBILITY.findall(x.attrs["style"])):
+                todo.append(("seen", seen))
+                seen = said[-1].lower() == "visible"
+            if tag in ("svg", "math"):
+                foreign += 1
+                todo.append(("foreign", tag))
             if tag == "br":
                 p.end(0, True)
                 continue
@@ -218,11 +263,11 @@ def _render(root: Node, page: Page) -> None:
                 p.end(1)
                 continue
             if tag == "img":
-                if alt := x.attrs.get("alt", "").strip():
+                if seen and (alt := x.attrs.get("alt", "").strip()):
                     p.text(alt, False)
                 continue
             if tag == "input":
-                if x.attrs.get("type", "text").lower() in ("text", "submit", "button", "search", "reset") and (value := x.attrs.get("value", "")):
+                if x.attrs.get("type", "text").lower() in ("text", "submit", "button", "search", "reset") and seen and (value := x.attrs.get("value", "")):
                     p.text(value, False)
                 continue
             if tag == "table":
@@ -234,8 +279,7 @@ def _render(root: Node, page: Page) -> None:
             elif tag in ("td", "th") and tables:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
-                span = x.attrs.get("colspan", "1")
-                todo.append(("cell", min(1000, max(1, int(span))) if span.isascii() and span.isdigit() else 1))
+                todo.append(("cell", (_span(x, "colspan", 1000), _span(x, "rowspan", 65534))))
                 pages.append(Page())
             elif tag == "caption" or tag in BLOCK or tag in SPACED or tag == "li":
                 if tag in ("ul", "ol", "menu", "dir"):
@@ -247,7 +291,7 @@ def _render(root: Node, page: Page) -> None:
                 elif tag == "li":
                     p.end(0)
                     kind = counts[-1] if counts else ["ul", 1]
-                    p.first = f"{kind[1]}. " if kind[0] == "ol" else "- "
+                    p.first = (f"{kind[1]}. " if kind[0] == "ol" else "- ") if seen else ""
                     kind[1] += 1
                     todo.append(("item", tag))
                 elif tag == "pre":
@@ -261,24 +305,51 @@ def _render(root: Node, page: Page) -> None:
             todo.extend(reversed(x.children))
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
+def _span(node: Node, name: str, most: int) -> int:
+    """Columns or rows that a cell takes; a rowspan of 0 goes on to the table's end."""
+    said = node.attrs.get(name, "1")
+    n = int(said) if said.isascii() and said.isdigit() else 1
+    return min(n, most) or (most if name == "rowspan" else 1)
+
+
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[list[list[str]]]:
+    """A table's cells by column: one that spans more leaves the others empty."""
+    out, held = [], {}
+    for r in rows:
+        line, fresh = [], {}
+        for cell, columns, down in r:
+            while held.get(len(line)):
+                line.append([])
+            if down > 1:
+                fresh |= {k: down - 1 for k in range(len(line), len(line) + columns)}
+            line += [cell] + [[]] * (columns - 1)
+        held = {k: n - 1 for k, n in held.items() if n > 1} | fresh
+        out.append(line)
+    return out
+
+
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table: a column is as wide as its widest line, cells of more lines go down beside each other."""
-    rows = [r for r in rows if any(any(line.strip() for line in c) for c in r)]
+    grid = [r for r in _grid(rows) if any(any(line.strip() for line in c) for c in r)]
     width: dict[int, int] = {}
-    for r in rows:
+    for r in grid:
         for k, c in enumerate(r):
             width[k] = max(width.get(k, 0), max(map(len, c), default=0))
     out = []
-    for r in rows:
+    for r in grid:
         for i in range(max(map(len, r))):
             cells = [(c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(r) if width[k]]
-            out.append(" | ".join(cells).rstrip(" |") if any(c.strip() for c in cells) else "")
+            while cells and not cells[-1].strip():
+                cells.pop()
+            out.append(" | ".join(cells).rstrip())
     return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text: one row per row of pages.
 
+    Hidden are elements of HIDDEN, of display: none, of visibility: hidden but for children that
+    are visible again, the hidden attribute, and what svg and math hold besides what they show.
     A null or empty html gives an empty text. Pages are read whole, however long or deep; broken
     markup gives what the rules of `tree` make of it. Repeated rows give repeated rows; other
     columns are not read; an empty table gives no rows.
@@ -290,4 +361,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [rendered(x or "") for x in rows.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "text"])
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string")

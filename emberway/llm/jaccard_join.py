@@ -23,8 +23,9 @@ from emberway.llm.components import components
 
 SHINGLE, NUM, DEN = 5, 80, 100  #: words of a shingle; the least similarity is NUM / DEN
 APART = 1 - NUM / DEN + 1e-9  #: distance of linked sets, at most, with a bit for floating point; links are decided in integers
-PORTION = 500_000  #: shingles that a task counts at a time to find frequent ones
-SEEN, FREQUENT = 2, 24  #: texts of a portion, and of all portions that had so many, that make a shingle frequent
+PORTION = 3_000_000  #: shingles that a task counts at a time to find frequent ones
+SEEN = 2  #: texts of a portion that make a shingle count there
+FREQUENT = (8, 64, 512)  #: texts, of portions where it counts, that make a shingle frequent, and more so
 MEMBERS, WEIGHT = 1024, 1_000_000  #: members and shingles of a region that is joined in one piece
 PIVOTS = 64  #: pivots of a larger region, at most
 PARTED = 0.5  #: share of a region's pairs that its parts may have together, else pivots do not part it
@@ -62,6 +63,13 @@ class Sets:
         np.cumsum(h, out=total[1:])
         return mixed(total[self.start[1:]] - total[self.start[:-1]] + self.size.astype(np.uint64))
 
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
 def needed(size: np.ndarray) -> np.ndarray:
     """Shingles of a set that any linked one must share: the least integer that is NUM / DEN of its size."""
     return -(-size * NUM // DEN)
@@ -83,8 +91,12 @@ def sized(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            token, n = token[n >= SEEN], n[n >= SEEN]
+            token = np.concatenate(held)
+            held.clear()
+            token.sort()
+            first = runs_of(token)
+            n = np.diff(first, append=len(token))
+            token, n = token[first[n >= SEEN]], n[n >= SEEN]
             none = pa.nulls(len(token), pa.int64())
             return _batch([none] * 5 + [token.view(np.int64), n.astype(np.int64)], schema)
 
@@ -98,7 +110,6 @@ def sized(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame
                 held.append(s.token)
                 if sum(map(len, held)) > PORTION:
                     yield counted()
-                    held.clear()
         if held:
             yield counted()
 
@@ -108,8 +119,8 @@ def sized(docs: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame
     return told, rows.where("token is not null").select("token", "n")
 
 
-def prefixes(docs: DataFrame, frequent: HashSet, some: HashSet | None = None) -> DataFrame:
-    """token, identity, size, at: of each set as many tokens as it can spare and one, in one order of all tokens, frequent ones last.
+def prefixes(docs: DataFrame, frequent: list[HashSet], some: HashSet | None = None) -> DataFrame:
+    """token, identity, size, at: of each set as many tokens as it can spare and one, in one order of all tokens, the more frequent ones later.
 
     Two linked sets share a token of these; size is the set's, at the token's place in the order.
     With `some`, only tokens that it holds.
@@ -122,7 +133,7 @@ def prefixes(docs: DataFrame, frequent: HashSet, some: HashSet | None = None) ->
         for batch in batches:
             for _, data, offsets in blocks(batch.column("text")):
                 s = Sets(data, offsets)
-                order = np.lexsort((s.token, frequent.holds(s.token), s.row))
+                order = np.lexsort((s.token, sum(f.holds(s.token).astype(np.int8) for f in frequent), s.row))
                 place = np.arange(len(order)) - s.start[s.row]
                 spare = s.size - needed(s.size) + 1
                 fresh = np.zeros(len(s.size), bool)
@@ -138,7 +149,7 @@ def prefixes(docs: DataFrame, frequent: HashSet, some: HashSet | None = None) ->
     return docs.select("text").mapInArrow(run, schema)
 
 
-def cells(docs: DataFrame, frequent: HashSet) -> DataFrame:
+def cells(docs: DataFrame, frequent: list[HashSet]) -> DataFrame:
     """region, identity: the sets that could be linked with another one by way of a token, by the pivot of its cell; two a region at least.
 
     A pre-filter. A token's sets are cut where sizes, in order, part by more than linked sets' may.
@@ -183,7 +194,7 @@ def cells(docs: DataFrame, frequent: HashSet) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """node, text: a text of each node in members (node, identity, check)."""
+    """identity, check, text: a text of each set in members, and of a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(HashSet(members, "identity", n))
     schema = "identity long, check long, text string"
 
@@ -195,15 +206,7 @@ def texts_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 some = np.sort(first[shared.value.holds(np.ascontiguousarray(own[0]))])
                 yield _batch([s.identity[some], s.check[some], batch.column("text").take(pa.array(some + at))], schema)
 
-    texts = docs.select("text").mapInArrow(run, schema).groupBy("identity", "check").agg(F.first("text").alias("text"))
-    return members.join(texts, ["identity", "check"]).select("node", "text")
-
-
-def runs_of(values: np.ndarray) -> np.ndarray:
-    """Where a value differs from the one before."""
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    return np.flatnonzero(new)
+    return docs.select("text").mapInArrow(run, schema).groupBy("identity", "check").agg(F.first("text").alias("text"))
 
 
 def in_common(values: np.ndarray, member: np.ndarray, n: int, tiles: list[tuple[slice, slice]]) -> np.ndarray:
@@ -265,7 +268,7 @@ class Region:
         return (DEN * both >= NUM * (size[:, None] + size - both))[back][:, back]
 
 
-PAIR = "region long, part long, pivot int, block int, root long, node long, core boolean, size long, copies long, homes array<long>"
+PAIR = "region long, part long, pivot int, block int, root long, identity long, check long, node long, core boolean, size long, copies long, homes array<long>"
 FOUND = "a long, b long, n long"
 
 
@@ -289,7 +292,7 @@ def _grouped(rows: DataFrame, texts: DataFrame, work: Callable[[pa.Table], pa.Re
             yield work(pa.Table.from_batches(held).combine_chunks())
 
     names = [x.split()[0] for x in PAIR.split(", ")]
-    full = rows.join(texts, "node").select(*names, "text").repartition("region", "part")
+    full = rows.join(texts, ["identity", "check"]).select(*names, "text").repartition("region", "part")
     return full.sortWithinPartitions("region", "part", F.desc("pivot"), "node").mapInArrow(run, schema)
 
 
@@ -396,8 +399,8 @@ def in_blocks(rows: DataFrame, members: int, weight: int) -> DataFrame:
 
 
 def found_in(pairs: DataFrame, texts: DataFrame, members: int = MEMBERS, weight: int = WEIGHT, pivots: int = PIVOTS, report: list | None = None) -> DataFrame:
-    """FOUND for first regions (root, node, size, copies, homes); report gets (large, parted, replicas) of each level."""
-    rows = pairs.select(F.col("root").alias("region"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("pivot"), F.lit(-1).alias("block"), "root", "node", F.lit(True).alias("core"), "size", "copies", "homes")
+    """FOUND for first regions (root, identity, check, node, size, copies, homes); report gets (large, parted, replicas) of each level."""
+    rows = pairs.select(F.col("root").alias("region"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("pivot"), F.lit(-1).alias("block"), "root", "identity", "check", "node", F.lit(True).alias("core"), "size", "copies", "homes")
     found = []
     while True:
         each = rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.sum(F.col("core").cast("long")).alias("cores")).where("cores > 0")
@@ -454,12 +457,12 @@ def near_duplicates(docs: DataFrame, members: int = MEMBERS, weight: int = WEIGH
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row") if key else F.struct(F.col("doc_id").isNull().alias("late"), "doc_id")
     sets = rows.where("n_shingles > 0").groupBy("identity", "check").agg(F.min("row").alias("node"), F.max("n_shingles").alias("size"), F.count("*").alias("copies"), F.min(order).alias("least"))
     sets = written(sets, "sets")
-    common = written(frequent.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token"), "frequent")
-    pairs = cells(docs, HashSet(common, "token", common.count())).withColumnRenamed("region", "root")
+    common = written(frequent.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT[0]), "frequent")
+    levels = [common.where(F.col("n") >= n) for n in FREQUENT]
+    pairs = cells(docs, [HashSet(c, "token", c.count()) for c in levels]).withColumnRenamed("region", "root")
     pairs = written(pairs.join(sets.drop("least"), "identity"), "members")
     homes = pairs.groupBy("node").agg(F.collect_list("root").alias("homes"))
-    nodes = pairs.select("node", "identity", "check").distinct()
-    texts = texts_of(docs, nodes, pairs.agg(F.approx_count_distinct("node")).first()[0])
+    texts = texts_of(docs, pairs, pairs.agg(F.approx_count_distinct("node")).first()[0])
     found = found_in(pairs.join(homes, "node"), texts, members, weight, pivots, report)
     names = components(found.where("b is not null").select("a", "b"))
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked"))

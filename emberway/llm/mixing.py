@@ -53,29 +53,44 @@ def targets(sources: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = C
     return rows.select("source", "source_size", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
 
+def draw(seed: int) -> Column:
+    """A number in (0, 1) by doc_id, length of the text and seed."""
+    return (F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), 11) + 0.5) / 2.0**53
+
+
 def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, seed: int = 17, inclusion: Column | None = None, key: str | None = None) -> DataFrame:
-    """doc_id, source, row, size, source_size, target, copies, taken: one row per row of docs.
+    """doc_id, source, row, size, source_size, target, p, copies, taken: one row per row of docs.
 
     A source whose target is c times its size first gives floor(c) whole copies of every row.
     The rest of the target is met by one more copy of the rows of lowest Pareto rank,
-    (u / (1 - u)) / (p / (1 - p)), as many as come nearest to it in words, and one row more or fewer, that whose size is nearest to
-    what is missing still; u is a hash of doc_id,
-    row text length and seed, so reruns agree; p is c - floor(c), times `inclusion` where that is
-    given (a positive column of docs, mean about 1), kept below 1. Rows of a whole-number c get no
-    more. Null texts and blank texts have size 0 and take no words. A null source is a source of
-    its own, last in order. No row gives more than ceil(cap) copies. Identical rows may differ in
-    copies. An empty table gives no rows. row is the column key of docs (a number of each row),
-    where that is given.
+    (u / (1 - u)) / (p / (1 - p)), as many as come nearest to it in words, and one row more or
+    fewer, that whose size is nearest to what is missing still. u is a hash of doc_id, text length
+    and seed, so reruns agree. p is a row's odds times what makes the expected words of a source's
+    sample its rest, kept below 1. Odds are `inclusion`, a positive column of docs, where that is
+    given, else 2 * size / (size + the source's mean size): longer texts are likelier, fragments
+    seldom taken. Rows of a whole-number c get no more. Null texts and blank texts have size 0 and
+    take no words. A null source is a source of its own, last in order. No row gives more than
+    ceil(cap) copies. Identical rows may differ in copies. An empty table gives no rows. row is
+    the column key of docs (a number of each row), where that is given.
     """
-    extra = F.lit(1.0) if inclusion is None else inclusion.cast("double")
-    rows = written(docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), extra.alias("odds_of"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row"),
-        ((F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), 11) + 0.5) / 2.0**53).alias("u")), "sized")
-    goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, cap), "targets")
+    odds = F.lit(None).cast("double") if inclusion is None else inclusion.cast("double")
+    row = F.col(key) if key else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), odds.alias("odds"), row.alias("row"), draw(seed).alias("u"))
+    rows = written(rows, "sized")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
+    goal = targets(sizes.select("source", "source_size"), cycle, cap)
+    usual = 2 * F.col("size") / (F.col("size") + F.col("mean"))
+    weighed = rows.alias("r").join(sizes.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
+        "r.source", "mean", (F.coalesce("odds", usual) * F.col("size")).alias("w"))
+    weighed = weighed.groupBy("source").agg(F.sum("w").alias("w"), F.first("mean").alias("mean"))
+    goal = goal.alias("g").join(weighed.alias("w"), F.col("g.source").eqNullSafe(F.col("w.source"))).drop(F.col("w.source"))
+    goal = written(goal, "targets")
     goal = goal.withColumn("c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("whole", F.floor("c")).withColumn("part", F.col("c") - F.col("whole")).withColumn("left", F.col("part") * F.col("source_size"))
     r = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
-    p = F.least(F.col("part") * F.col("odds_of"), F.lit(1 - 1e-9))
+    p = F.coalesce("odds", usual) * F.col("left") / F.col("w")
+    r = r.withColumn("p", F.when(F.col("w") > 0, F.least(F.when(F.col("size") > 0, p).otherwise(F.col("part")), F.lit(1 - 1e-9))).otherwise(F.lit(0.0)))
+    p = F.col("p")
     q = F.when(p > 0, F.col("u") / (1 - F.col("u")) * (1 - p) / p)
     # the rank's own distribution maps it to (0, 1): 1 / (1 + 1 / q) grows with q, so a bin is a range of ranks
     r = r.withColumn("q", q).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
@@ -97,4 +112,4 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
     final = drawn.join(last_row, "row", "left")
     copies = F.col("whole") + F.when(F.col("turn") == 1, 1 - F.col("more")).otherwise(F.col("more"))
     return final.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "row", "size", F.col("source_size").cast("long"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        "doc_id", "source", "row", "size", F.col("source_size").cast("long"), "target", "p", "copies", (F.col("copies") * F.col("size")).alias("taken"))

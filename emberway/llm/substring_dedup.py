@@ -12,22 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberway.llm._maps import HashSet
-from emberway.llm._store import written
+from emberway.llm._store import small_batches, written
 from emberway.llm._words import Words, blocks, mixed
 
 WINDOW = 35  #: words of a passage that counts as repeated
 ANCHOR = 14  #: words of an anchor: a window's run of so many words with the least hash
 HOT = 512  #: occurrences from which an anchor is told apart further, by whole windows
-SHARD_BYTES = 6_000_000  #: text of the documents that share an automaton, about
+SHARD_BYTES = 16_000_000  #: text of the documents that share an automaton, about
+TASK_BYTES = 64_000_000  #: text of the shards that one task takes one after another, about, beyond what keeps all tasks busy
 LETTERS, WIDTH = 24, 3  #: letters of an alphabet and alphabets of the codes of an automaton's words; the last alphabet is as large as it must be
 
 
 class Anchors:
-    """Windows of a block of texts: hash and first word of each, and its anchor's hash and first word."""
+    """Windows of a block of texts: hash and first word of each, and its anchor's hash and first word.
 
-    def __init__(self, words: Words, window: int, anchor: int):
+    With check, 32 more bits of each window, joined from its words in another way.
+    """
+
+    def __init__(self, words: Words, window: int, anchor: int, check: bool = False):
         h = words.hashes()
         self.hash, self.at = words.runs(window, h)
+        if check:
+            self.check = (words.runs(window, mixed(h ^ np.uint64(0x5851F42D4C957F2D)))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         grams, first = words.runs(anchor, h)
         place = np.full(len(h) + 1, 0, np.int64)
         place[first] = np.arange(len(first))
@@ -63,7 +69,7 @@ def _runs_of(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _scan(docs: DataFrame, each, schema: str, window: int, anchor: int) -> DataFrame:
+def _scan(docs: DataFrame, each, schema: str, window: int, anchor: int, check: bool = False) -> DataFrame:
     """each(anchors, words, texts' ids) gives the columns of its rows, in blocks of documents."""
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -72,7 +78,7 @@ def _scan(docs: DataFrame, each, schema: str, window: int, anchor: int) -> DataF
             ids = batch.column("row").to_numpy()
             for at, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
-                yield pa.RecordBatch.from_arrays(each(Anchors(words, window, anchor), words, ids[at : at + len(offsets) - 1]), names=names)
+                yield pa.RecordBatch.from_arrays(each(Anchors(words, window, anchor, check), words, ids[at : at + len(offsets) - 1]), names=names)
 
     return docs.select("row", "text").mapInArrow(run, schema)
 
@@ -88,15 +94,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     1. Every window names an anchor: its run of `anchor` words with the least hash. Anchors that
        occur once cannot lie in a recurring window. A bounded map tells the others.
-    2. Windows with such an anchor are counted by hash; each that recurs belongs to the least row
-       that has it. In a row, windows of its own with one anchor, side by side, are a phrase.
+    2. Windows with such an anchor are counted, told apart by 96 bits; each that recurs belongs to
+       the least row that has it. In a row, windows of its own with one anchor, side by side, are a phrase.
     3. Documents are dealt into shards of bounded size. A phrase goes to the shards where its
        anchor occurs (for an anchor of `hot` occurrences or more: where one of its windows does).
     4. A shard compiles its phrases' anchors into an automaton over word numbers; each of its
        documents is streamed through it. From every hit the match is extended over equal words
        as far as the phrase goes; `window` words or more are removed.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     # written once: several jobs read the rows and must see the same numbers
     docs = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "docs")
 
@@ -115,10 +121,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         some = np.flatnonzero(common.value.holds(a.anchor))
         at = a.at[some]
         doc = np.searchsorted(words.first, at, "right") - 1
-        return [_signed(a.hash[some]), pa.array(ids[doc])]
+        return [_signed(a.hash[some]), pa.array(a.check[some]), pa.array(ids[doc])]
 
-    seen = _scan(docs, own_windows, "window long, row long", window, anchor)
-    first = seen.groupBy("window").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n > 1")
+    seen = _scan(docs, own_windows, "window long, check int, row long", window, anchor, True)
+    first = seen.groupBy("window", "check").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n > 1")
     places = written(first.groupBy("row").agg(F.collect_list("window").alias("windows")), "places")
 
     def keys(a: Anchors, at: np.ndarray) -> np.ndarray:
@@ -169,7 +175,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     sent = phrases.select("id", "phrase", "offset").join(keyed, "id")
     sent = sent.select("shard", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("phrase").alias("data"), "offset")
     told = docs.select(shard_of.alias("shard"), "row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.lit(-1).alias("offset"))
-    rows = sent.unionByName(told).repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.desc("offset"))
+    n_tasks = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)))
+    rows = sent.unionByName(told).repartitionById(n_tasks, F.col("shard") % n_tasks).sortWithinPartitions("shard", F.desc("offset"))
     schema = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
     # 4

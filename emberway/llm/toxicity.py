@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberway.llm._store import written
+from emberway.llm._store import small_batches, written
 from emberway.llm._words import Words, blocks, mixed
 
 LENGTHS = (4, 5, 6, 8, None)  #: a word's features: its first so many bytes, and all of them
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fits a model to a bounded sample: rows labelled toxic, and texts whose labels are not looked at.
 
     Labels of held-out rows (see held_out) are never read. The sample is the rows of lowest hash,
-    at most `positives` and `unlabelled` of them, each text once. Features are those of LEAST positive
+    at most `positives` and `unlabelled` doc_ids, one text of each, each text once. Features are those of LEAST positive
     texts whose share among them lies APART from that among the unlabelled ones; the driver holds
     the sample's features of these. The class prior is the toxic share of the labelled rows that are not held out
     (of at most LABELLED of them), unless fixed_prior is given. A doc_id that any label calls
@@ -142,10 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not n_toxic:
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
     ids = told.where("toxic = 1").select("doc_id").orderBy(order("doc_id"), "doc_id").limit(positives).withColumn("positive", F.lit(True))
-    some = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").orderBy(order("doc_id"), "doc_id").limit(unlabelled)
-    ids = ids.unionByName(some.distinct().withColumn("positive", F.lit(False)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("positive", "text").distinct()
-    sample = written(sample.where("text is not null"), "sample")
+    some = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(order("doc_id"), "doc_id").limit(unlabelled)
+    ids = ids.unionByName(some.withColumn("positive", F.lit(False)))
+    # of rows that repeat a doc_id one text, so that the sample stays within its bounds
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    found = found.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = written(found.select("positive", "text").distinct(), "sample")
     toxic, rest = sample.where("positive"), sample.where("not positive")
     n_p, n_u = toxic.count(), rest.count()
     top = _counts(toxic, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "f").limit(FEATURES).toPandas()
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     A null or empty text has the score of a text without features; a null doc_id is not held out.
     Repeated rows get equal scores; other columns are not read; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Rows of docs, with all their columns, whose text scores below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -8,12 +8,13 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberway.llm._store import shared_dir
+from emberway.llm._store import shared_dir, small_batches
 
 CHUNK = 1 << 20  #: bytes of a record that one row holds at most
 SENT = 4 << 20  #: bytes of chunks that go to Spark at a time
@@ -38,10 +39,11 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.join(first.hint("merge"), ["digest", "n"], "left").select("page_id", "url", "html", F.when(other, F.col("first_id")).alias("refers_to"))
 
 
-def header(page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None) -> bytes:
+def header(record: str, date: str, page_id: int | None, url: str | None, size: int, digest: str, refers_to: int | None) -> bytes:
     """WARC/1.1 header of a record; line breaks in a url are percent-encoded, a null page_id is left out."""
     url = re.sub(r"[\r\n%]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Target-URI: {url}"]
+    kind = "response" if refers_to is None else "revisit"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", "Content-Type: text/html"]
     lines += [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}"]
     if refers_to is not None:
@@ -50,13 +52,15 @@ def header(page_id: int | None, url: str | None, size: int, digest: str, refers_
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def chunk_rows(pages: DataFrame, chunk: int = CHUNK, date: str | None = None) -> DataFrame:
     """Rows of CHUNKS for typed pages: a record's bytes are those of its rows in order of chunk_no.
 
     payload_so_far is the SHA-1, in base32, of the payload up to the row's end, carried along
     from chunk to chunk. Chunks are slices of the column's own memory; no record is copied whole.
     A row's number in its task is part of the record's id, so that equal rows are records apart.
+    date is the records' WARC-Date, the time of the call unless given.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -73,10 +77,11 @@ def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 for at in range(0, max(len(body), 1), chunk):
                     h.update(body[at : at + chunk])
                     states.append(base32(h.digest()))
-                head = header(page, url, len(body), states[-1], ref)
+                record = uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {url} {states[-1]} {key}").urn
+                head = header(record, date, page, url, len(body), states[-1], ref)
                 stored = body if ref is None else body[:0]
                 pieces = [(head, 0)] + [(stored[at : at + chunk], k) for k, at in enumerate(range(0, len(stored), chunk))]
-                record, n = uuid.uuid5(uuid.NAMESPACE_URL, f"{page} {url} {states[-1]} {key}").urn, max(1, len(pieces) - 1)
+                n = max(1, len(pieces) - 1)
                 for k in range(n):
                     data = (head if k == 0 else b"") + (bytes(pieces[k + 1][0]) if len(pieces) > 1 else b"") + (b"\r\n\r\n" if k == n - 1 else b"")
                     rows.append((record, k, n, page, data, states[k] if ref is None else states[-1]))
@@ -160,13 +165,13 @@ def write_archive(pages: DataFrame, path: str | None = None, least: int = 0, chu
     comparison. Rows that repeat page_id, url and html give one record each; no two records have
     the same id, and ids differ from one archive to the next.
     """
-    path = path or f"{shared_dir(pages.sparkSession)}/emberway/warc-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(small_batches(pages.sparkSession))}/emberway/warc-{uuid.uuid4().hex}"
     chunk_rows(typed(pages, least), chunk).write.parquet(path)
     return path
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return read_records(spark.read.parquet(path))
+    return read_records(small_batches(spark).read.parquet(path))
 
 
 def export_files(spark: SparkSession, path: str, folder: str) -> DataFrame:

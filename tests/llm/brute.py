@@ -110,6 +110,35 @@ def targets(sizes):
     return out
 
 
+def mixed(rows):
+    """{row: copies} of [(row, source, size, u)]: whole copies, then by Pareto rank as many more as come nearest to the target."""
+    sizes, out = defaultdict(list), {}
+    for row, source, size, u in rows:
+        sizes[source].append((row, size, u))
+    goal = targets({s: sum(n for _, n, _ in rs) for s, rs in sizes.items()})
+    for source, rs in sizes.items():
+        total = sum(n for _, n, _ in rs)
+        c = goal[source] / total if total else 0.0
+        left, mean = (c - math.floor(c)) * total, total / len(rs)
+        odds = {row: 2 * n / (n + mean) if n + mean else 0.0 for row, n, _ in rs}
+        w = sum(odds[row] * n for row, n, _ in rs)
+        ranked, more, run = [], {row: 0 for row, _, _ in rs}, 0
+        for row, n, u in rs:
+            p = min((odds[row] * left / w if n else c - math.floor(c)), 1 - 1e-9) if w else 0.0
+            if p > 0:
+                ranked.append((u / (1 - u) * (1 - p) / p, row, n))
+        for _, row, n in sorted(ranked):
+            if run < left and run + n - left <= left - run:
+                more[row] = 1
+            run += n
+        gap = left - sum(more[row] * n for _, row, n in ranked)
+        turn = [(abs(abs(gap) - n), q, row) for q, row, n in ranked if n and more[row] == (0 if gap > 0 else 1) and abs(abs(gap) - n) < abs(gap)]
+        if turn:
+            more[min(turn)[2]] ^= 1
+        out.update({row: math.floor(c) + k for row, k in more.items()})
+    return out
+
+
 def records(pages):
     body = [(h or "").encode() for _, h in pages]
     first = {}
