@@ -54,7 +54,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("byte-level BPE encoding and decoding", tokenize),
 ]
-ORACLE_SQL = None  # a trained classifier and hashed draws are beyond SQL; tests hold run() against brute force
+ORACLE_SQL = None  # a trained classifier and hashed draws are beyond SQL; tests/llm/test_pipeline_run.py holds run() against a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
