@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -66,3 +66,18 @@ def truncated(c: Column) -> Column:
 def overlap(lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
     """Length that two spans share; negative if they lie apart."""
     return F.least(hi_a, hi_b) - F.greatest(lo_a, lo_b)
+
+
+def overlapping(boxes: DataFrame, cell: float) -> DataFrame:
+    """a, b, ox, oy: boxes (id, minx, maxx, miny, maxy) that overlap on both axes, a < b, and by how much.
+
+    Boxes meet by the grid cells that they touch; a pair counts in the first cell that both touch.
+    """
+    spans = {k: [F.floor(F.col(f"{e}{k}") / cell) for e in ("min", "max")] for k in "xy"}
+    at = boxes.select("id", "minx", "maxx", "miny", "maxy", F.explode(F.sequence(*spans["x"])).alias("cx"), *(s.alias(f"{e}cy") for e, s in zip(("min", "max"), spans["y"])))
+    at = at.withColumn("cy", F.explode(F.sequence("mincy", "maxcy"))).drop("mincy", "maxcy")
+    left, right = (at.select("cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "minx", "maxx", "miny", "maxy"))) for p in "ab")
+    met = left.join(right, ["cx", "cy"]).where("a_id < b_id")
+    first = [F.floor(F.greatest(f"a_min{k}", f"b_min{k}") / cell) == F.col(f"c{k}") for k in "xy"]
+    span = [overlap(f"a_min{k}", f"a_max{k}", f"b_min{k}", f"b_max{k}").alias(f"o{k}") for k in "xy"]
+    return met.where(first[0] & first[1]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *span).where("ox > 0 and oy > 0")

@@ -1,4 +1,4 @@
-"""Containment of topologic levels: child lists, ancestors at every level, selections."""
+"""Containment of topology levels: child lists, ancestors at every level, selections."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberway.operators.order import numbered
+
 
 def uids(entities: DataFrame, prefix: str, order: list[str]) -> DataFrame:
     """Adds uid, the prefix and a number from 0 in an order of columns."""
-    return entities.withColumn("uid", F.concat(F.lit(prefix), (F.row_number().over(W.orderBy(*order)) - 1).cast("string")))
+    rows = numbered(entities, order, "number_of_uid")
+    return rows.withColumn("uid", F.concat(F.lit(prefix), F.col("number_of_uid").cast("string"))).drop("number_of_uid")
 
 
 def children(contains: DataFrame) -> DataFrame:

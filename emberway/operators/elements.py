@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberway.operators.order import numbered
+
 MIN_AREA, TILT, MAX_SPAN = 9.0, 0.3, 1.0  #: of a floor: least box area, least mean |nz|, greatest height unless flat
 # Bounds of a tread and of a stair made of treads.
 TREAD = {"nz": 0.95, "min_area": 0.25, "max_area": 3.0, "max_width": 1.8}
@@ -19,8 +21,7 @@ def distinct_vertices(corners: DataFrame, digits: int = 6) -> DataFrame:
     """uid, x, y, z: corners (ordinal, x, y, z) that agree to some digits are one vertex, with the first one's coordinates and the number of its first appearance."""
     keys = [F.round(k, digits).alias(f"k{k}") for k in "xyz"]
     first = corners.groupBy(*keys).agg(F.min(F.struct("ordinal", "x", "y", "z")).alias("f")).select("f.*")
-    numbered = first.withColumn("n", F.row_number().over(W.orderBy("ordinal")) - 1)
-    return numbered.select(F.concat(F.lit("v"), F.col("n").cast("string")).alias("uid"), "x", "y", "z")
+    return numbered(first, ["ordinal"], "n").select(F.concat(F.lit("v"), F.col("n").cast("string")).alias("uid"), "x", "y", "z")
 
 
 def hint(word: str, *names: str) -> Column:
@@ -71,8 +72,8 @@ def stair_chains(candidates: DataFrame) -> DataFrame:
 
     Going up by z (ties by tread), a free tread begins a chain; it goes on with the next free one
     that rises by a riser's height over the last and overlaps it on both axes. A chain of enough
-    treads, rise and even risers is a stair and uses its treads up; a beginning is used up in any
-    case. One task a model, as each chain depends on those before.
+    treads, rise and even risers is a stair; treads of a chain are used up, also where it is none.
+    One task a model, as each chain depends on those before.
     """
 
     def one(model: pd.DataFrame) -> pd.DataFrame:
@@ -92,11 +93,10 @@ def stair_chains(candidates: DataFrame) -> DataFrame:
                 apart = min(last.maxx, t[j].maxx) - max(last.minx, t[j].minx) < STAIR["overlap"] or min(last.maxy, t[j].maxy) - max(last.miny, t[j].miny) < STAIR["overlap"]
                 if not used[j] and rise >= STAIR["min_rise"] and not apart:
                     chain.append(j)
+                    used[j] = True
             rises = [t[b].z - t[a].z for a, b in zip(chain, chain[1:])]
             if len(chain) >= STAIR["treads"] and t[chain[-1]].z - base.z >= STAIR["total_rise"] and max(rises) - min(rises) <= STAIR["spread"]:
                 own = [t[c] for c in chain]
-                for c in chain:
-                    used[c] = True
                 out.append((model["model"].iloc[0], len(out), len(own), min(x.minx for x in own), max(x.maxx for x in own), min(x.miny for x in own), max(x.maxy for x in own), base.z, own[-1].z))
         return pd.DataFrame(out, columns=["model", "stair", "n", "minx", "maxx", "miny", "maxy", "z_min", "z_max"])
 
@@ -112,21 +112,23 @@ def with_hints(shaped: DataFrame, named_floors: DataFrame, named_stairs: DataFra
 
 
 def merged_levels(boxes: DataFrame, reach: float = 1.5) -> DataFrame:
-    """model, level, is_stair, z, n and the joint bounds: boxes (model, box, is_stair, z, minx, maxx, miny, maxy) folded by height.
+    """model, level, is_stair, z, n and the joint bounds: boxes (model, box, is_stair, z, minx, maxx, miny, maxy, z_min, z_max) folded by height.
 
     Going up by z (ties by box), a box joins the last level if it is of the same kind and within
-    reach of the level's mean z, else it begins one. A model's boxes are folded as one array.
+    reach of the level's mean z, else it begins one. z_min and z_max, where missing, are z. A model's boxes are folded as one array.
     """
-    item = F.struct("z", "box", "is_stair", "minx", "maxx", "miny", "maxy")
-    level = "struct<z:double,n:bigint,is_stair:boolean,minx:double,maxx:double,miny:double,maxy:double>"
-    new = lambda b: F.struct(b["z"].alias("z"), F.lit(1).cast("bigint").alias("n"), b["is_stair"].alias("is_stair"), *(b[k].alias(k) for k in ("minx", "maxx", "miny", "maxy")))
+    boxes = boxes.withColumns({c: F.col("z") for c in ("z_min", "z_max") if c not in boxes.columns})
+    item = F.struct("z", "box", "is_stair", "minx", "maxx", "miny", "maxy", "z_min", "z_max")
+    level = "struct<z:double,n:bigint,is_stair:boolean,minx:double,maxx:double,miny:double,maxy:double,z_min:double,z_max:double>"
+    new = lambda b: F.struct(b["z"].alias("z"), F.lit(1).cast("bigint").alias("n"), b["is_stair"].alias("is_stair"), *(b[k].alias(k) for k in ("minx", "maxx", "miny", "maxy", "z_min", "z_max")))
 
     def step(levels: Column, b: Column) -> Column:
         last = F.element_at(levels, -1)
         joint = F.struct(
             ((last["z"] * last["n"] + b["z"]) / (last["n"] + 1)).alias("z"), (last["n"] + 1).alias("n"), last["is_stair"].alias("is_stair"),
             F.least(last["minx"], b["minx"]).alias("minx"), F.greatest(last["maxx"], b["maxx"]).alias("maxx"),
-            F.least(last["miny"], b["miny"]).alias("miny"), F.greatest(last["maxy"], b["maxy"]).alias("maxy"))
+            F.least(last["miny"], b["miny"]).alias("miny"), F.greatest(last["maxy"], b["maxy"]).alias("maxy"),
+            F.least(last["z_min"], b["z_min"]).alias("z_min"), F.greatest(last["z_max"], b["z_max"]).alias("z_max"))
         same = (F.size(levels) > 0) & (F.abs(b["z"] - last["z"]) <= reach) & (last["is_stair"] == b["is_stair"])
         return F.when(same, F.concat(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.array(joint))).otherwise(F.concat(levels, F.array(new(b))))
 
@@ -183,15 +185,26 @@ def grid_wires(boxes: DataFrame) -> DataFrame:
 
 
 def egress_line(floors: DataFrame, stairs: DataFrame) -> DataFrame:
-    """seq, part and point x, y, z: from each floor to the one above by the stair whose middle is nearest to the middle between them, by way of the floors' centres."""
-    c = floors.select("id", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"), "z")
-    w = W.orderBy("z", "id")
-    pair = c.select("id", "x", "y", "z", F.row_number().over(w).alias("seq"), *(F.lead(k).over(w).alias(f"n{k}") for k in "xyz")).where("nz is not null")
-    mid = stairs.select(F.col("id").alias("stair"), ((F.col("minx") + F.col("maxx")) / 2).alias("sx"), ((F.col("miny") + F.col("maxy")) / 2).alias("sy"), ((F.col("z_min") + F.col("z_max")) / 2).alias("sz"))
-    off = F.abs((F.col("z") + F.col("nz")) / 2 - F.col("sz"))
-    best = pair.crossJoin(mid).groupBy("seq").agg(F.min(F.struct(off.alias("off"), "stair", "sx", "sy", "sz")).alias("s"))
-    row = pair.join(best, "seq", "left")
-    via = F.coalesce(F.col("s.sx"), (F.col("x") + F.col("nx")) / 2), F.coalesce(F.col("s.sy"), (F.col("y") + F.col("ny")) / 2), F.coalesce(F.col("s.sz"), (F.col("z") + F.col("nz")) / 2)
-    point = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
-    points = F.array(point(F.col("x"), F.col("y"), F.col("z")), point(*via), point(F.col("nx"), F.col("ny"), F.col("nz")))
-    return row.select("seq", F.posexplode(points).alias("part", "p")).select("seq", "part", "p.*")
+    """model, seq, part and point x, y, z: from each floor of a model to the one above by the stair
+
+    whose middle is nearest in height to the middle between them (ties to the smaller id), by way of
+    the floors' centres; without a stair, by the middle itself. The nearest stair is the last one
+    below or the first one above in the order of heights, so floors and stairs are not paired.
+    """
+    centre = [((F.col(f"min{k}") + F.col(f"max{k}")) / 2) for k in "xy"]
+    c = floors.select("model", "id", centre[0].alias("x"), centre[1].alias("y"), "z")
+    w = W.partitionBy("model").orderBy("z", "id")
+    nexts = (F.lead(k).over(w).alias(f"n{k}") for k in "xyz")
+    pair = c.select("model", "id", "x", "y", "z", F.row_number().over(w).alias("seq"), *nexts).where("nz is not null")
+    middle = (F.col("z_min") + F.col("z_max")) / 2
+    stair = F.min(F.struct(F.col("id").alias("stair"), centre[0].alias("sx"), centre[1].alias("sy"), middle.alias("sz"))).alias("s")
+    mid = stairs.groupBy("model", middle.alias("at")).agg(stair)
+    both = pair.withColumn("at", (F.col("z") + F.col("nz")) / 2).unionByName(mid, allowMissingColumns=True)
+    up, down = W.partitionBy("model").orderBy("at"), W.partitionBy("model").orderBy(F.desc("at"))
+    off = lambda s: F.when(s.isNotNull(), F.struct(F.abs(F.col("at") - s["sz"]).alias("off"), s.alias("s")))
+    best = F.least(off(F.last("s", True).over(up)), off(F.last("s", True).over(down)))
+    row = both.withColumn("best", best).where("seq is not null").withColumn("s", F.col("best.s"))
+    via = (F.coalesce(F.col(f"s.s{k}"), (F.col(k) + F.col(f"n{k}")) / 2).alias(k) for k in "xyz")
+    ends = (F.struct(*(F.col(f"{n}{k}").alias(k) for k in "xyz")) for n in ("", "n"))
+    points = F.array(next(ends), F.struct(*via), next(ends))
+    return row.select("model", "seq", F.posexplode(points).alias("part", "p")).select("model", "seq", "part", "p.*")

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberway.functions.geometry import AXES, distance, round_half_even
+from emberway.operators import order
+from emberway.plans.fixpoint import cut
 
 
 def pairs_within(left: DataFrame, right: DataFrame, r: float, extra: Column | None = None) -> DataFrame:
@@ -64,10 +66,10 @@ def forced_links(points: DataFrame, existing: DataFrame | None = None, share: in
     linked with their k nearest floor points within reach and within rise on the axis, ties by id.
     There are no links unless both kinds occur; links that exist (src, dst, either way) are left out.
     """
-    stairs = points.where("is_stair").select("id", *AXES)
+    stairs = cut(order.numbered(points.where("is_stair").select("id", *AXES), [axis, "id"], "place"))
     n = stairs.count()
     take = max(2, n // share)
-    ends = stairs.orderBy(axis, "id").limit(take).unionByName(stairs.orderBy(F.desc(axis), F.desc("id")).limit(take)).distinct()
+    ends = stairs.where((F.col("place") < take) | (F.col("place") >= n - take)).drop("place")
     near = pairs_within(ends, points.where("not is_stair").select("id", *AXES), reach, F.abs(F.col(f"a_{axis}") - F.col(f"b_{axis}")) <= rise)
     rank = F.row_number().over(W.partitionBy("a_id").orderBy("d", "b_id"))
     links = near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "d")
@@ -96,17 +98,8 @@ def gaps_filled(cells: DataFrame, max_gap: int) -> DataFrame:
 
 
 def numbered(cells: DataFrame, first: int = 0) -> DataFrame:
-    """Adds id, from first, in the order of ix, iy, iz.
-
-    Cells are dealt out by range; each part numbers its own, shifted by the sizes of those before.
-    """
-    from emberway.plans.fixpoint import cut
-
-    parts = cut(cells.repartitionByRange("ix", "iy", "iz").withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").count()
-    shift = F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")
-    inside = F.row_number().over(W.partitionBy("part").orderBy("ix", "iy", "iz"))
-    return parts.withColumn("inside", inside).join(sizes.select("part", shift.alias("shift")), "part").select((F.col("inside") - 1 + F.col("shift") + first).alias("id"), "ix", "iy", "iz")
+    """Adds id, from first, in the order of ix, iy, iz."""
+    return order.numbered(cells, ["ix", "iy", "iz"], "id").select((F.col("id") + first).alias("id"), "ix", "iy", "iz")
 
 
 def grid_links(cells: DataFrame) -> DataFrame:

@@ -82,10 +82,15 @@ def override(spark, sf):
     return elements.with_hints(tell(p.where(elements.like_floor()), "shape"), tell(p.where("geom_id % 5 = 0"), "named floor"), tell(p.where("geom_id % 10 = 0"), "named stair"))
 
 
-@query("b11_merged_levels")
+@query("b11_merged_levels", f"""WITH RECURSIVE {x.BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY z, id) AS place FROM boxes),
+f(model, place, level, is_stair, z, n, minx, maxx, miny, maxy, z_min, z_max) AS (SELECT model, place, 0, is_stair, z, 1::BIGINT, minx, maxx, miny, maxy, z_min, z_max FROM o WHERE place = 1
+UNION ALL SELECT model, place, IF(same, level, level + 1), is_stair, IF(same, (fz * fn + z) / (fn + 1), z), IF(same, fn + 1, 1), IF(same, least(minx, fminx), minx), IF(same, greatest(maxx, fmaxx), maxx),
+IF(same, least(miny, fminy), miny), IF(same, greatest(maxy, fmaxy), maxy), IF(same, least(z_min, fz_min), z_min), IF(same, greatest(z_max, fz_max), z_max)
+FROM (SELECT o.*, f.level, f.z AS fz, f.n AS fn, f.minx AS fminx, f.maxx AS fmaxx, f.miny AS fminy, f.maxy AS fmaxy, f.z_min AS fz_min, f.z_max AS fz_max, abs(o.z - f.z) <= 1.5 AND o.is_stair = f.is_stair AS same FROM f JOIN o ON o.model = f.model AND o.place = f.place + 1))
+SELECT model, level, {r('z')} AS z, n, is_stair, minx, maxx, miny, maxy, {r('z_min')} AS z_min, {r('z_max')} AS z_max FROM f QUALIFY place = max(place) OVER (PARTITION BY model, level)""")
 def levels(spark, sf):
-    b = x.boxes(spark, sf).select("model", F.col("id").alias("box"), "is_stair", "z", "minx", "maxx", "miny", "maxy")
-    return rounded(elements.merged_levels(b), "z")
+    b = x.boxes(spark, sf).select("model", F.col("id").alias("box"), "is_stair", "z", "minx", "maxx", "miny", "maxy", "z_min", "z_max")
+    return rounded(elements.merged_levels(b), "z", "z_min", "z_max")
 
 
 @query("b13_floors_or_all", f"WITH {x.BOXES} SELECT model, id FROM boxes WHERE NOT is_stair OR model NOT IN (SELECT model FROM boxes WHERE NOT is_stair)")
@@ -107,9 +112,13 @@ def grid(spark, sf):
     return rounded(elements.grid_wires(x.boxes(spark, sf)).select("id", "kind", "line", "ax", "ay", "bx", "by"), "ax", "ay", "bx", "by")
 
 
-@query("b16_egress_line", f"""WITH {x.BOXES}, c AS (SELECT id, (minx + maxx) / 2 AS x, (miny + maxy) / 2 AS y, z FROM boxes WHERE NOT is_stair), f AS (SELECT *, row_number() OVER (ORDER BY z, id) AS seq, lead(x) OVER (ORDER BY z, id) AS nx, lead(y) OVER (ORDER BY z, id) AS ny, lead(z) OVER (ORDER BY z, id) AS nz FROM c),
-s AS (SELECT id, (minx + maxx) / 2 AS sx, (miny + maxy) / 2 AS sy, (z_min + z_max) / 2 AS sz FROM boxes WHERE is_stair), k AS (SELECT seq, sx, sy, sz, row_number() OVER (PARTITION BY seq ORDER BY abs((z + nz) / 2 - sz), s.id) AS n FROM f, s WHERE nz IS NOT NULL)
-SELECT CAST(seq AS INTEGER) AS seq, 0 AS part, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM f WHERE nz IS NOT NULL UNION ALL SELECT seq, 1, {r('sx')}, {r('sy')}, {r('sz')} FROM k WHERE n = 1 UNION ALL SELECT seq, 2, {r('nx')}, {r('ny')}, {r('nz')} FROM f WHERE nz IS NOT NULL""")
+@query("b16_egress_line", f"""WITH {x.BOXES}, c AS (SELECT model, id, (minx + maxx) / 2 AS x, (miny + maxy) / 2 AS y, z FROM boxes WHERE NOT is_stair),
+f AS (SELECT *, row_number() OVER w AS seq, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM c WINDOW w AS (PARTITION BY model ORDER BY z, id)),
+s AS (SELECT model, id, (minx + maxx) / 2 AS sx, (miny + maxy) / 2 AS sy, (z_min + z_max) / 2 AS sz FROM boxes WHERE is_stair),
+k AS (SELECT f.model, seq, coalesce(sx, (x + nx) / 2) AS sx, coalesce(sy, (y + ny) / 2) AS sy, coalesce(sz, (z + nz) / 2) AS sz, row_number() OVER (PARTITION BY f.model, seq ORDER BY abs((z + nz) / 2 - sz), s.id) AS n FROM f LEFT JOIN s ON s.model = f.model WHERE nz IS NOT NULL)
+SELECT model, CAST(seq AS INTEGER) AS seq, 0 AS part, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM f WHERE nz IS NOT NULL
+UNION ALL SELECT model, seq, 1, {r('sx')}, {r('sy')}, {r('sz')} FROM k WHERE n = 1
+UNION ALL SELECT model, seq, 2, {r('nx')}, {r('ny')}, {r('nz')} FROM f WHERE nz IS NOT NULL""")
 def egress(spark, sf):
     b = x.boxes(spark, sf)
     return rounded(elements.egress_line(b.where("not is_stair"), b.where("is_stair")), "x", "y", "z")
@@ -118,6 +127,6 @@ def egress(spark, sf):
 @query("b17_wire_kinds", f"WITH {x.WIRES}, k AS (SELECT src, dst FROM wires WHERE kind <> 'R') SELECT count(*) * 2 AS arcs FROM k")
 def wire_kinds(spark, sf):
     w = x.wires(spark, sf)
-    kinds = [k["kind"] for k in w.select("kind").distinct().where("kind <> 'R'").collect()]
+    w = w.where("kind <> 'R'")
     nodes = w.select(F.col("src").alias("id")).union(w.select("dst")).distinct()
-    return graph.adjacency(w, nodes, kinds).agg(F.count("*").alias("arcs"))
+    return graph.adjacency(w, nodes).agg(F.count("*").alias("arcs"))

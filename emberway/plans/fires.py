@@ -96,14 +96,28 @@ def distances(spark, sf):
     return rounded(paths.distances(cut(x.arcs(spark, sf)), SOURCE, "d").select("node", "dist"), "dist")
 
 
-@query("p3_path")
-def path(spark, sf):
-    tree = cut(paths.distances(cut(x.arcs(spark, sf)), SOURCE, "d"))
+def _path_sql(weight: str, prelude: str = x.ARCS, edges: str = "arcs") -> str:
+    """The path to the node furthest away, by the least predecessor on a cheapest path."""
+    best = _dist_sql(weight, f"{x.PTS}, {prelude}" if "pts AS" not in prelude else prelude, edges).rpartition("\nSELECT")[0]
+    return f"""{best},
+prev AS (SELECT e.dst AS node, min(e.src) AS up FROM best b JOIN {edges} e ON e.src = b.node JOIN best o ON o.node = e.dst WHERE b.dist + {weight} = o.dist AND {weight} > 0 AND e.dst <> {SOURCE} GROUP BY e.dst),
+far AS (SELECT node FROM best ORDER BY dist DESC, node DESC LIMIT 1),
+walk(node, back) AS (SELECT node, 0::BIGINT FROM far UNION ALL SELECT prev.up, back + 1 FROM walk JOIN prev ON prev.node = walk.node)
+SELECT max(back) OVER () - back AS pos, node, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM walk JOIN pts ON id = node"""
+
+
+def _far_path(spark, sf, arcs, cost):
+    tree = cut(paths.distances(cut(arcs), SOURCE, cost))
     far = tree.agg(F.max(F.struct("dist", "node")).alias("m")).first()["m"]["node"]
     nodes = x.points(spark, sf).select(F.col("id").alias("node"), "x", "y", "z")
     return rounded(paths.path_to(tree, far).join(nodes, "node"), "x", "y", "z")
 
 
+@query("p3_path", _path_sql("e.d"))
+def path(spark, sf):
+    return _far_path(spark, sf, x.arcs(spark, sf), "d")
+
+
 HAZARD = f"{x.EDGES}, {x.TEMPS}, cost AS (SELECT src, dst, d AS length, (coalesce(s.t, 20) + coalesce(e.t, 20)) / 2 AS avg_t FROM edges LEFT JOIN temps s ON s.node = src LEFT JOIN temps e ON e.node = dst), hz AS (SELECT *, greatest(0, (avg_t - 20) / 100) AS hazard, length * (1 + 0.5 * greatest(0, (avg_t - 20) / 100)) AS cost FROM cost)"
 
 
@@ -123,6 +137,12 @@ def hazard_distances(spark, sf):
     return rounded(paths.distances(cut(paths.both_ways(cost)), SOURCE).select("node", "dist"), "dist")
 
 
+@query("p6_hazard_path", _path_sql("e.cost", f"{HAZARD}, hz2 AS (SELECT src, dst, cost FROM hz UNION ALL SELECT dst, src, cost FROM hz)", "hz2"))
+def hazard_path(spark, sf):
+    cost = paths.hazard_edges(x.edges(spark, sf), x.measured_temperatures(spark, sf), 0.5)
+    return _far_path(spark, sf, paths.both_ways(cost), "cost")
+
+
 @query("p7_dynamic_routes")
 def routes(spark, sf):
     e = cut(x.edges(spark, sf))
@@ -136,13 +156,12 @@ def _walk_edges(spark, sf, events):
     return paths.path_edges(events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("node")), keys)
 
 
-@query("p8_path_edges", "WITH k AS (SELECT least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '|' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS key, min(l_orderkey) AS edge FROM lineitem GROUP BY 1), s AS (SELECT event_id AS pos, user_id AS node, lead(user_id) OVER (ORDER BY event_id) AS after FROM events WHERE event_id < 1000) SELECT pos, edge FROM s JOIN k ON key = least(CAST(node AS VARCHAR), CAST(after AS VARCHAR)) || '|' || greatest(CAST(node AS VARCHAR), CAST(after AS VARCHAR))")
-def path_edges(spark, sf):
-    return _walk_edges(spark, sf, table(spark, sf, "events").where("event_id < 1000"))
+WALK = "WITH k AS (SELECT least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '|' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS key, min(l_orderkey) AS edge FROM lineitem GROUP BY 1), s AS (SELECT event_id AS pos, user_id AS node, lead(user_id) OVER (ORDER BY event_id) AS after FROM events) SELECT pos, edge FROM (SELECT * FROM s WHERE after IS NOT NULL) JOIN k ON key = least(CAST(node AS VARCHAR), CAST(after AS VARCHAR)) || '|' || greatest(CAST(node AS VARCHAR), CAST(after AS VARCHAR))"
 
 
-@query("p8_path_edges_whole", "WITH k AS (SELECT least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) || '|' || greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS key, min(l_orderkey) AS edge FROM lineitem GROUP BY 1), s AS (SELECT event_id AS pos, user_id AS node, lead(user_id) OVER (ORDER BY event_id) AS after FROM events) SELECT pos, edge FROM (SELECT * FROM s WHERE after IS NOT NULL) JOIN k ON key = least(CAST(node AS VARCHAR), CAST(after AS VARCHAR)) || '|' || greatest(CAST(node AS VARCHAR), CAST(after AS VARCHAR))")
-def whole_path_edges(spark, sf):
+@query("p8_path_edges", WALK)
+@query("p8_path_edges_whole", WALK)
+def path_edges(spark, sf):
     return _walk_edges(spark, sf, table(spark, sf, "events"))
 
 

@@ -3,25 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, by checkpoint() in the folder of spark.checkpoint.dir (one of our own where that is unset)."""
+    """df without its lineage, by checkpoint() in the folder of spark.checkpoint.dir (one of our own only in local mode)."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="emberway-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="emberway-"))
     return df.checkpoint()
-
-
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, changed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Applies step(state, round) at most `rounds` times; ends when changed(state) has no rows."""
-    state = cut(state)
-    for i in range(rounds):
-        if changed is not None and not changed(state).head(1):
-            break
-        state = cut(step(state, i))
-    return state

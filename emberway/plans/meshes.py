@@ -54,12 +54,11 @@ def budget(spark, sf):
     return rounded(sampling.budgeted(points, per_stair=6, total=400, least_share=5).withColumn("ordinal", F.col("ordinal").cast("long")), "x", "y", "z")
 
 
-@query("g14_box_overlaps", f"WITH {x.BOXES} SELECT a.id AS a, b.id AS b, least(a.maxx, b.maxx) - greatest(a.minx, b.minx) AS ox, least(a.maxy, b.maxy) - greatest(a.miny, b.miny) AS oy FROM boxes a JOIN boxes b ON a.model = b.model AND a.id < b.id")
+@query("g14_box_overlaps", f"""WITH {x.BOXES}, o AS (SELECT a.id AS a, b.id AS b, least(a.maxx, b.maxx) - greatest(a.minx, b.minx) AS ox, least(a.maxy, b.maxy) - greatest(a.miny, b.miny) AS oy
+FROM (SELECT id, minx, maxx + 8 AS maxx, miny, maxy + 8 AS maxy FROM boxes) a JOIN (SELECT id, minx, maxx + 8 AS maxx, miny, maxy + 8 AS maxy FROM boxes) b ON a.id < b.id) SELECT * FROM o WHERE ox > 0 AND oy > 0""")
 def overlaps(spark, sf):
-    b = x.boxes(spark, sf)
-    left, right = (b.select("model", *(F.col(c).alias(p + c) for c in ("id", "minx", "maxx", "miny", "maxy"))) for p in ("a_", "b_"))
-    span = lambda k: geometry.overlap(f"a_min{k}", f"a_max{k}", f"b_min{k}", f"b_max{k}")
-    return left.join(right, "model").where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), span("x").alias("ox"), span("y").alias("oy"))
+    boxes = x.boxes(spark, sf).withColumns({c: F.col(c) + 8 for c in ("maxx", "maxy")})
+    return geometry.overlapping(boxes, 8.0)
 
 
 @query("g15_inferred_up_axis", f"WITH {x.TRI} SELECT kind, CASE WHEN max(greatest(az, bz, cz)) - min(least(az, bz, cz)) > 1.2 * (max(greatest(ay, by, cy)) - min(least(ay, by, cy))) THEN 'z' ELSE 'y' END AS up FROM tri GROUP BY kind")

@@ -237,3 +237,45 @@ def test_extensions(spark):
     d = spark.createDataFrame([(7, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
     f = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(9)], "id long, x double, y double, z double")
     assert rows(extensions.door_links(d, f), "dst") == [(0,), (1,), (2,), (3,)]
+
+
+def test_treads_of_a_refused_chain_are_used_up(spark):
+    """Three treads that rise evenly are no stair; four above one of them are one only if they do not need it."""
+    from emberway.operators import elements
+
+    tread = lambda model, name, z: (model, name, 0.0, 1.0, 0.0, 1.0, z)
+    rows = [tread(1, f"t{i}", i * 0.17) for i in range(3)]  # too few
+    rows += [tread(2, "a", 0.0), tread(2, "b", 0.2), *(tread(2, f"c{i}", 0.35 + i * 0.17) for i in range(4))]  # uneven from a: b and all above are used up
+    rows += [tread(3, f"t{i}", i * 0.17) for i in range(5)] + [tread(3, f"u{i}", 5 + i * 0.2) for i in range(5)]
+    schema = "model long, tread string, minx double, maxx double, miny double, maxy double, z double"
+    out = elements.stair_chains(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["model"], r["stair"], r["n"]) for r in out) == [(3, 0, 5), (3, 1, 5)]
+
+
+def test_egress_lines_keep_to_their_model(spark):
+    from emberway.operators import elements
+
+    floor = lambda model, name, z: (model, name, 0.0, 2.0, 0.0, 2.0, z, z, z)
+    schema = "model long, id long, minx double, maxx double, miny double, maxy double, z double, z_min double, z_max double"
+    floors = spark.createDataFrame([floor(1, 1, 0.0), floor(1, 2, 3.0), floor(2, 3, 0.0), floor(2, 4, 3.0), floor(3, 5, 0.0)], schema)
+    stairs = spark.createDataFrame([(1, 8, 4.0, 6.0, 4.0, 6.0, 0.0, 0.0, 3.0), (1, 9, 8.0, 8.0, 8.0, 8.0, 9.0, 9.0, 12.0)], schema)
+    via = {r["model"]: (r["x"], r["y"], r["z"]) for r in elements.egress_line(floors, stairs).where("part = 1").collect()}
+    assert via == {1: (5.0, 5.0, 1.5), 2: (1.0, 1.0, 1.5)}
+
+
+def test_numbers_follow_the_order(spark):
+    from emberway.operators.order import numbered
+
+    rows = numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5), ["k"]).collect()
+    assert all(r["k"] == r["number"] for r in rows) and len(rows) == 1000
+    assert numbered(spark.range(0).select(F.col("id").alias("k")), ["k"]).collect() == []
+
+
+def test_routes_where_there_are_none(spark):
+    from emberway.operators import paths
+
+    edges = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0)], "src long, dst long, d double")
+    field = spark.createDataFrame([(1, 1, 20.0)], "step int, node long, t double")
+    assert paths.changed_routes(paths.dynamic_routes(edges, field, 1, 4, [1])).collect() == []
+    with pytest.raises(ValueError):
+        paths.distances(edges.withColumnRenamed("d", "cost"), 1, rounds=1)
