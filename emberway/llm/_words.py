@@ -82,6 +82,12 @@ class Words:
         ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         return mixed(total[ends] - total[self.starts] + (ends - self.starts).astype(np.uint64))
 
+    def places(self, k: int) -> np.ndarray:
+        """The number of the first word of each run of k words that lies in one text."""
+        n = max(0, len(self.starts) - k + 1)
+        last = np.repeat(self.first[1:], np.diff(self.first))[:n]
+        return np.flatnonzero(np.arange(n) + k <= last)
+
     def runs(self, k: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of k words that lie in one text, and the number of each run's first word.
 
@@ -98,8 +104,7 @@ class Words:
             width *= 2
             if width <= k:
                 level = joined(level[: -(width // 2)], level[width // 2 :])
-        last = np.repeat(self.first[1:], np.diff(self.first))[:n]
-        at = np.flatnonzero(np.arange(n) + k <= last)
+        at = self.places(k)
         return mixed(whole[at] if len(at) < n else whole + np.uint64(0)), at
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,8 @@ class Anchors:
 
     def __init__(self, words: Words, window: int, anchor: int, check: bool = False):
         h = words.hashes()
-        self.hash, self.at = words.runs(window, h)
+        self.words, self.window, self.h = words, window, h
+        self.at = words.places(window)
         if check:
             self.check = (words.runs(window, mixed(h ^ np.uint64(0x5851F42D4C957F2D)))[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         grams, first = words.runs(anchor, h)
@@ -45,6 +47,10 @@ class Anchors:
         else:
             self.anchor, self.anchor_at = np.empty(0, np.uint64), np.empty(0, np.int64)
 
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.words.runs(self.window, self.h)[0]
+
 
 def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
     """Of each `span` values side by side, the place of the least one, the leftmost if equal."""
@@ -128,7 +134,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     places = written(first.groupBy("row").agg(F.collect_list("window").alias("windows")), "places")
 
     def keys(a: Anchors, at: np.ndarray) -> np.ndarray:
-        return np.where(busy.value.holds(a.anchor[at]), mixed(a.hash[at] + np.uint64(1)), a.anchor[at])
+        hot = busy.value.holds(a.anchor[at])
+        return np.where(hot, mixed(a.hash[at] + np.uint64(1)), a.anchor[at]) if hot.any() else a.anchor[at]
 
     def phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +244,16 @@ class Machine:
                 self.automaton.add_word(key, found)
             self.automaton.make_automaton()
         get, other = self.codes.get, "\0" * WIDTH
-        text = "".join([get(w, other) for w in words])
+        # a word that no phrase has ends every match, so only runs of other words are gone through
+        at = 0
+        for text in "".join([get(w, other) for w in words]).split(other):
+            if len(text) >= self.window * WIDTH:
+                self.mark(text, out[at // WIDTH : (at + len(text)) // WIDTH])
+            at += len(text) + WIDTH
+        return out
+
+    def mark(self, text: str, out: np.ndarray) -> None:
+        """Sets out for the words of text that lie in a recurring window."""
         for last, found in self.automaton.iter(text):
             end = last + 1
             at = end - self.anchor * WIDTH
@@ -249,7 +265,6 @@ class Machine:
                     hi = end + alike(text[end:hi], phrase[after:])
                 if hi - lo >= self.window * WIDTH:
                     out[lo // WIDTH : hi // WIDTH] = True
-        return out
 
 
 def alike(a: str, b: str) -> int:
