@@ -235,36 +235,43 @@ class Machine:
 
     def covered(self, words: list[bytes]) -> np.ndarray:
         """Which words lie in a recurring window."""
-        out = np.zeros(len(words), bool)
+        out = bytearray(len(words))
         if not self.phrases or len(words) < self.window:
-            return out
+            return np.frombuffer(out, bool)
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for key, found in self.phrases.items():
-                self.automaton.add_word(key, found)
+                self.automaton.add_word(key, sorted(found, key=lambda f: -len(f[0])))
             self.automaton.make_automaton()
         get, other = self.codes.get, "\0" * WIDTH
         # a word that no phrase has ends every match, so only runs of other words are gone through
         at = 0
         for text in "".join([get(w, other) for w in words]).split(other):
             if len(text) >= self.window * WIDTH:
-                self.mark(text, out[at // WIDTH : (at + len(text)) // WIDTH])
+                self.mark(text, out, at // WIDTH)
             at += len(text) + WIDTH
-        return out
+        return np.frombuffer(out, bool)
 
-    def mark(self, text: str, out: np.ndarray) -> None:
-        """Sets out for the words of text that lie in a recurring window."""
+    def mark(self, text: str, out: bytearray, first: int) -> None:
+        """Sets out, from word `first`, for the words of text that lie in a recurring window.
+
+        A phrase that could only cover words that are set already, or too few, is not compared.
+        """
         for last, found in self.automaton.iter(text):
             end = last + 1
             at = end - self.anchor * WIDTH
             for phrase, offset in found:
                 lo, hi = at - offset, at - offset + len(phrase)
+                a, b = max(lo, 0) // WIDTH, min(hi, len(text)) // WIDTH
+                if b - a < self.window or out.find(0, first + a, first + b) < 0:
+                    continue
                 if lo < 0 or not text.startswith(phrase, lo):
                     after = offset + end - at
                     lo = at - alike(text[max(lo, 0) : at][::-1], phrase[:offset][::-1])
                     hi = end + alike(text[end:hi], phrase[after:])
                 if hi - lo >= self.window * WIDTH:
-                    out[lo // WIDTH : hi // WIDTH] = True
+                    lo, hi = lo // WIDTH, hi // WIDTH
+                    out[first + lo : first + hi] = b"\1" * (hi - lo)
 
 
 def alike(a: str, b: str) -> int:
