@@ -89,6 +89,13 @@ def _scan(docs: DataFrame, each, schema: str, window: int, anchor: int, check: b
     return docs.select("row", "text").mapInArrow(run, schema)
 
 
+def dealt(size: int, shard_bytes: int, partitions: int) -> tuple[int, int]:
+    """Shards and tasks for so many bytes of text: every task takes as many shards, of 1.25 times shard_bytes at most."""
+    shards = max(1, -(-size // shard_bytes))
+    tasks = min(shards, max(partitions, -(-size // TASK_BYTES)))
+    return tasks * max(1, -(-(4 * shards - tasks) // (4 * tasks))), tasks
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, hot: int = HOT, texts: bool = True) -> DataFrame:
     """row (numbers the rows), doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: one row per row of docs.
 
@@ -167,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     # 3
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-size // shard_bytes))
+    n_shards, n_tasks = dealt(size, shard_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shard_of = F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int")
 
     def own_keys(a: Anchors, words: Words, ids: np.ndarray) -> list:
@@ -182,7 +189,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     sent = phrases.select("id", "phrase", "offset").join(keyed, "id")
     sent = sent.select("shard", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("phrase").alias("data"), "offset")
     told = docs.select(shard_of.alias("shard"), "row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.lit(-1).alias("offset"))
-    n_tasks = min(n_shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)))
     rows = sent.unionByName(told).repartitionById(n_tasks, F.col("shard") % n_tasks).sortWithinPartitions("shard", F.desc("offset"))
     schema = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
