@@ -168,7 +168,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             columns = list(zip(*out)) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.int64())), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32())], names=["keys", "phrase", "offset"])
 
-    source = docs.join(places, "row").select("text", "windows")
+    # only rows that own a window move to the join
+    home = spark.sparkContext.broadcast(HashSet(places.select(F.xxhash64("row").alias("h")), "h", places.count()))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(home.value.holds(batch.column("h").to_numpy())))
+            yield own.select(["row", "text"])
+
+    owners = docs.select("row", "text", F.xxhash64("row").alias("h")).mapInArrow(at_home, "row long, text string")
+    source = owners.join(places, "row").select("text", "windows")
     phrases = source.mapInArrow(phrase_rows, "keys array<long>, phrase binary, offset int")
     phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases")
 
