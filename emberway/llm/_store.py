@@ -28,11 +28,11 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder, by a codec if one is named, and read back."""
     spark = small_batches(df.sparkSession)
     path = f"{shared_dir(spark)}/emberway/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

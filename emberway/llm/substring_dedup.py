@@ -117,7 +117,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     spark = small_batches(docs.sparkSession)
     # written once: several jobs read the rows and must see the same numbers
-    docs = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "docs")
+    docs = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "docs", "zstd")
 
     # 1
     def own_anchors(a: Anchors, words: Words, ids: np.ndarray) -> list:
@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     owners = docs.select("row", "text", F.xxhash64("row").alias("h")).mapInArrow(at_home, "row long, text string")
     source = owners.join(places, "row").select("text", "windows")
     phrases = source.mapInArrow(phrase_rows, "keys array<long>, phrase binary, offset int")
-    phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases")
+    phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases", "zstd")
 
     # 3
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
