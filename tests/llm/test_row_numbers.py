@@ -9,8 +9,8 @@ def test_repeats_go_though_partitions_change_between_jobs(spark, monkeypatch):
     rows = [(d, " ".join(f"d{d}w{i}" for i in range(40)) + (f" {passage}" if d % 5 == 0 else "")) for d in range(60)]
     turn, written = count(2), substring_dedup.written
 
-    def dealt_anew(df, name):
-        out = written(df, name)
+    def dealt_anew(df, name, *more):
+        out = written(df, name, *more)
         spark.conf.set("spark.sql.shuffle.partitions", str(next(turn)))
         return out
 
