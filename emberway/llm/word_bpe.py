@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructType
 from tokenizers import Tokenizer
@@ -20,7 +22,9 @@ from emberway.llm._words import parts
 
 CACHE = 200_000  #: pieces of text that a worker remembers: about 100 MB
 REMEMBERED = 100  #: characters of the longest piece that is remembered
-NONE, POSITION = 1 << 62, (1 << 32) - 1
+NONE, PLACE = 1 << 40, (1 << 32) - 1
+FAN = 16  #: children of a node
+LATIN = "\u0250"  #: characters before this one have no composition, and their letters and lower case are settled
 
 
 @lru_cache(2)
@@ -45,108 +49,120 @@ class WordBpe:
             raise ValueError(f"{path} has added tokens that are not matched as they stand")
         whole = Tokenizer.from_file(path)
         self.normal, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        kinds = [k["type"] for k in (*spec["normalizer"]["normalizers"], *spec["pre_tokenizer"]["pretokenizers"])]
+        if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            raise ValueError(f"{path} prepares texts in another way than by NFC, lower case and a split into bytes")
+        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.letters = {c: w[0][0] for c in range(ord(LATIN)) if (w := self.split(chr(c)))}
         self.ids, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.added).items()}
         self.find_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}
+        self.result: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank << 32, self.ids[a + b])
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+            self.merges[self.ids[a], self.ids[b]] = rank
+            self.result.append(self.ids[a + b])
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """symbols after all merges: again and again the leftmost pair of the lowest rank becomes one symbol.
 
-        Leaf i of the tree is the pair of symbol i and the live one after it, as rank and place in one
-        number; a node has the lesser of its two children, so the root has the pair to merge. A merge
+        Leaf i of the tree has the rank of the pair of symbol i and the live one after it, a node the
+        least of its FAN children, the leftmost one if equal, so the root has the pair to merge. A merge
         changes three leaves (its own, that of the symbol merged away, that of the live one before),
-        and the nodes above them. The symbol of a pair stays at its left place.
+        and the nodes above them. The symbol of a pair stays at its left place. A word of at most
+        FAN pairs is a root with its leaves alone; there, leaves of symbols merged away are taken out.
         """
-        n, get = len(symbols), self.merges.get
-        if n < 2:
+        n, get, result = len(symbols), self.merges.get, self.result
+        leaves = list(map(get, zip(symbols, symbols[1:]), repeat(NONE)))
+        if n <= FAN + 1:
+            while leaves and (rank := min(leaves)) != NONE:
+                i = leaves.index(rank)
+                symbols[i : i + 2] = (result[rank],)
+                del leaves[i]
+                if i < len(leaves):
+                    leaves[i] = get((symbols[i], symbols[i + 1]), NONE)
+                if i:
+                    leaves[i - 1] = get((symbols[i - 1], symbols[i]), NONE)
             return symbols
-        size = 1 << (n - 2).bit_length()
-        tree, new = [NONE] * (2 * size), [0] * n
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def leaf(i: int, j: int) -> int:
-            found = get((symbols[i], symbols[j]))
-            if found is None:
-                return NONE
-            new[i] = found[1]
-            return found[0] | i
-
-        for i in range(n - 1):
-            tree[size + i] = leaf(i, i + 1)
-        for k in range(size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-        def update(i: int, value: int) -> None:
-            k = size + i
-            tree[k] = value
-            while k > 1:
-                k >>= 1
-                a, b = tree[2 * k], tree[2 * k + 1]
-                value = a if a < b else b
-                if tree[k] == value:
-                    return
-                tree[k] = value
-
-        while tree[1] != NONE:
-            i = tree[1] & POSITION
-            gone = after[i]
-            symbols[i], after[i] = new[i], after[gone]
+        # a leaf is rank * 2**32 + place, so that the lesser of two is the lower rank, or the one further left
+        leaves = [rank << 32 | i for i, rank in enumerate(leaves)]
+        after, before, none = list(range(1, n + 1)), list(range(-1, n)), NONE << 32
+        tree = [leaves]
+        while len(tree[-1]) > 1:
+            tree.append([min(tree[-1][k : k + FAN]) for k in range(0, len(tree[-1]), FAN)])
+        while (top := tree[-1][0]) < none:
+            i = top & PLACE
+            gone, old = after[i], before[i]
+            symbols[i], after[i] = result[top >> 32], after[gone]
             if gone < n - 1:
-                update(gone, NONE)
+                leaves[gone] = none
             if after[i] < n:
                 before[after[i]] = i
-                update(i, leaf(i, after[i]))
+                leaves[i] = get((symbols[i], symbols[after[i]]), NONE) << 32 | i
             else:
-                update(i, NONE)
-            if before[i] >= 0:
-                update(before[i], leaf(before[i], i))
+                leaves[i] = none
+            if old >= 0:
+                leaves[old] = get((symbols[old], symbols[i]), NONE) << 32 | old
+            nodes = {min(gone, n - 2) // FAN, i // FAN, max(old, 0) // FAN}
+            for below, own in zip(tree, tree[1:]):
+                for k in nodes:
+                    own[k] = min(below[k * FAN : (k + 1) * FAN])
+                nodes = {k // FAN for k in nodes}
         out, i = [], 0
         while i < n:
             out.append(symbols[i])
             i = after[i]
         return out
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         """Ids of one word of the splitter: its last character has the suffix of word ends."""
         if (found := self.words.get(word)) is None:
-            ids = self.ids
-            found = tuple(self.merged([*(ids[c] for c in word[:-1]), ids[word[-1] + self.suffix]]))
+            symbols = list(map(self.ids.__getitem__, word))
+            symbols[-1] = self.ids[word[-1] + self.suffix]
+            symbols = self.merged(symbols)
+            found = struct.pack(f"<{len(symbols)}I", *symbols)
             if len(word) <= REMEMBERED:
                 if len(self.words) > CACHE:
                     self.words.clear()
                 self.words[word] = found
         return found
 
-    def plain(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.word(w) for w, _ in self.split(self.normal(text))))
+    def plain(self, text: str) -> bytes:
+        low = text.lower()
+        if text.isascii() or max(text) < LATIN and max(low) < LATIN:  # such texts are composed already, and libraries agree on their letters
+            words = [w.translate(self.letters) for w in self.find(low)]
+        else:
+            words = [w for w, _ in self.split(self.normal(text))]
+        return b"".join(map(self.word, words))
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
         """Ids of a piece without ASCII spaces; strings of added tokens in it are those tokens, and cut it."""
+        if (found := self.known.get(text)) is not None:
+            return found
         if self.find_added is None or "<" not in text:
-            found = self.plain(text)
+            found = self.plain(text) if text else b""
         else:
-            found = tuple(chain.from_iterable((self.added[p],) if p in self.added else self.plain(p) for p in self.find_added(text) if p))
+            found = b"".join(struct.pack("<I", self.added[p]) if p in self.added else self.plain(p) for p in self.find_added(text) if p)
         if len(text) <= REMEMBERED:
             if len(self.known) > CACHE:
                 self.known.clear()
             self.known[text] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text. No word and no composed character spans white space, so the pieces between spaces are encoded alone."""
-        get, out = self.known.get, []
-        for part in text.replace("\n", " ").split(" "):
-            if part:
-                found = get(part)
-                out.append(self.piece(part) if found is None else found)
-        return list(chain.from_iterable(out))
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, as packed little-endian integers of 32 bits.
+
+        No word and no composed character spans white space, so the pieces between spaces are encoded alone.
+        """
+        pieces = text.replace("\n", " ").split(" ")
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [self.piece(p) if ids is None else ids for p, ids in zip(pieces, found)]
+        return b"".join(found)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of ids, word ends and all, joined by one space; ids that the file does not have are left out."""
@@ -176,8 +192,9 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
             for rows in parts(batch):
                 out = []
                 for text in rows.column("text").to_pylist():
-                    got = bpe.encode(text or "")
-                    out.append((*([got] if ids else []), len(got), sha(np.array(got, "<u4").tobytes()), sha(bpe.decode(got).encode())))
+                    packed = bpe.encode(text or "")
+                    got = np.frombuffer(packed, "<u4").tolist()
+                    out.append((*([got] if ids else []), len(got), sha(packed), sha(bpe.decode(got).encode())))
                 kinds = [*([pa.list_(pa.int32())] if ids else []), pa.int64(), pa.string(), pa.string()]
                 names = ["doc_id", *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=names)

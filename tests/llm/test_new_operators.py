@@ -203,13 +203,14 @@ def test_word_bpe_equals_the_library(spark, odd_docs):
 
 def test_merges_are_the_leftmost_of_the_lowest_rank():
     bpe, rng = word_bpe.WordBpe(WORD_BPE), random.Random(6)
-    bpe.merges = {(a, b): (rng.randrange(20) << 32, a * 3 % 7) for a in range(7) for b in range(7) if rng.random() < 0.6}
+    bpe.merges = {(a, b): rng.randrange(20) for a in range(7) for b in range(7) if rng.random() < 0.6}
+    bpe.result = [rng.randrange(7) for _ in range(20)]
     for _ in range(300):
-        symbols = [rng.randrange(7) for _ in range(rng.randrange(1, 70))]
+        symbols = [rng.randrange(7) for _ in range(rng.randrange(1, 400 if _ % 9 == 0 else 40))]
         plain = symbols[:]
-        while ranks := [(bpe.merges[p][0], i) for i, p in enumerate(zip(plain, plain[1:])) if p in bpe.merges]:
-            i = min(ranks)[1]
-            plain[i : i + 2] = [bpe.merges[plain[i], plain[i + 1]][1]]
+        while ranks := [(bpe.merges[p], i) for i, p in enumerate(zip(plain, plain[1:])) if p in bpe.merges]:
+            rank, i = min(ranks)
+            plain[i : i + 2] = [bpe.result[rank]]
         assert bpe.merged(symbols) == plain
 
 
