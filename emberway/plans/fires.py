@@ -36,10 +36,10 @@ def radial(spark, sf):
     return fire.radial(x.points(spark, sf), SOURCE, 0.05, 12)
 
 
-def _field_sql(steps: int) -> str:
-    out = f"{x.ARCS}, t0 AS (SELECT id AS node, CASE WHEN id = {SOURCE} THEN 120.0::DOUBLE ELSE 20.0::DOUBLE END AS t FROM pts)"
+def _field_sql(steps: int, source: int = SOURCE) -> str:
+    out = f"{x.ARCS}, t0 AS (SELECT id AS node, CASE WHEN id = {source} THEN 120.0::DOUBLE ELSE 20.0::DOUBLE END AS t FROM pts)"
     for s in range(1, steps + 1):
-        out += f", m{s} AS (SELECT arcs.dst AS node, avg(t) AS mean, count(*) AS deg FROM arcs JOIN t{s - 1} ON node = arcs.src GROUP BY arcs.dst), t{s} AS (SELECT p.node, CASE WHEN p.node = {SOURCE} OR mean IS NULL THEN p.t ELSE p.t + greatest(mean - p.t, 0) * 1.2 / deg END AS t FROM t{s - 1} p LEFT JOIN m{s} m ON m.node = p.node)"
+        out += f", m{s} AS (SELECT arcs.dst AS node, avg(t) AS mean, count(*) AS deg FROM arcs JOIN t{s - 1} ON node = arcs.src GROUP BY arcs.dst), t{s} AS (SELECT p.node, CASE WHEN p.node = {source} OR mean IS NULL THEN p.t ELSE p.t + greatest(mean - p.t, 0) * 1.2 / deg END AS t FROM t{s - 1} p LEFT JOIN m{s} m ON m.node = p.node)"
     return out
 
 
@@ -118,6 +118,12 @@ def path(spark, sf):
     return _far_path(spark, sf, x.arcs(spark, sf), "d")
 
 
+@query("p1_single_pair", _dist_sql("e.d").rpartition("\nSELECT")[0] + f"\nSELECT node, {r('dist')} AS dist FROM best WHERE node = {TARGET}")
+def single_pair(spark, sf):
+    found = paths.distances(cut(x.arcs(spark, sf)), SOURCE, "d", end=TARGET)
+    return rounded(found.where(F.col("node") == TARGET).select("node", "dist"), "dist")
+
+
 HAZARD = f"{x.EDGES}, {x.TEMPS}, cost AS (SELECT src, dst, d AS length, (coalesce(s.t, 20) + coalesce(e.t, 20)) / 2 AS avg_t FROM edges LEFT JOIN temps s ON s.node = src LEFT JOIN temps e ON e.node = dst), hz AS (SELECT *, greatest(0, (avg_t - 20) / 100) AS hazard, length * (1 + 0.5 * greatest(0, (avg_t - 20) / 100)) AS cost FROM cost)"
 
 
@@ -143,11 +149,34 @@ def hazard_path(spark, sf):
     return _far_path(spark, sf, paths.both_ways(cost), "cost")
 
 
-@query("p7_dynamic_routes")
+AGENT, EXIT, BLAZE, ALPHA, LETHAL = 297, 348, 332, 2.0, 21.0  # a fire that breaks out on an agent's way
+ROUTE_STEPS = paths.recompute_steps(4, 1)
+
+
+def _routes_sql() -> str:
+    """Three graphs a step, each relaxed in full; the first one that reaches the exit gives the route."""
+    out, rows = f"{_field_sql(max(ROUTE_STEPS), BLAZE)}", []
+    for s in ROUTE_STEPS:
+        out += f""", c{s} AS (SELECT src, dst, d, d * (1 + {ALPHA}::DOUBLE * greatest(0, ((a.t + b.t) / 2 - 20) / 100)) AS cost, (a.t + b.t) / 2 <= {LETHAL} AS safe FROM arcs JOIN t{s} a ON a.node = src JOIN t{s} b ON b.node = dst)"""
+        for mode, weight, only in (("safe", "cost", "WHERE safe"), ("hazard", "cost", ""), ("plain", "d", "")):
+            k = f"{mode}{s}"
+            out += f""", g{k} AS (SELECT src, dst, {weight} AS w FROM c{s} {only}),
+b{k}(node, dist) USING KEY (node) AS (SELECT {AGENT}::BIGINT, 0.0::DOUBLE UNION SELECT s.node, s.dist FROM (SELECT e.dst AS node, min(b.dist + e.w) AS dist FROM b{k} b JOIN g{k} e ON e.src = b.node GROUP BY e.dst) s LEFT JOIN recurring.b{k} o ON o.node = s.node WHERE o.dist IS NULL OR s.dist < o.dist),
+p{k} AS (SELECT e.dst AS node, min(e.src) AS up FROM b{k} b JOIN g{k} e ON e.src = b.node JOIN b{k} o ON o.node = e.dst WHERE b.dist + e.w = o.dist AND e.w > 0 AND e.dst <> {AGENT} GROUP BY e.dst),
+w{k}(node, back) AS (SELECT node, 0::BIGINT FROM b{k} WHERE node = {EXIT} UNION ALL SELECT up, back + 1 FROM w{k} JOIN p{k} USING (node))"""
+            rows.append(f"SELECT {s} AS step, '{mode}' AS mode, {len(rows) % 3} AS turn, (SELECT dist FROM b{k} WHERE node = {EXIT}) AS cost, max(back) OVER () - back AS pos, node FROM w{k}")
+    return f"""WITH RECURSIVE {out}, tries AS ({" UNION ALL ".join(rows)}),
+routes AS (SELECT step, mode, cost, pos, node FROM (SELECT *, min(turn) OVER (PARTITION BY step) AS first FROM tries) WHERE turn = first),
+told AS (SELECT step, list(node ORDER BY pos) AS path FROM routes GROUP BY step),
+news AS (SELECT step, path IS DISTINCT FROM lag(path) OVER (ORDER BY step) AS changed FROM told)
+SELECT CAST(step AS INTEGER) AS step, mode, {r('cost')} AS cost, pos, node, changed FROM routes JOIN news USING (step)"""
+
+
+@query("p7_dynamic_routes", _routes_sql())
 def routes(spark, sf):
     e = cut(x.edges(spark, sf))
-    field = cut(fire.heat(graph.arcs(e), x.points(spark, sf), SOURCE, 5))
-    found = paths.dynamic_routes(e, field, SOURCE, TARGET, paths.recompute_steps(5, 2), 0.5, 60.0)
+    field = cut(fire.heat(graph.arcs(e), x.points(spark, sf), BLAZE, max(ROUTE_STEPS) + 1))
+    found = paths.dynamic_routes(e, field, AGENT, EXIT, ROUTE_STEPS, ALPHA, LETHAL)
     return rounded(paths.changed_routes(found), "cost")
 
 
@@ -160,7 +189,6 @@ WALK = "WITH k AS (SELECT least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VA
 
 
 @query("p8_path_edges", WALK)
-@query("p8_path_edges_whole", WALK)
 def path_edges(spark, sf):
     return _walk_edges(spark, sf, table(spark, sf, "events"))
 

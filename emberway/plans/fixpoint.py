@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="emberway-"))
     return df.checkpoint()
+
+
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df) and, seen by the same job, n, its rows, and for every named condition the rows that meet it."""
+    seen = Observation()
+    each = [F.count(F.when(c, 1)).alias(k) for k, c in counts.items()]
+    return cut(df.observe(seen, F.count("*").alias("n"), *each)), seen.get

@@ -60,7 +60,7 @@ class GraphSession:
         """pos, node, x, y, z of the shortest path between the nodes nearest to two points; refuses with 404 if there is none."""
         start, end = self.resolve(graph_id, point=start_point, vertical=vertical), self.resolve(graph_id, point=end_point, vertical=vertical)
         edges = self.edges(graph_id)
-        tree = paths.distances(paths.both_ways(edges, "d"), start)
+        tree = paths.distances(paths.both_ways(edges, "d"), start, end=end)
         found = paths.path_to(tree, end)
         if not found.head(1):
             raise BadPayload(404, "no path")

@@ -92,8 +92,9 @@ def test_recompute_gate():
 def test_dynamic_routes_fall_back(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 4, 2.0), (4, 3, 2.0)], "src long, dst long, d double")
     t = spark.createDataFrame([(0, 2, 300.0), (1, 2, 300.0), (1, 4, 300.0)], "step int, node long, t double")
-    out = paths.changed_routes(paths.dynamic_routes(e, t, 1, 3, [0, 1], 0.5, 100.0)).orderBy("step").collect()
-    assert [(r["path"], r["mode"], r["changed"]) for r in out] == [([1, 4, 3], "safe", True), ([1, 2, 3], "hazard", True)]
+    out = paths.changed_routes(paths.dynamic_routes(e, t, 1, 3, [0, 1], 0.5, 100.0))
+    assert rows(out, "step", "pos", "node", "mode", "changed") == [
+        (0, 0, 1, "safe", True), (0, 1, 4, "safe", True), (0, 2, 3, "safe", True), (1, 0, 1, "hazard", True), (1, 1, 2, "hazard", True), (1, 2, 3, "hazard", True)]
 
 
 def test_fire_levels_and_heat(spark):
