@@ -193,12 +193,56 @@ def path_edges(spark, sf):
     return _walk_edges(spark, sf, table(spark, sf, "events"))
 
 
-@query("r1_learned_route")
-def learned(spark, sf):
-    arcs = cut(graph.arcs(x.edges(spark, sf)))
-    tasks = spark.range(4).select(F.col("id").alias("task"), F.lit("g").alias("graph"), F.lit(SOURCE).cast("long").alias("start"), F.lit(TARGET).cast("long").alias("exit"), F.col("id").alias("seed"))
+EPISODES, MOVES = 2, 5
+
+
+def _learned_sql() -> str:
+    """Every episode and move in turn, with the same hashed draws; a table of all values after each."""
+    out = f"{BFS}, tasks AS (SELECT id AS task, id + 11 AS seed FROM pts), q0 AS (SELECT 0::BIGINT AS task, 0::BIGINT AS src, 0::BIGINT AS dst, 0.0::DOUBLE AS q WHERE false)"
+    n = 0
+    for e in range(EPISODES):
+        out += f", a{n} AS MATERIALIZED (SELECT task, seed, task AS at FROM tasks)" if not e else f", b{n} AS (SELECT task, seed, task AS at FROM tasks)"
+        for t in range(MOVES):
+            agents = f"b{n}" if e and not t else f"a{n}"
+            out += f""", w{n} AS MATERIALIZED (SELECT a.task, a.seed, a.at AS src, arcs.dst, v.q, md5(a.seed || ':{e}:{t}') < '33333333' AS wild,
+  row_number() OVER (PARTITION BY a.task ORDER BY md5(a.seed || ':{e}:{t}:' || arcs.dst), arcs.dst) AS lot, row_number() OVER (PARTITION BY a.task ORDER BY coalesce(v.q, 0) DESC, arcs.dst) AS place
+  FROM {agents} a JOIN arcs ON arcs.src = a.at LEFT JOIN q{n} v ON v.task = a.task AND v.src = a.at AND v.dst = arcs.dst),
+m{n} AS MATERIALIZED (SELECT w.*, (SELECT max(q) FROM q{n} v WHERE v.task = w.task AND v.src = w.dst) AS ahead, coalesce(levels.step <= {t}, false) AS burnt, dst = {TARGET} AS out
+  FROM w{n} w LEFT JOIN levels ON levels.node = w.dst WHERE if(wild, lot, place) = 1),
+n{n} AS MATERIALIZED (SELECT task, src, dst, 0.5 * coalesce(q, 0) + 0.5 * (CASE WHEN out THEN 10.0 WHEN burnt THEN -10.0 ELSE -0.1 END::DOUBLE + 0.9 * coalesce(ahead, 0)) AS q FROM m{n}
+  UNION ALL SELECT task, src, dst, 0.0 FROM w{n} WHERE NOT wild AND place > 1 AND q IS NULL),
+q{n + 1} AS MATERIALIZED (SELECT * FROM n{n} UNION ALL SELECT * FROM q{n} ANTI JOIN n{n} USING (task, src, dst)),
+a{n + 1} AS MATERIALIZED (SELECT task, seed, dst AS at FROM m{n} WHERE NOT burnt AND NOT out)"""
+            n += 1
+    return f"WITH RECURSIVE {out}"
+
+
+def _rolled_sql() -> str:
+    """The greedy step of every task and node, then routes along it, as lists of the nodes seen."""
+    n = EPISODES * MOVES
+    return f"""{_learned_sql()}, policy AS MATERIALIZED (SELECT task, src, arg_max(dst, {{'q': coalesce(q, 0), 'd': -dst}}) AS dst FROM (SELECT t.task, arcs.src, arcs.dst FROM tasks t, arcs) LEFT JOIN q{n} USING (task, src, dst) GROUP BY task, src),
+walk(task, path, going) AS (SELECT task, [task], true FROM tasks UNION ALL
+  SELECT walk.task, list_append(path, dst), dst <> {TARGET} AND NOT list_contains(path, dst) FROM walk JOIN policy ON policy.task = walk.task AND policy.src = path[-1] WHERE going AND len(path) <= {MOVES}),
+last AS (SELECT task, arg_max(path, len(path)) AS path FROM walk GROUP BY task)
+SELECT task, unnest(range(len(path))) AS pos, unnest(path) AS node FROM last"""
+
+
+def _trained(spark, sf):
+    """Agents that begin at every node, with one exit, while a fire spreads from the source."""
+    arcs = cut(graph.arcs(x.edges(spark, sf)).withColumn("graph", F.lit("g")))
+    tasks = x.points(spark, sf).select(F.col("id").alias("task"), F.lit("g").alias("graph"), F.col("id").alias("start"), F.lit(TARGET).cast("long").alias("exit"), (F.col("id") + 11).alias("seed"))
     levels = fire.ignition(arcs, SOURCE, MAX_STEPS).withColumn("graph", F.lit("g"))
-    return learning.learn(tasks, arcs.withColumn("graph", F.lit("g")), levels)
+    return tasks, arcs, cut(learning.learn(tasks, arcs, levels, EPISODES, MOVES))
+
+
+@query("r1_action_values", f"{_learned_sql()} SELECT task, src, dst, {r('q')} AS q FROM q{EPISODES * MOVES}")
+def action_values(spark, sf):
+    return rounded(_trained(spark, sf)[2], "q")
+
+
+@query("r1_learned_route", _rolled_sql())
+def learned(spark, sf):
+    return learning.routes(*_trained(spark, sf), MOVES)
 
 
 _VALUES = f"{x.ARCS}, v0 AS (SELECT DISTINCT src AS node, 0.0::DOUBLE AS v FROM arcs)" + "".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberway.operators import fire, graph, nearest, paths
+from emberway.operators import fire, graph, learning, nearest, paths
 from emberway.sources.contract import BadPayload
 
 
@@ -74,3 +74,14 @@ class GraphSession:
             step = graph.step_size(edges, nodes).first()["step"]
             return fire.timeline(fire.radial(nodes, start, step, max_steps, end))
         return fire.timeline(fire.ignition(graph.arcs(edges), start, max_steps))
+
+    def learned_route(self, graph_id: str, start=None, end=None, episodes: int = 200, max_steps: int = 200, use_fire: bool = True, seed: int = 0) -> DataFrame:
+        """pos, node, x, y, z of the route that an agent learns from start to the exit `end`, while a fire spreads breadth first from its start."""
+        start, end = self.resolve(graph_id, node=start), self.resolve(graph_id, node=end)
+        arcs = graph.arcs(self.edges(graph_id)).withColumn("graph", F.lit(graph_id))
+        kind = dict(arcs.dtypes)["src"]
+        task = self.spark.range(1).select(F.lit(0).cast("long").alias("task"), F.lit(graph_id).alias("graph"), F.lit(start).cast(kind).alias("start"), F.lit(end).cast(kind).alias("exit"), F.lit(seed).cast("long").alias("seed"))
+        burns = fire.ignition(arcs, start).withColumn("graph", F.lit(graph_id)) if use_fire else None
+        values = learning.learn(task, arcs, burns, episodes, max_steps)
+        found = learning.routes(task, arcs, values, max_steps).select("pos", "node")
+        return found.join(self.nodes(graph_id).withColumnRenamed("id", "node"), "node").select("pos", "node", "x", "y", "z")

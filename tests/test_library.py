@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberway.functions import geometry, styles
-from emberway.operators import containment, elements, extensions, fire, graph, learning, nearest, paths, sampling
+from emberway.operators import containment, elements, extensions, fire, graph, nearest, paths, sampling
 from emberway.plans.sessions import GraphSession
 from emberway.sources import contract, mesh
 from emberway.streaming import events
@@ -142,14 +142,6 @@ def test_merge_fold(spark):
     assert [(pytest.approx(r["z"]), r["n"]) for r in elements.merged_levels(b).orderBy("level").collect()] == [(1.3, 4), (5.0, 1), (5.5, 1)]
 
 
-def test_learned_route_reaches_the_exit(spark):
-    a = graph.arcs(arcs(spark)).withColumn("graph", F.lit("g"))
-    tasks = spark.createDataFrame([(s, "g", 1, 4, s) for s in range(3)], "task long, graph string, start long, exit long, seed long")
-    out = learning.learn(tasks, a)
-    assert {r["node"] for r in out.where("pos = 2").collect()} == {4}
-    assert rows(learning.learn(tasks, a)) == rows(out)
-
-
 def test_selection(spark):
     c = [("faces", spark.createDataFrame([("f", "w")], "parent string, child string")), ("wires", spark.createDataFrame([("w", "e"), ("w", "e")], "parent string, child string"))]
     closure = containment.ancestors(c)
@@ -204,6 +196,8 @@ def test_graph_sessions(spark):
     assert [r["node"] for r in s.path("ifc", (0, 0, 0), (3, 0, 0)).orderBy("pos").collect()] == [0, 1, 2, 3]
     assert s.resolve("ifc", node=2) == 2 and s.resolve("ifc", node=77) == 1 and s.cells("ifc").count() == 0
     assert [r["nodes"] for r in s.fire("ifc", 0).orderBy("step").collect()] == [r["nodes"] for r in s.fire("ifc", 0, radial=False).orderBy("step").collect()] == [[0], [1], [2], [3]]
+    route = [r["node"] for r in s.learned_route("ifc", 0, 1, episodes=1, max_steps=2).orderBy("pos").collect()]
+    assert route == [0, 1]  # its only arc, and there is the exit
     for graph_id in ("wire", "cell"):
         with pytest.raises(contract.BadPayload):
             s.nodes(graph_id)
