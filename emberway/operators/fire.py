@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberway.plans.fixpoint import cut
+from emberway.plans.fixpoint import cut, cut_counted
 
 SOURCE_T, AMBIENT, RATE = 120.0, 20.0, 1.2  #: degrees at the source and elsewhere at first; share of a difference that passes
 
 
-def ignition(arcs: DataFrame, start, max_steps: int = 60) -> DataFrame:
-    """node, step: breadth-first levels from start, at most max_steps beyond it; what is not reached has no row."""
+def ignition(arcs: DataFrame, start, max_steps: int = 60, both_ways: bool = False) -> DataFrame:
+    """node, step: breadth-first levels from start, at most max_steps beyond it; what is not reached has no row.
+
+    both_ways tells that every arc has its opposite; a node's neighbours then lie no more than a level back.
+    """
     kind = dict(arcs.dtypes)["src"]
-    seen = cut(arcs.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).alias("step")))
+    last = cut(arcs.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).alias("step")))
+    levels = [last]
     for i in range(1, max_steps + 1):
-        front = seen.where(F.col("step") == i - 1).select(F.col("node").alias("src"))
-        new = front.join(arcs.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = cut(new.withColumn("step", F.lit(i)))
-        if not new.head(1):
+        known = union(levels[-2:] if both_ways else levels)
+        front = last.select(F.col("node").alias("src"))
+        new = front.join(arcs.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
+        last, counts = cut_counted(new.withColumn("step", F.lit(i)))
+        if not counts["n"]:
             break
-        seen = seen.unionByName(new)
-    return seen
+        levels.append(last)
+    return union(levels)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def radial(nodes: DataFrame, start, step: float, max_steps: int = 60, end=None) -> DataFrame:
@@ -58,10 +70,7 @@ def heat(arcs: DataFrame, nodes: DataFrame, source, steps: int = 60, rate: float
         if s % every == 0:
             now = cut(now)
         out.append(now.withColumn("step", F.lit(s)))
-    total = out[0]
-    for part in out[1:]:
-        total = total.unionByName(part)
-    return total.select("step", "node", "t")
+    return union(out).select("step", "node", "t")
 
 
 def hot_nodes(temperatures: DataFrame, above: float = 30.0) -> DataFrame:

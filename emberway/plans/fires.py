@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberway.functions import styles
 from emberway.operators import fire, graph, learning, paths
 from emberway.plans import fixtures as x
 from emberway.plans._registry import query, r, rounded, table
-from emberway.plans.fixpoint import cut
+from emberway.plans.fixpoint import cut, shared_folder
+from emberway.streaming import spread
 
 SOURCE, TARGET, MAX_STEPS = 0, 7, 8
 BFS = f"{x.ARCS}, reach(node, step) AS (SELECT {SOURCE}::BIGINT, 0 UNION SELECT arcs.dst, step + 1 FROM reach JOIN arcs ON arcs.src = node WHERE step < {MAX_STEPS}), levels AS (SELECT node, min(step) AS step FROM reach GROUP BY node)"
 
 
 def _levels(spark, sf):
-    return fire.ignition(cut(x.arcs(spark, sf).select("src", "dst")), SOURCE, MAX_STEPS)
+    return fire.ignition(cut(x.arcs(spark, sf).select("src", "dst")), SOURCE, MAX_STEPS, both_ways=True)
 
 
 @query("f1_ignition", f"WITH RECURSIVE {BFS} SELECT node, step FROM levels")
@@ -28,6 +31,13 @@ def ignition_timeline(spark, sf):
     return fire.timeline(_levels(spark, sf)).select("step", F.size("nodes").cast("long").alias("n"), F.array_min("nodes").alias("least"), F.array_max("nodes").alias("most"))
 
 
+@query("f6_fire_stream", f"WITH RECURSIVE {BFS} SELECT node, CAST(step AS INTEGER) AS step FROM levels")
+def fire_stream(spark, sf):
+    stream = spread.FireStream(cut(x.arcs(spark, sf).select("src", "dst")), f"{shared_folder(spark)}/emberway/fire-{uuid.uuid4().hex}", MAX_STEPS)
+    stream.ignite(SOURCE)
+    return stream.burn_out()
+
+
 _ORIGIN = f"d AS (SELECT a.id, {x.DIST} AS d FROM pts a, (SELECT * FROM pts WHERE id = {SOURCE}) b)"
 
 
@@ -231,7 +241,7 @@ def _trained(spark, sf):
     """Agents that begin at every node, with one exit, while a fire spreads from the source."""
     arcs = cut(graph.arcs(x.edges(spark, sf)).withColumn("graph", F.lit("g")))
     tasks = x.points(spark, sf).select(F.col("id").alias("task"), F.lit("g").alias("graph"), F.col("id").alias("start"), F.lit(TARGET).cast("long").alias("exit"), (F.col("id") + 11).alias("seed"))
-    levels = fire.ignition(arcs, SOURCE, MAX_STEPS).withColumn("graph", F.lit("g"))
+    levels = fire.ignition(arcs, SOURCE, MAX_STEPS, both_ways=True).withColumn("graph", F.lit("g"))
     return tasks, arcs, cut(learning.learn(tasks, arcs, levels, EPISODES, MOVES))
 
 
