@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberway.operators.order import numbered
+from emberway.operators.order import numbered, union
+from emberway.plans.fixpoint import cut, cut_counted
 
 MIN_AREA, TILT, MAX_SPAN = 9.0, 0.3, 1.0  #: of a floor: least box area, least mean |nz|, greatest height unless flat
 # Bounds of a tread and of a stair made of treads.
@@ -67,41 +68,71 @@ def treads(tri: DataFrame) -> DataFrame:
     return rows.where(fits).select("model", "tread", "minx", "maxx", "miny", "maxy", "z")
 
 
+def risers(treads: DataFrame) -> DataFrame:
+    """p, s, rise: pairs of numbered treads (n, model, minx, ..., z) of a model, the second a riser's height above the first and overlapping it on both axes.
+
+    Pairs meet by bands of height and by cells that both cover; a pair counts in the cell of its overlap's low corner.
+    """
+    band, cell = 1.01 * STAIR["max_rise"], TREAD["max_width"]
+    covered = lambda k: F.sequence(F.floor(F.col(f"min{k}") / cell), F.floor(F.col(f"max{k}") / cell))
+    spread = treads.withColumn("band", F.floor(F.col("z") / band)).withColumn("cx", F.explode(covered("x"))).withColumn("cy", F.explode(covered("y")))
+    low = spread.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).select("model", "band", "cx", "cy", *(F.col(c).alias("p_" + c) for c in ("n", "minx", "maxx", "miny", "maxy", "z")))
+    met = low.join(spread, ["model", "band", "cx", "cy"])
+    rise = F.col("z") - F.col("p_z")
+    fits = rise.between(STAIR["min_rise"], STAIR["max_rise"])
+    for k in "xy":
+        start = F.greatest(f"p_min{k}", f"min{k}")
+        fits = fits & (F.least(f"p_max{k}", f"max{k}") - start >= STAIR["overlap"]) & (F.floor(start / cell) == F.col(f"c{k}"))
+    return met.where(fits).select(F.col("p_n").alias("p"), F.col("n").alias("s"), rise.alias("rise"))
+
+
+def chained(arcs: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """s, p, rise, base: which arcs (p, s, rise) greedy chains take, where treads are numbered from below and every chain's first tread is its base.
+
+    One by one from below, each tread that no chain has taken would begin a chain, which goes on with the least rise (of
+    equal ones the smallest s) to a tread not taken yet. Here all chains grow at once: an end whose best
+    tread is wanted by no chain with a smaller base, nor by a tread of which it is not yet known whether and
+    by which chain it is taken, can have it, whatever the others do. As the chain with the smallest base always goes first,
+    the result is that of taking turns. Each round grows every chain that can by a tread.
+    """
+    took = arcs.select("s", "p", "rise", F.col("p").alias("base")).limit(0)
+    parts: list[DataFrame] = []
+    alive, counts = cut_counted(arcs)
+    for _ in range(rounds):
+        if not counts["n"]:
+            return union([took, *parts])
+        if len(parts) >= 6:
+            took, parts = cut(union([took, *parts])), []
+        known = union([took, *parts]).select(F.col("s").alias("p"), "base")
+        wanted = alive.select(F.col("s").alias("p")).distinct().withColumn("wanted", F.lit(True))
+        ends = alive.select("p").distinct().join(known, "p", "left").join(wanted, "p", "left")
+        # a tread that is not taken and wanted by none begins a chain; one still wanted could come from any
+        ends = ends.select("p", F.when(F.col("base").isNotNull(), F.col("base")).when(F.col("wanted").isNull(), F.col("p")).otherwise(-1).alias("base"))
+        first, best = F.min("base").over(W.partitionBy("s")), F.min(F.struct("rise", "s")).over(W.partitionBy("p"))
+        met = alive.join(ends, "p").withColumn("first", first).withColumn("best", best["s"])
+        new = cut(met.where("base >= 0 and base = first and s = best").select("s", "p", "rise", "base"))
+        parts.append(new)
+        alive, counts = cut_counted(alive.join(new.select("p"), "p", "left_anti").join(new.select("s"), "s", "left_anti").select("p", "s", "rise"))
+    raise ValueError(f"chains still grow after {rounds} rounds")
+
+
 def stair_chains(candidates: DataFrame) -> DataFrame:
     """model, stair, n, minx, maxx, miny, maxy, z_min, z_max: chains of treads that rise like a stair.
 
     Going up by z (ties by tread), a free tread begins a chain; it goes on with the next free one
     that rises by a riser's height over the last and overlaps it on both axes. A chain of enough
     treads, rise and even risers is a stair; treads of a chain are used up, also where it is none.
-    One task a model, as each chain depends on those before.
+    Stairs of a model are numbered from below. Pairs of treads are found by a join and chains by rounds (see
+    chained), so that no task has a model.
     """
-
-    def one(model: pd.DataFrame) -> pd.DataFrame:
-        rows = model.sort_values(["z", "tread"]).reset_index(drop=True)
-        t = list(rows[["minx", "maxx", "miny", "maxy", "z"]].itertuples(index=False))
-        used, out = [False] * len(t), []
-        for i, base in enumerate(t):
-            if used[i]:
-                continue
-            used[i] = True
-            chain = [i]
-            for j in range(i + 1, len(t)):
-                last = t[chain[-1]]
-                rise = t[j].z - last.z
-                if rise > STAIR["max_rise"]:
-                    break
-                apart = min(last.maxx, t[j].maxx) - max(last.minx, t[j].minx) < STAIR["overlap"] or min(last.maxy, t[j].maxy) - max(last.miny, t[j].miny) < STAIR["overlap"]
-                if not used[j] and rise >= STAIR["min_rise"] and not apart:
-                    chain.append(j)
-                    used[j] = True
-            rises = [t[b].z - t[a].z for a, b in zip(chain, chain[1:])]
-            if len(chain) >= STAIR["treads"] and t[chain[-1]].z - base.z >= STAIR["total_rise"] and max(rises) - min(rises) <= STAIR["spread"]:
-                own = [t[c] for c in chain]
-                out.append((model["model"].iloc[0], len(out), len(own), min(x.minx for x in own), max(x.maxx for x in own), min(x.miny for x in own), max(x.maxy for x in own), base.z, own[-1].z))
-        return pd.DataFrame(out, columns=["model", "stair", "n", "minx", "maxx", "miny", "maxy", "z_min", "z_max"])
-
-    schema = "model long, stair long, n long, minx double, maxx double, miny double, maxy double, z_min double, z_max double"
-    return candidates.groupBy("model").applyInPandas(one, schema)
+    treads = cut(numbered(candidates, ["model", "z", "tread"], "n"))
+    took = cut(chained(risers(treads)))
+    each = treads.join(took.select(F.col("s").alias("n"), "base", "rise"), "n", "left").withColumn("base", F.coalesce("base", "n"))
+    box = [f(f"{n}{k}").alias(f"{n}{k}") for k in "xy" for n, f in (("min", F.min), ("max", F.max))]
+    chains = each.groupBy("model", "base").agg(F.count("*").alias("n"), *box, F.min("z").alias("z_min"), F.max("z").alias("z_max"), (F.max("rise") - F.min("rise")).alias("spread"))
+    stairs = chains.where((F.col("n") >= STAIR["treads"]) & (F.col("z_max") - F.col("z_min") >= STAIR["total_rise"]) & (F.col("spread") <= STAIR["spread"]))
+    number = F.row_number().over(W.partitionBy("model").orderBy("base")) - 1
+    return stairs.select("model", number.cast("long").alias("stair"), "n", "minx", "maxx", "miny", "maxy", "z_min", "z_max")
 
 
 def with_hints(shaped: DataFrame, named_floors: DataFrame, named_stairs: DataFrame) -> DataFrame:

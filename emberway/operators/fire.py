@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberway.operators.order import union
 from emberway.plans.fixpoint import cut, cut_counted
 
 SOURCE_T, AMBIENT, RATE = 120.0, 20.0, 1.2  #: degrees at the source and elsewhere at first; share of a difference that passes
@@ -29,13 +30,6 @@ def ignition(arcs: DataFrame, start, max_steps: int = 60, both_ways: bool = Fals
     return union(levels)
 
 
-def union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
 def radial(nodes: DataFrame, start, step: float, max_steps: int = 60, end=None) -> DataFrame:
     """node, step: int(distance from start / step), up to the bucket of the furthest node (or of end, if that is nearer) and max_steps - 1; nodes beyond have no row."""
     origin = nodes.where(F.col("id") == F.lit(start)).select(*(F.col(k).alias(f"o{k}") for k in "xyz"))

@@ -1,4 +1,4 @@
-"""Numbers by an order of all rows, without a task that has them all."""
+"""Numbers by an order of all rows, without a task that has them all; unions."""
 
 from __future__ import annotations
 
@@ -21,3 +21,11 @@ def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFra
     inside = F.row_number().over(W.partitionBy("part_of_range").orderBy(*order)) - 1
     both = parts.withColumn("inside_part", inside).join(sizes.select("part_of_range", shift.alias("shift_of_part")), "part_of_range")
     return both.withColumn(name, F.col("inside_part") + F.col("shift_of_part")).drop("inside_part", "shift_of_part", "part_of_range")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    """Rows of all tables, by column names."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -8,6 +8,7 @@ from emberway.operators import elements, graph, sampling
 from emberway.plans import fixtures as x
 from emberway.plans._registry import query, r, rounded, table
 
+STAIR = elements.STAIR
 PRODUCT = f"""{x.MEASURED}, prod AS (SELECT geom_id, min(least(ax, bx, cx)) AS minx, max(greatest(ax, bx, cx)) AS maxx, min(least(ay, by, cy)) AS miny, max(greatest(ay, by, cy)) AS maxy, min(least(az, bz, cz)) AS minz, max(greatest(az, bz, cz)) AS maxz, avg(abs(uz)) AS mean_nz FROM measured GROUP BY geom_id),
 shape AS (SELECT *, maxx - minx AS sx, maxy - miny AS sy, maxz - minz AS sz, (maxx - minx) * (maxy - miny) AS box_area FROM prod)"""
 
@@ -67,12 +68,34 @@ def treads(spark, sf):
     return rounded(out.select(F.col("k")[0].cast("long").alias("geom_id"), F.col("k")[1].cast("int").alias("tri_no"), "z"), "z")
 
 
-@query("b9_stair_chains", "SELECT CAST(r_regionkey AS BIGINT) AS model, CAST(0 AS BIGINT) AS stair, CAST(5 AS BIGINT) AS n, CAST(r_regionkey AS DOUBLE) AS z_min, CAST(r_regionkey + 0.68 AS DOUBLE) AS z_max FROM region")
+# flights of eight treads side by side: neighbours overlap, rises differ from flight to flight, some treads are out of step
+TREADS = """treads AS (SELECT f % 7 AS model, CAST(p_partkey AS VARCHAR) AS tread, (f % 40) * 0.6 AS minx, (f % 40) * 0.6 + 1.0 AS maxx, floor(f / 40) * 0.7 AS miny, floor(f / 40) * 0.7 + 1.0 AS maxy,
+  (i * (13 + 2 * (f % 5)) + f % 3 + CASE WHEN p_size % 11 = 0 THEN 3 WHEN p_size % 7 = 0 THEN 1 ELSE 0 END) / 100 AS z FROM (SELECT *, p_partkey // 8 AS f, p_partkey % 8 AS i FROM part))"""
+_CHAINS = f"""WITH RECURSIVE {TREADS}, t AS (SELECT *, row_number() OVER (ORDER BY model, z, tread) AS n FROM treads),
+arcs AS (SELECT a.n AS p, b.n AS s, b.z - a.z AS rise FROM t a JOIN t b ON a.model = b.model AND b.z - a.z BETWEEN {STAIR['min_rise']} AND {STAIR['max_rise']}
+  AND least(a.maxx, b.maxx) - greatest(a.minx, b.minx) >= {STAIR['overlap']} AND least(a.maxy, b.maxy) - greatest(a.miny, b.miny) >= {STAIR['overlap']}),
+nexts AS (SELECT p, list(s ORDER BY rise, s) AS nexts FROM arcs GROUP BY p), all_of AS (SELECT model, min(n) AS lo, max(n) AS hi FROM t GROUP BY model),
+walk(model, lo, hi, taken, base, here, rank) AS (SELECT model, lo, hi, [lo], lo, lo, 1 FROM all_of UNION ALL
+  SELECT model, lo, hi, list_append(taken, coalesce(up, fresh)), if(up IS NULL, fresh, base), coalesce(up, fresh), rank + 1 FROM (
+    SELECT walk.*, list_filter(nexts, lambda x: NOT list_contains(taken, x))[1] AS up, list_filter(range(base + 1, hi + 1), lambda x: NOT list_contains(taken, x))[1] AS fresh FROM walk LEFT JOIN nexts ON p = here)
+  WHERE coalesce(up, fresh) IS NOT NULL),
+each AS (SELECT model, base, rank, minx, maxx, miny, maxy, z, z - lag(z) OVER (PARTITION BY walk.model, base ORDER BY rank) AS rise FROM walk JOIN t USING (model) WHERE t.n = here),
+chains AS (SELECT model, base, count(*) AS n, min(minx) AS minx, max(maxx) AS maxx, min(miny) AS miny, max(maxy) AS maxy, min(z) AS z_min, max(z) AS z_max, max(rise) - min(rise) AS spread FROM each GROUP BY model, base)
+SELECT model, row_number() OVER (PARTITION BY model ORDER BY base) - 1 AS stair, n, {r('minx')} AS minx, {r('maxx')} AS maxx, {r('miny')} AS miny, {r('maxy')} AS maxy, {r('z_min')} AS z_min, {r('z_max')} AS z_max
+FROM chains WHERE n >= {STAIR['treads']} AND z_max - z_min >= {STAIR['total_rise']} AND spread <= {STAIR['spread']}"""
+
+
+def flights(spark, sf):
+    """model, tread and bounds of TREADS."""
+    p, f, i = table(spark, sf, "part"), F.floor(F.col("p_partkey") / 8), F.col("p_partkey") % 8
+    odd = F.when(F.col("p_size") % 11 == 0, 3).when(F.col("p_size") % 7 == 0, 1).otherwise(0)
+    x0, y0 = (f % 40) * F.lit(0.6), F.floor(f / 40) * F.lit(0.7)
+    return p.select((f % 7).alias("model"), F.col("p_partkey").cast("string").alias("tread"), x0.alias("minx"), (x0 + 1.0).alias("maxx"), y0.alias("miny"), (y0 + 1.0).alias("maxy"), ((i * (13 + 2 * (f % 5)) + f % 3 + odd) / 100).alias("z"))
+
+
+@query("b9_stair_chains", _CHAINS)
 def chains(spark, sf):
-    step = F.explode(F.sequence(F.lit(0), F.lit(4)))
-    t = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("model"), step.alias("i"))
-    rows = t.select("model", F.col("i").cast("string").alias("tread"), F.lit(0.0).alias("minx"), F.lit(1.0).alias("maxx"), F.lit(0.0).alias("miny"), F.lit(1.0).alias("maxy"), (F.col("model") + F.col("i") * 0.17).alias("z"))
-    return rounded(elements.stair_chains(rows).select("model", "stair", "n", "z_min", "z_max"), "z_min", "z_max")
+    return rounded(elements.stair_chains(flights(spark, sf)), "minx", "maxx", "miny", "maxy", "z_min", "z_max")
 
 
 @query("b10_hint_override", f"WITH {PRODUCT} SELECT geom_id, 'named floor' AS origin FROM prod WHERE geom_id % 5 = 0 UNION ALL SELECT geom_id, 'named stair' FROM prod WHERE geom_id % 10 = 0")
