@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from emberway.operators.order import numbered, union
+from emberway.operators.order import numbered, since, union
 from emberway.plans.fixpoint import cut, cut_counted
 
 MIN_AREA, TILT, MAX_SPAN = 9.0, 0.3, 1.0  #: of a floor: least box area, least mean |nz|, greatest height unless flat
@@ -146,26 +147,48 @@ def merged_levels(boxes: DataFrame, reach: float = 1.5) -> DataFrame:
     """model, level, is_stair, z, n and the joint bounds: boxes (model, box, is_stair, z, minx, maxx, miny, maxy, z_min, z_max) folded by height.
 
     Going up by z (ties by box), a box joins the last level if it is of the same kind and within
-    reach of the level's mean z, else it begins one. z_min and z_max, where missing, are z. A model's boxes are folded as one array.
+    reach of the level's mean z, else it begins one. z_min and z_max, where missing, are z.
+
+    A box of another kind than the one below, or further than reach above it, begins a level whatever came before, as no
+    mean is above its last box. Rows numbered by range are cut there, and the pieces are folded apart, each as a
+    stream of rows of which only the level in hand is held.
     """
     boxes = boxes.withColumns({c: F.col("z") for c in ("z_min", "z_max") if c not in boxes.columns})
-    item = F.struct("z", "box", "is_stair", "minx", "maxx", "miny", "maxy", "z_min", "z_max")
-    level = "struct<z:double,n:bigint,is_stair:boolean,minx:double,maxx:double,miny:double,maxy:double,z_min:double,z_max:double>"
-    new = lambda b: F.struct(b["z"].alias("z"), F.lit(1).cast("bigint").alias("n"), b["is_stair"].alias("is_stair"), *(b[k].alias(k) for k in ("minx", "maxx", "miny", "maxy", "z_min", "z_max")))
-
-    def step(levels: Column, b: Column) -> Column:
-        last = F.element_at(levels, -1)
-        joint = F.struct(
-            ((last["z"] * last["n"] + b["z"]) / (last["n"] + 1)).alias("z"), (last["n"] + 1).alias("n"), last["is_stair"].alias("is_stair"),
-            F.least(last["minx"], b["minx"]).alias("minx"), F.greatest(last["maxx"], b["maxx"]).alias("maxx"),
-            F.least(last["miny"], b["miny"]).alias("miny"), F.greatest(last["maxy"], b["maxy"]).alias("maxy"),
-            F.least(last["z_min"], b["z_min"]).alias("z_min"), F.greatest(last["z_max"], b["z_max"]).alias("z_max"))
-        same = (F.size(levels) > 0) & (F.abs(b["z"] - last["z"]) <= reach) & (last["is_stair"] == b["is_stair"])
-        return F.when(same, F.concat(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.array(joint))).otherwise(F.concat(levels, F.array(new(b))))
-
-    rows = boxes.groupBy("model").agg(F.array_sort(F.collect_list(item)).alias("boxes"))
-    folded = rows.select("model", F.aggregate("boxes", F.array().cast(f"array<{level}>"), step).alias("levels"))
-    return folded.select("model", F.posexplode("levels").alias("level", "l")).select("model", "level", "l.*")
+    rows = cut(numbered(boxes, ["model", "z", "box"], "at"))
+    below = rows.select((F.col("at") + 1).alias("at"), F.col("model").alias("model_below"), F.col("is_stair").alias("kind_below"), F.col("z").alias("z_below"))
+    begins = F.col("model_below").isNull() | (F.col("model") != F.col("model_below")) | (F.col("is_stair") != F.col("kind_below")) | (F.col("z") - F.col("z_below") > reach)
+    pieces = since(rows.join(below, "at", "left"), "at", begins, "piece")
+    names = ["model", "at", "is_stair", "z", "minx", "maxx", "miny", "maxy", "z_min", "z_max"]
+    kinds = dict(rows.dtypes)
+    schema = f"model {kinds['model']}, at bigint, is_stair boolean, z double, n bigint, minx double, maxx double, miny double, maxy double, z_min double, z_max double"
+    sides = [min, max, min, max, min, max]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, level = None, None  # model, at, is_stair, z, n and six bounds
+        for batch in batches:
+            done = []
+            for own, model, at, kind, z, *bounds in zip(*(batch.column(c).to_pylist() for c in ("piece", *names))):
+                if level is not None and own == piece and abs(z - level[3]) <= reach:
+                    level[3], level[4] = (level[3] * level[4] + z) / (level[4] + 1), level[4] + 1
+                    level[5:] = [f(x, y) for f, x, y in zip(sides, level[5:], bounds)]
+                else:
+                    if level is not None:
+                        done.append(level)
+                    piece, level = own, [model, at, kind, z, 1, *bounds]
+            yield told(done)
+        if level is not None:
+            yield told([level])
+
+    def told(levels: list) -> pa.RecordBatch:
+        columns = list(zip(*levels)) or [()] * 11
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["model", "at", "is_stair", "z", "n", *names[4:]])
+
+    types = [to_arrow_type(rows.schema["model"].dataType), pa.int64(), pa.bool_(), pa.float64(), pa.int64(), *[pa.float64()] * 6]
+    doubles = [F.col(c).cast("double").alias(c) for c in names[3:]]
+    levels = cut(pieces.select("piece", *names[:3], *doubles).repartition("piece").sortWithinPartitions("piece", "at").mapInArrow(fold, schema))
+    ranked = cut(numbered(levels, ["at"], "rank"))
+    first = ranked.groupBy("model").agg(F.min("rank").alias("first"))
+    return ranked.join(first, "model").select("model", (F.col("rank") - F.col("first")).cast("int").alias("level"), "z", "n", "is_stair", *names[4:])
 
 
 def medial_axis(points: DataFrame, by: str = "model") -> DataFrame:

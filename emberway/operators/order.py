@@ -23,6 +23,16 @@ def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFra
     return both.withColumn(name, F.col("inside_part") + F.col("shift_of_part")).drop("inside_part", "shift_of_part", "part_of_range")
 
 
+def since(rows: DataFrame, at: str, begins, name: str) -> DataFrame:
+    """Adds to rows numbered by `at` the number of the last row, itself or before it, where begins holds; null before the first."""
+    begun = F.max(F.when(begins, F.col(at)))
+    parts = cut(rows.repartitionByRange(at).withColumn("part_of_range", F.spark_partition_id()))
+    tails = parts.groupBy("part_of_range").agg(begun.alias("tail"))
+    before = F.max("tail").over(W.orderBy("part_of_range").rowsBetween(W.unboundedPreceding, -1))
+    both = parts.withColumn("inside_part", begun.over(W.partitionBy("part_of_range").orderBy(at))).join(tails.select("part_of_range", before.alias("before_part")), "part_of_range")
+    return both.withColumn(name, F.coalesce("inside_part", "before_part")).drop("inside_part", "before_part", "part_of_range")
+
+
 def union(tables: list[DataFrame]) -> DataFrame:
     """Rows of all tables, by column names."""
     out = tables[0]

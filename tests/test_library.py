@@ -142,6 +142,22 @@ def test_merge_fold(spark):
     assert [(pytest.approx(r["z"]), r["n"]) for r in elements.merged_levels(b).orderBy("level").collect()] == [(1.3, 4), (5.0, 1), (5.5, 1)]
 
 
+def test_merge_fold_of_a_large_model(spark):
+    """Many boxes at all heights in one model, some gaps, kinds and models in turn, as folded one by one."""
+    rows = [(m, i, (i // 700) % 3 == 1, (i * 0.013 + (i // 500) * 1.3 - 4) if m else i * 0.01, 0.0 - i, 1.0 + i, 0.0, 1.0) for m in (0, 1) for i in range(3000)] + [(2, 0, False, 1.0, 0.0, 1.0, 0.0, 1.0)]
+    want = []
+    for m, i, kind, z, x0, x1, *_ in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        last = want[-1] if want else None
+        if last and last[0] == m and last[1] == kind and abs(z - last[2]) <= 1.5:
+            last[2:] = [(last[2] * last[3] + z) / (last[3] + 1), last[3] + 1, min(last[4], x0), max(last[5], x1)]
+        else:
+            want.append([m, kind, z, 1, x0, x1])
+    b = spark.createDataFrame(rows, "model long, box int, is_stair boolean, z double, minx double, maxx double, miny double, maxy double").repartition(7)
+    out = elements.merged_levels(b).orderBy("model", "level").collect()
+    assert [[r["model"], r["is_stair"], r["z"], r["n"], r["minx"], r["maxx"]] for r in out] == want and len(want) > 20
+    assert [r["level"] for r in out if r["model"] == 1] == list(range(sum(w[0] == 1 for w in want)))
+
+
 def test_selection(spark):
     c = [("faces", spark.createDataFrame([("f", "w")], "parent string, child string")), ("wires", spark.createDataFrame([("w", "e"), ("w", "e")], "parent string, child string"))]
     closure = containment.ancestors(c)
