@@ -54,8 +54,13 @@ def targets(sources: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = C
 
 
 def draw(seed: int) -> Column:
-    """A number in (0, 1) by doc_id, length of the text and seed."""
-    return (F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), 11) + 0.5) / 2.0**53
+    """A number in (0, 1) by doc_id, the whole text and seed."""
+    return (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) + 0.5) / 2.0**53
+
+
+def _exact(x: Column) -> Column:
+    """A sum of positive numbers by a millionth, the same in whatever order they are added."""
+    return (F.sum(F.round(x * 1e6).cast("decimal(38,0)")) / 1e6).cast("double")
 
 
 def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, seed: int = 17, inclusion: Column | None = None, key: str | None = None) -> DataFrame:
@@ -64,32 +69,46 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
     A source whose target is c times its size first gives floor(c) whole copies of every row.
     The rest of the target is met by one more copy of the rows of lowest Pareto rank,
     (u / (1 - u)) / (p / (1 - p)), as many as come nearest to it in words, and one row more or
-    fewer, that whose size is nearest to what is missing still. u is a hash of doc_id, text length
-    and seed, so reruns agree. p is a row's odds times what makes the expected words of a source's
-    sample its rest, kept below 1. Odds are `inclusion`, a positive column of docs, where that is
+    fewer, that whose size is nearest to what is missing still. u is a hash of doc_id, whole text
+    and seed, another such hash breaks ties, so reruns agree, whatever the order of the rows. p is a row's odds
+    times what makes the expected words of a source's sample its rest; rows for which that is 1 or more are
+    certain (p is 1), and the factor is found anew for the others until none is. Odds are `inclusion`, a positive column of docs, where that is
     given, else 2 * size / (size + the source's mean size): longer texts are likelier, fragments
     seldom taken. Rows of a whole-number c get no more. Null texts and blank texts have size 0 and
     take no words. A null source is a source of its own, last in order. No row gives more than
-    ceil(cap) copies. Identical rows may differ in copies. An empty table gives no rows. row is
-    the column key of docs (a number of each row), where that is given.
+    ceil(cap) copies. Rows of one doc_id and text are alike: how many copies they get together is settled, which of
+    them gets one more is not. Texts are read whole, however long, only to be counted and hashed. An empty table gives no rows. row is
+    the column key of docs (a number of each row), where that is given; other columns, whatever their names, are not read.
     """
     odds = F.lit(None).cast("double") if inclusion is None else inclusion.cast("double")
     row = F.col(key) if key else F.monotonically_increasing_id()
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), odds.alias("odds"), row.alias("row"), draw(seed).alias("u"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), odds.alias("odds"), row.alias("row"), draw(seed).alias("u"), F.xxhash64("text", "doc_id", F.lit(seed + 1)).alias("tie"))
     rows = written(rows, "sized")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
     goal = targets(sizes.select("source", "source_size"), cycle, cap)
     usual = 2 * F.col("size") / (F.col("size") + F.col("mean"))
     weighed = rows.alias("r").join(sizes.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
         "r.source", "mean", (F.coalesce("odds", usual) * F.col("size")).alias("w"))
-    weighed = weighed.groupBy("source").agg(F.sum("w").alias("w"), F.first("mean").alias("mean"))
+    weighed = weighed.groupBy("source").agg(_exact(F.col("w")).alias("w"), F.first("mean").alias("mean"))
     goal = goal.alias("g").join(weighed.alias("w"), F.col("g.source").eqNullSafe(F.col("w.source"))).drop(F.col("w.source"))
-    goal = written(goal, "targets")
     goal = goal.withColumn("c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("whole", F.floor("c")).withColumn("part", F.col("c") - F.col("whole")).withColumn("left", F.col("part") * F.col("source_size"))
-    r = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
-    p = F.coalesce("odds", usual) * F.col("left") / F.col("w")
-    r = r.withColumn("p", F.when(F.col("w") > 0, F.least(F.when(F.col("size") > 0, p).otherwise(F.col("part")), F.lit(1 - 1e-9))).otherwise(F.lit(0.0)))
+    goal = written(goal.withColumn("factor", F.when(F.col("w") > 0, F.col("left") / F.col("w"))), "targets")
+    odd, n_sure = F.coalesce("odds", usual), 0
+    while True:
+        r = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
+        sure = odd * F.col("factor") >= 1
+        sums = r.where("size > 0").groupBy("source").agg(F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("certain"), _exact(F.when(~sure, odd * F.col("size"))).alias("rest"), F.count(F.when(sure, 1)).alias("n"))
+        sums = written(sums, "sure")
+        now = sums.agg(F.sum("n")).first()[0] or 0
+        if now == n_sure:  # rows once certain stay so, as the factor only grows
+            break
+        n_sure = now
+        factor = F.when(F.col("rest") > 0, (F.col("left") - F.col("certain")) / F.col("rest")).otherwise(F.col("factor"))
+        goal = goal.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
+        goal = written(goal.select(*(f"g.{c}" for c in ("source", "source_size", "target", "w", "mean", "c", "whole", "part", "left")), F.when(F.col("n") > 0, factor).otherwise(F.col("factor")).alias("factor")), "targets")
+    p = F.when(F.col("size") > 0, F.least(odd * F.col("factor"), F.lit(1.0))).otherwise(F.col("part"))
+    r = r.withColumn("p", F.when(F.col("w") > 0, p).otherwise(F.lit(0.0)))
     p = F.col("p")
     q = F.when(p > 0, F.col("u") / (1 - F.col("u")) * (1 - p) / p)
     # the rank's own distribution maps it to (0, 1): 1 / (1 + 1 / q) grows with q, so a bin is a range of ranks
@@ -99,8 +118,8 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
     last = bins.withColumn("before", upto - F.col("n")).where("before < left").groupBy("source").agg(F.max(F.struct("bin", "before")).alias("m"))
     last = written(last.select("source", F.col("m.bin").alias("edge"), F.col("m.before").alias("before")), "edges")
     r = r.alias("r").join(last.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").drop(F.col("l.source"))
-    inside = r.where("q is not null and bin = edge").select("source", "row", "q", "size", "before", "left")
-    run = F.sum("size").over(W.partitionBy("source").orderBy("q", "row").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    inside = r.where("q is not null and bin = edge").select("source", "row", "tie", "q", "size", "before", "left")
+    run = F.sum("size").over(W.partitionBy("source").orderBy("q", "tie", "row").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
     chosen = inside.withColumn("run", run).where("run - size < left and run - left <= left - (run - size)").select("row", F.lit(1).alias("more"))
     more = F.when(F.col("bin") < F.col("edge"), 1).otherwise(F.coalesce("more", F.lit(0)))
     drawn = written(r.join(chosen, "row", "left").withColumn("more", F.when(F.col("q").isNotNull(), more).otherwise(0)), "drawn")
@@ -108,7 +127,7 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
     d = drawn.alias("d").join(gaps.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).drop(F.col("p.source"))
     miss = F.abs(F.abs("gap") - F.col("size"))
     d = d.where("q is not null and size > 0 and more = if(gap > 0, 0, 1)").where(miss < F.abs("gap"))
-    last_row = written(d.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(1).alias("turn")), "last")
+    last_row = written(d.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "tie", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(1).alias("turn")), "last")
     final = drawn.join(last_row, "row", "left")
     copies = F.col("whole") + F.when(F.col("turn") == 1, 1 - F.col("more")).otherwise(F.col("more"))
     return final.withColumn("copies", copies.cast("long")).select(

@@ -121,10 +121,17 @@ def mixed(rows):
         c = goal[source] / total if total else 0.0
         left, mean = (c - math.floor(c)) * total, total / len(rs)
         odds = {row: 2 * n / (n + mean) if n + mean else 0.0 for row, n, _ in rs}
-        w = sum(odds[row] * n for row, n, _ in rs)
+        sure = set()  # rows whose odds would make them more than certain
+        while True:
+            w = sum(odds[row] * n for row, n, _ in rs if row not in sure)
+            rest = left - sum(n for row, n, _ in rs if row in sure)
+            more_sure = {row for row, n, _ in rs if n and row not in sure and w and odds[row] * rest / w >= 1}
+            if not more_sure:
+                break
+            sure |= more_sure
         ranked, more, run = [], {row: 0 for row, _, _ in rs}, 0
         for row, n, u in rs:
-            p = min((odds[row] * left / w if n else c - math.floor(c)), 1 - 1e-9) if w else 0.0
+            p = 0.0 if not w and not sure else 1.0 if row in sure else odds[row] * rest / w if n else c - math.floor(c)
             if p > 0:
                 ranked.append((u / (1 - u) * (1 - p) / p, row, n))
         for _, row, n in sorted(ranked):

@@ -177,6 +177,31 @@ def test_mixing_takes_rows_as_often_as_their_odds_say(spark):
         assert np.mean([taken[i] for i in part]) == pytest.approx(np.mean([odds[i] for i in part]), abs=0.08)
 
 
+def test_mixing_is_settled_by_ids_and_texts(spark):
+    """Null and repeated ids with texts of one length: two orders of the rows give each text as many copies."""
+    rows = [(None if i % 2 else i % 5, " ".join(f"w{(i * 7 + k) % 10}" for k in range(9)) + " " + "xyz"[i % 3] * 3 + str(100 + i), "a" if i % 3 else "b") for i in range(90)]
+    rows += [(None, "same words here", "a")] * 6 + [(i, "w " * 400, "a") for i in range(3)]
+
+    def told(some, parts):
+        docs = spark.createDataFrame(some, "doc_id long, text string, source string").repartition(parts).withColumn("k", F.monotonically_increasing_id())
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        out = mixing.mix(docs, key="k").select(F.col("row").alias("k"), "copies", "p").join(docs, "k").groupBy("doc_id", "text", "source").agg(F.sum("copies").alias("n"), F.max("p").alias("p"))
+        return {(r["doc_id"], r["text"], r["source"]): (r["n"], round(r["p"], 9)) for r in out.collect()}
+
+    first = told(rows, 3)
+    assert first == told(rows[::-1], 5) and len({p for _, p in first.values()}) > 3
+    assert 0 < sum(n for n, _ in first.values())
+
+
+def test_mixing_takes_certain_rows(spark):
+    """Rows whose odds would be above 1 are certain; the others' odds still add up to the source's rest."""
+    rows = [(i, "w " * (4 + i % 5), "a") for i in range(300)] + [(400 + i, "w " * 300, "a") for i in range(4)] + [(500 + i, "w " * 500, "b") for i in range(6)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), cycle=(1.0, 1.1)).where("source = 'a'").collect()
+    left = out[0]["target"]  # less than the source has, so there are no whole copies
+    assert sum(r["p"] == 1 for r in out) == 4 and all(r["copies"] == 1 for r in out if r["p"] == 1)
+    assert sum(r["p"] * r["size"] for r in out) == pytest.approx(left)
+
+
 def test_mixing_empty_and_capped(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
