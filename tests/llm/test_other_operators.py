@@ -198,7 +198,8 @@ def test_mixing_takes_certain_rows(spark):
     rows = [(i, "w " * (4 + i % 5), "a") for i in range(300)] + [(400 + i, "w " * 300, "a") for i in range(4)] + [(500 + i, "w " * 500, "b") for i in range(6)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), cycle=(1.0, 1.1)).where("source = 'a'").collect()
     left = out[0]["target"]  # less than the source has, so there are no whole copies
-    assert sum(r["p"] == 1 for r in out) == 4 and all(r["copies"] == 1 for r in out if r["p"] == 1)
+    assert {400, 401, 402, 403} <= {r["doc_id"] for r in out if r["p"] == 1} and sum(r["p"] < 1 for r in out) > 100
+    assert all(r["copies"] == 1 for r in out if r["p"] == 1)
     assert sum(r["p"] * r["size"] for r in out) == pytest.approx(left)
 
 
