@@ -137,6 +137,18 @@ def nearest_node(spark, sf):
     return nearest.nearest_nodes(x.points(spark, sf), spark.createDataFrame(PROBES, "probe int, px double, py double, pz double"))
 
 
+# nodes on floors two apart, and a probe an event, on and off them
+_MANY = "probes AS (SELECT event_id AS probe, ((event_id * 37) % 1000 - 500) / 800 AS px, ((event_id * 11) % 97) / 4 - 10 AS py, value / 400 - 0.1 AS pz FROM events), floors AS (SELECT id, x, floor(y * 10) * 2 AS y, z FROM pts)"
+
+
+@query("c18_many_probes", f"WITH {x.PTS}, {_MANY} SELECT probe, id FROM (SELECT probe, id, row_number() OVER (PARTITION BY probe ORDER BY abs(y - py) > 1.5, CASE WHEN abs(y - py) <= 1.5 THEN {_FLAT} ELSE {_FULL} END, id) AS k FROM floors, probes) WHERE k = 1")
+def many_probes(spark, sf):
+    e = F.col("event_id")
+    probes = table(spark, sf, "events").select(e.alias("probe"), (((e * 37) % 1000 - 500) / 800).alias("px"), (((e * 11) % 97) / 4 - 10).alias("py"), (F.col("value") / 400 - 0.1).alias("pz"))
+    floors = x.points(spark, sf).withColumn("y", (F.floor(F.col("y") * 10) * 2).cast("double"))
+    return nearest.nearest_nodes(floors, probes)
+
+
 @query("c17_resolve_node", f"WITH {x.PTS}, {_PROBE}, near AS (SELECT probe, id FROM (SELECT probe, id, row_number() OVER (PARTITION BY probe ORDER BY abs(y - py) > 1.5, CASE WHEN abs(y - py) <= 1.5 THEN {_FLAT} ELSE {_FULL} END, id) AS k FROM pts, probes) WHERE k = 1) SELECT probe, id FROM near WHERE probe IN (2, 3, 4) UNION ALL SELECT 1, 17 UNION ALL SELECT 5, NULL")
 def resolve(spark, sf):
     rows = [(i, {1: 17, 2: -5}.get(i), a, b, c) for i, a, b, c in PROBES] + [(5, None, None, None, None)]
