@@ -11,9 +11,10 @@ from emberway.sources import contract, mesh
 from emberway.streaming import events
 
 
-@query("s1_health", "SELECT 'ok' AS status")
+@query("s1_health", "SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS nodes FROM embeddings")
 def health(spark, sf):
-    return spark.range(1).select(F.lit("ok").alias("status"))
+    n = F.count("*")
+    return table(spark, sf, "embeddings").agg(F.when(n > 0, "ok").otherwise("empty").alias("status"), n.alias("nodes"))
 
 
 @query("s2_dictionaries", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE props->>'k' IS NOT NULL")
@@ -87,10 +88,17 @@ def fallback(spark, sf):
     return contract.edge_source(rows.where("false"), rows).select("uid", F.size("vertices").alias("n"))
 
 
-@query("e1_event_table")
+PART = 120  #: nodes an event tells, so that a step has several
+_FIELD_ROWS = " UNION ALL ".join(f"SELECT {s} AS step, node, {r('t')} AS t FROM t{s}" for s in range(x.FIELD_STEPS + 1))
+
+
+@query("e1_event_table", f"""WITH {fires.FIELD}, told AS (SELECT *, (row_number() OVER (PARTITION BY step ORDER BY node) - 1) // {PART} AS part, (count(*) OVER (PARTITION BY step) + {PART} - 1) // {PART} AS parts FROM ({_FIELD_ROWS})),
+events AS (SELECT step, 1 AS rank, part, 'temperature_step' AS type, '{{"step":' || step || ',"part":' || part || ',"parts":' || parts || ',"temperatures":{{' || string_agg('"' || node || '":' || CAST(t AS VARCHAR), ',' ORDER BY node) || '}}}}' AS payload FROM told GROUP BY step, part, parts
+UNION ALL SELECT 2147483647, 3, 0, 'done', '{{}}')
+SELECT row_number() OVER (ORDER BY step, rank, part) - 1 AS seq, CAST(step AS INTEGER) AS step, rank, CAST(part AS BIGINT) AS part, type, payload FROM events""")
 def event_table(spark, sf):
     field = fires._field(spark, sf)
-    return events.event_table(rounded(field, "t"))
+    return events.event_table(rounded(field, "t"), chunk=PART)
 
 
 @query("e5_dispatched_events", f"SELECT event_id AS step, {r('value')} AS value FROM events WHERE event_type = 'click'")

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENTS = "step int, rank int, type string, payload string"
+from emberway.operators.order import numbered
+from emberway.plans.fixpoint import cut
+
+CHUNK = 1_000  #: rows of a step that an event tells at most
 
 
 def enabled(stream_path: bool, use_temperature: bool, mode: str, start, end) -> bool:
@@ -17,21 +20,41 @@ def enabled(stream_path: bool, use_temperature: bool, mode: str, start, end) ->
     return bool(stream_path and use_temperature and mode == "ifc" and start not in (None, "") and end not in (None, ""))
 
 
-def event_table(temperatures: DataFrame, routes: DataFrame | None = None, cells: DataFrame | None = None, last: int | None = None) -> DataFrame:
-    """seq-ordered events: meta (if there are cells), then per step temperature_step and, where there is one, path_update; done at the end.
+def _parts(rows: DataFrame, order: list[str], chunk: int) -> DataFrame:
+    """Adds at, a row's number in its step's order, part, that of its chunk of so many rows, and parts, how many the step has."""
+    rows = cut(numbered(rows, ["step", *order], "at"))
+    sizes = rows.groupBy("step").agg(F.min("at").alias("first"), F.ceil(F.count("*") / chunk).alias("parts"))
+    part = F.floor((F.col("at") - F.col("first")) / chunk)
+    return rows.join(sizes, "step").withColumn("part", part).drop("first")
+
+
+def _events(rows: DataFrame, rank: int, kind: str, own: list[str], body: Column, name: str) -> DataFrame:
+    """An event for every part of a step: its step, part, parts, `own` values, and a body of its rows."""
+    told = rows.groupBy("step", "part", "parts", *own).agg(body.alias(name))
+    payload = F.to_json(F.struct("step", "part", "parts", *own, name))
+    return told.select(F.col("step").cast("int"), F.lit(rank).alias("rank"), "part", F.lit(kind).alias("type"), payload.alias("payload"))
+
 
-    Sort by step and rank to play them. temperatures: step, node, t; routes: step, cost, path, changed.
+def event_table(temperatures: DataFrame, routes: DataFrame | None = None, cells: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """seq, step, rank, part, type, payload: meta (if there are cells), then per step temperature_step and, where there is one, path_update; done at the end.
+
+    seq numbers the events densely in the order in which they are played. temperatures: step, node, t; routes: step, cost,
+    changed, pos, node, a row a node. What a step has to tell comes in parts of at most `chunk` rows, an
+    event each, so that neither a row nor a task holds a step: nodes by node, a path by pos, cells by all their columns.
     """
-    body = F.to_json(F.struct("step", F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("node").cast("string"), "t")))).alias("temperatures")))
-    out = temperatures.groupBy("step").agg(body.alias("payload")).select(F.col("step").cast("int"), F.lit(1).alias("rank"), F.lit("temperature_step").alias("type"), "payload")
-    if routes is not None:
-        out = out.unionByName(routes.select(F.col("step").cast("int"), F.lit(2).alias("rank"), F.lit("path_update").alias("type"), F.to_json(F.struct("step", "path", "cost", "changed")).alias("payload")))
     spark = temperatures.sparkSession
+    listed = lambda *c: F.sort_array(F.collect_list(F.struct("at", *c)))
+    field = _parts(temperatures.select("step", "node", "t"), ["node"], chunk)
+    entries = F.transform(listed(F.col("node").cast("string").alias("key"), "t"), lambda x: F.struct(x["key"], x["t"]))
+    out = _events(field, 1, "temperature_step", [], F.map_from_entries(entries), "temperatures")
+    if routes is not None:
+        path = _parts(routes.select("step", "cost", "changed", "pos", "node"), ["pos"], chunk)
+        out = out.unionByName(_events(path, 2, "path_update", ["cost", "changed"], F.transform(listed("node"), lambda x: x["node"]), "path"))
     if cells is not None:
-        meta = cells.agg(F.count("*").alias("n"), F.to_json(F.struct(F.collect_list(F.struct(*cells.columns)).alias("cell_bboxes"))).alias("payload")).where("n > 0")
-        out = out.unionByName(meta.select(F.lit(-1).alias("step"), F.lit(0).alias("rank"), F.lit("meta").alias("type"), "payload"))
-    done = spark.range(1).select(F.lit(2**31 - 1).alias("step"), F.lit(3).alias("rank"), F.lit("done").alias("type"), F.lit("{}").alias("payload"))
-    return out.unionByName(done)
+        boxes = _parts(cells.select(F.lit(-1).alias("step"), F.struct(*cells.columns).alias("cell")), ["cell"], chunk)
+        out = out.unionByName(_events(boxes, 0, "meta", [], F.transform(listed("cell"), lambda x: x["cell"]), "cell_bboxes"))
+    done = spark.range(1).select(F.lit(2**31 - 1).alias("step"), F.lit(3).alias("rank"), F.lit(0).cast("long").alias("part"), F.lit("done").alias("type"), F.lit("{}").alias("payload"))
+    return numbered(cut(out.unionByName(done)), ["step", "rank", "part"], "seq").select("seq", "step", "rank", "part", "type", "payload")
 
 
 def sse_line(payload: Column) -> Column:

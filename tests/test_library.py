@@ -224,10 +224,15 @@ def test_graph_sessions(spark):
 
 
 def test_event_table(spark):
-    t = spark.createDataFrame([(0, 1, 20.0), (1, 1, 30.0)], "step int, node long, t double")
-    r = spark.createDataFrame([(1, 2.0, [1, 2], True)], "step int, cost double, path array<int>, changed boolean")
-    out = [x["type"] for x in events.event_table(t, r, t.limit(1)).orderBy("step", "rank").collect()]
-    assert out == ["meta", "temperature_step", "temperature_step", "path_update", "done"]
+    t = spark.createDataFrame([(0, n, 20.0 + n) for n in range(5)] + [(1, 1, 30.0)], "step int, node long, t double")
+    r = spark.createDataFrame([(1, 2.0, True, i, n) for i, n in enumerate([4, 2, 7])], "step int, cost double, changed boolean, pos long, node long")
+    out = events.event_table(t, r, t.select("node", "t").limit(3), chunk=2).orderBy("seq").collect()
+    assert [x["seq"] for x in out] == list(range(len(out)))
+    kinds = [(x["type"], x["part"]) for x in out]
+    steps = [("temperature_step", 0), ("temperature_step", 1), ("temperature_step", 2), ("temperature_step", 0)]
+    assert kinds == [("meta", 0), ("meta", 1), *steps, ("path_update", 0), ("path_update", 1), ("done", 0)]
+    assert [x["payload"] for x in out if x["step"] == 0][2] == '{"step":0,"part":2,"parts":3,"temperatures":{"4":24.0}}'
+    assert [x["payload"] for x in out if x["type"] == "path_update"] == ['{"step":1,"part":%d,"parts":2,"cost":2.0,"changed":true,"path":%s}' % p for p in ((0, "[4,2]"), (1, "[7]"))]
     assert "meta" not in {x["type"] for x in events.event_table(t, cells=t.limit(0)).collect()}
     assert events.enabled(True, True, "ifc", "a", "b") and not events.enabled(True, True, "ifc", "", "b") and not events.enabled(True, True, "wire", "a", "b")
 
