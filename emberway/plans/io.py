@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberway.plans import fires
 from emberway.plans import fixtures as x
 from emberway.plans._registry import query, r, rounded, table
-from emberway.sources import contract, mesh
+from emberway.plans.fixpoint import shared_folder
+from emberway.sources import contract, lines, mesh
 from emberway.streaming import events
 
 
@@ -62,6 +65,25 @@ def sse(spark, sf):
     return table(spark, sf, "events").select("event_id", events.sse_line(body).alias("line"))
 
 
+@query("s12_lines_sink", f"WITH {x.PTS} SELECT id, {r('x')} AS x FROM pts")
+def lines_sink(spark, sf):
+    path = f"{shared_folder(spark)}/emberway/lines-{uuid.uuid4().hex}"
+    rows = rounded(x.points(spark, sf).select("id", "x"), "x")
+    lines.write_lines(rows.select(F.to_json(F.struct("id", "x")).alias("value")), path)
+    return lines.read_lines(spark, path).select(F.from_json("value", "id long, x double").alias("v")).select("v.*")
+
+
+@query("s13_event_sink", "SELECT event_id, 'data: ' || '{\"step\":' || event_id || ',\"type\":\"' || event_type || '\"}' || chr(10) || chr(10) AS line FROM events")
+def event_sink(spark, sf):
+    """The lines of a stream of events, through the sink and back."""
+    path = f"{shared_folder(spark)}/emberway/events-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    body = F.to_json(F.struct(F.col("event_id").alias("step"), F.col("event_type").alias("type")))
+    lines.stream_lines(stream.select(events.sse_line(body).alias("value")), f"{path}/lines", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    told = lines.read_lines(spark, f"{path}/lines").withColumnRenamed("value", "line")
+    return told.select(F.get_json_object(F.substring("line", 7, 1 << 20), "$.step").cast("long").alias("event_id"), "line")
+
+
 @query("s15_sample_summary", "SELECT CAST(count(*) AS INTEGER) AS num_vertices, CAST(count(*) FILTER (n_regionkey = 0) AS INTEGER) AS num_faces, count(*) FILTER (n_regionkey = 0) AS n_ids FROM nation")
 def sample(spark, sf):
     n = table(spark, sf, "nation")
