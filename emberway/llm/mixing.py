@@ -99,14 +99,14 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, cap: float = CAP, see
         r = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
         sure = odd * F.col("factor") >= 1
         sums = r.where("size > 0").groupBy("source").agg(F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("certain"), _exact(F.when(~sure, odd * F.col("size"))).alias("rest"), F.count(F.when(sure, 1)).alias("n"))
-        sums = written(sums, "sure")
-        now = sums.agg(F.sum("n")).first()[0] or 0
+        kept = ("source", "source_size", "target", "w", "mean", "c", "whole", "part", "left")
+        factor = F.when(F.col("rest") > 0, (F.col("left") - F.col("certain")) / F.col("rest")).otherwise(F.col("factor"))
+        goal = goal.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
+        goal = written(goal.select(*(f"g.{c}" for c in kept), F.when(F.col("s.n") > 0, factor).otherwise(F.col("factor")).alias("factor"), F.col("s.n").alias("sure")), "targets")
+        now = goal.agg(F.sum("sure")).first()[0] or 0
         if now == n_sure:  # rows once certain stay so, as the factor only grows
             break
         n_sure = now
-        factor = F.when(F.col("rest") > 0, (F.col("left") - F.col("certain")) / F.col("rest")).otherwise(F.col("factor"))
-        goal = goal.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
-        goal = written(goal.select(*(f"g.{c}" for c in ("source", "source_size", "target", "w", "mean", "c", "whole", "part", "left")), F.when(F.col("n") > 0, factor).otherwise(F.col("factor")).alias("factor")), "targets")
     p = F.when(F.col("size") > 0, F.least(odd * F.col("factor"), F.lit(1.0))).otherwise(F.col("part"))
     r = r.withColumn("p", F.when(F.col("w") > 0, p).otherwise(F.lit(0.0)))
     p = F.col("p")
