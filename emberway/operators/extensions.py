@@ -1,4 +1,4 @@
-"""Documented extensions beyond the surveyed code: doors as waypoints, walls that cut links. Not part of the parity inventory."""
+"""Documented extensions beyond the surveyed code: doors as waypoints, walls that cut links, colours by edge. Not part of the parity inventory."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberway.operators.graph import pairs_within
+from emberway.functions.styles import temperature_rgb
+from emberway.operators.graph import edge_key, pairs_within
 
 
 def door_links(doors: DataFrame, floors: DataFrame, k: int = 5, reach: float = 3.0) -> DataFrame:
@@ -41,3 +42,18 @@ def not_through_walls(edges: DataFrame, walls: DataFrame, cell: float = 2.0) ->
     crosses = (_side("a_x", "a_y", "b_x", "b_y", "sx", "sy") * _side("a_x", "a_y", "b_x", "b_y", "ex", "ey") <= 0) & (_side("sx", "sy", "ex", "ey", "a_x", "a_y") * _side("sx", "sy", "ex", "ey", "b_x", "b_y") <= 0)
     cut = met.where(crosses).select("src", "dst").distinct()
     return edges.join(cut.withColumn("cut", F.lit(True)), ["src", "dst"], "left").where("is_door or cut is null").drop("cut")
+
+
+def edge_colors(edges: DataFrame, shown: DataFrame, temperatures: DataFrame, ambient: float = 20.0) -> DataFrame:
+    """edge, t, red, green, blue for the edges (edge, src, dst) that a viewer shows: those that a graph's edges (src, dst) run along, either way.
+
+    t is the mean of the ends' temperatures (node, t); an end without one has that of its surroundings. Of shown edges
+    between the same nodes the first has the colour.
+    """
+    first = shown.groupBy(edge_key().alias("key")).agg(F.min(F.struct("edge", "src", "dst")).alias("first")).select("key", "first.*")
+    met = first.join(edges.select(edge_key().alias("key")), "key", "left_semi")
+    for end in ("src", "dst"):
+        known = temperatures.select(F.col("node").alias(end), F.col("t").alias(f"{end}_t"))
+        met = met.join(known, end, "left").withColumn(f"{end}_t", F.coalesce(f"{end}_t", F.lit(ambient)))
+    red, green, blue = temperature_rgb(F.col("t"))
+    return met.select("edge", ((F.col("src_t") + F.col("dst_t")) / 2).alias("t")).select("edge", "t", red.alias("red"), green.alias("green"), blue.alias("blue"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberway.operators.order import union
+from emberway.operators.order import in_parts, union
 from emberway.plans.fixpoint import cut, cut_counted
 
 SOURCE_T, AMBIENT, RATE = 120.0, 20.0, 1.2  #: degrees at the source and elsewhere at first; share of a difference that passes
+CHUNK = 1_000  #: nodes of a step that a row of a timeline has at most
 
 
 def ignition(arcs: DataFrame, start, max_steps: int = 60, both_ways: bool = False) -> DataFrame:
@@ -39,13 +40,18 @@ def radial(nodes: DataFrame, start, step: float, max_steps: int = 60, end=None)
     return d.select(F.col("id").alias("node"), F.floor(F.col("d") / step).alias("step")).crossJoin(F.broadcast(last)).where("step <= last").select("node", "step")
 
 
-def timeline(ignited: DataFrame, last: int | None = None) -> DataFrame:
-    """step, nodes: sorted nodes of each step from 0 to the last; empty steps stay."""
+def timeline(ignited: DataFrame, last: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """step, part, parts, nodes: the sorted nodes of each step from 0 to the last, in parts of at most `chunk` nodes, so that no row or task holds a step.
+
+    A step that lights nothing stays, as one part without nodes.
+    """
     top = ignited.agg(F.coalesce(F.max("step"), F.lit(-1)).cast("int").alias("last")) if last is None else ignited.sparkSession.range(1).select(F.lit(last).alias("last"))
     steps = top.where("last >= 0").select(F.explode(F.sequence(F.lit(0), "last")).alias("step"))
-    lists = ignited.groupBy("step").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    dealt = in_parts(ignited.select(F.col("step").cast("int").alias("step"), "node"), ["step"], ["node"], chunk)
+    lists = dealt.groupBy("step", "part", "parts").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     kind = dict(lists.dtypes)["nodes"]
-    return steps.join(lists, "step", "left").select("step", F.coalesce("nodes", F.array().cast(kind)).alias("nodes"))
+    one = lambda name, value: F.coalesce(name, F.lit(value).cast("long")).alias(name)
+    return steps.join(lists, "step", "left").select("step", one("part", 0), one("parts", 1), F.coalesce("nodes", F.array().cast(kind)).alias("nodes"))
 
 
 def heat_step(arcs: DataFrame, now: DataFrame, source, rate: float = RATE) -> DataFrame:

@@ -116,6 +116,12 @@ def grid_parameters(base: float, cell: float | None = None) -> dict[str, float]:
     return {"cell": size, "v_cell": min(size, 0.15), "max_gap": max(2, math.ceil(base / size) + 1)}
 
 
+def grid_columns(requests: DataFrame) -> DataFrame:
+    """requests (base, cell; null: as base) with the columns of `grid_parameters`."""
+    size = F.coalesce("cell", "base")
+    return requests.withColumns({"cell": size, "v_cell": F.least(size, F.lit(0.15)), "max_gap": F.greatest(F.lit(2).cast("long"), F.ceil(F.col("base") / size) + 1)})
+
+
 def arcs(edges: DataFrame) -> DataFrame:
     """src, dst both ways, each once, without loops."""
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
@@ -134,10 +140,15 @@ def output_edges(links: DataFrame) -> DataFrame:
     return links.where(F.col("src").cast("string") < F.col("dst").cast("string"))
 
 
+def edge_key() -> Column:
+    """a|b of an edge's ends in the order of strings."""
+    a, b = F.col("src").cast("string"), F.col("dst").cast("string")
+    return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+
+
 def edge_keys(edges: DataFrame) -> DataFrame:
     """key, edge: a|b of an edge's ends in the order of strings, and the first edge that has it."""
-    a, b = F.col("src").cast("string"), F.col("dst").cast("string")
-    return edges.groupBy(F.concat_ws("|", F.least(a, b), F.greatest(a, b)).alias("key")).agg(F.min("edge").alias("edge"))
+    return edges.groupBy(edge_key().alias("key")).agg(F.min("edge").alias("edge"))
 
 
 def with_ends(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Numbers by an order of all rows, without a task that has them all; unions."""
+"""Numbers, parts and running values by an order of all rows, without a task that has them all; unions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,27 @@ def since(rows: DataFrame, at: str, begins, name: str) -> DataFrame:
     return both.withColumn(name, F.coalesce("inside_part", "before_part")).drop("inside_part", "before_part", "part_of_range")
 
 
+def running_max(rows: DataFrame, at: str, value: Column, name: str) -> DataFrame:
+    """Adds the greatest value of the rows before a row in the order of `at`, its own not among them; null where none of them has one."""
+    parts = cut(rows.withColumn("value_of_row", value).repartitionByRange(at).withColumn("part_of_range", F.spark_partition_id()))
+    tails = parts.groupBy("part_of_range").agg(F.max("value_of_row").alias("tail"))
+    before = F.max("tail").over(W.orderBy("part_of_range").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.max("value_of_row").over(W.partitionBy("part_of_range").orderBy(at).rowsBetween(W.unboundedPreceding, -1))
+    both = parts.withColumn("inside_part", inside).join(tails.select("part_of_range", before.alias("before_part")), "part_of_range")
+    return both.withColumn(name, F.greatest("inside_part", "before_part")).drop("value_of_row", "inside_part", "before_part", "part_of_range")
+
+
+def in_parts(rows: DataFrame, keys: list[str], order: list[str], chunk: int) -> DataFrame:
+    """Adds at, a row's number among all by keys and order, pos, that among the rows of its keys, part, that of its chunk of so many rows, and parts, how many its keys have.
+
+    Rows with a null key are left out.
+    """
+    rows = cut(numbered(rows.dropna(subset=keys), [*keys, *order], "at"))
+    sizes = rows.groupBy(*keys).agg(F.min("at").alias("first"), F.ceil(F.count("*") / chunk).alias("parts"))
+    rows = rows.join(sizes, keys).withColumn("pos", F.col("at") - F.col("first")).drop("first")
+    return rows.withColumn("part", F.floor(F.col("pos") / chunk))
+
+
 def union(tables: list[DataFrame]) -> DataFrame:
     """Rows of all tables, by column names."""
     out = tables[0]

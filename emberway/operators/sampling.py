@@ -19,7 +19,7 @@ def triangles(meshes: DataFrame) -> DataFrame:
     """
     tri = meshes.select("geom_id", "kind", "vertices", "normals", F.posexplode(F.transform(
         F.sequence(F.lit(0), (F.size("indices") / 3).cast("int") - 1), lambda t: F.slice("indices", t * 3 + 1, 3))).alias("tri_no", "at")).where(F.size("indices") >= 3)
-    last = F.size("vertices") / 3
+    last = F.floor(F.size("vertices") / 3)  # a vertex that is cut off is outside
     tri = tri.where(F.forall("at", lambda i: (i >= 0) & (i < last)))
     corner = lambda k, j: F.get("vertices", F.col("at")[k] * 3 + j)
     given = lambda j: F.get("normals", F.col("at")[0] * 3 + j)
@@ -86,3 +86,10 @@ def spacing_rules(requested: float, max_edge_floor: float | None = None, max_edg
     """Spacings and link lengths that follow from the spacing asked for."""
     base = max(requested, 1.5)
     return {"floor": base, "stair": max(0.3 * base, 0.3), "max_edge_floor": max_edge_floor or 1.5 * base, "max_edge_stair": max_edge_stair or 0.4}
+
+
+def spacings(requests: DataFrame) -> DataFrame:
+    """Adds to requests (requested, max_edge_floor, max_edge_stair; null or 0: by rule) the columns of `spacing_rules`: floor, stair and both link lengths."""
+    base = F.greatest(F.col("requested"), F.lit(1.5))
+    asked = lambda name, rule: F.coalesce(F.when(F.col(name) != 0, F.col(name)), rule)
+    return requests.withColumns({"floor": base, "stair": F.greatest(base * 0.3, F.lit(0.3)), "max_edge_floor": asked("max_edge_floor", base * 1.5), "max_edge_stair": asked("max_edge_stair", F.lit(0.4))})

@@ -5,7 +5,7 @@ A name begins with the survey's id of the operator that the query applies to the
 
 from __future__ import annotations
 
-from emberway.plans import building, containment, fires, graphs, io, meshes
+from emberway.plans import building, containment, extensions, fires, graphs, io, meshes, served
 from emberway.plans._registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "building", "containment", "fires", "graphs", "io", "meshes"]
+__all__ = ["ORACLES", "QUERIES", "building", "containment", "extensions", "fires", "graphs", "io", "meshes", "served"]

@@ -9,6 +9,7 @@ from emberway.operators import containment as c
 from emberway.plans._registry import query, r, rounded, table
 
 LEVELS = ["region", "nation", "customer"]
+PART = 7  #: children in a row, so that parents have several
 CLOSURE = """closure AS (SELECT 'n' || n_nationkey AS uid, 'region' AS level, 'r' || n_regionkey AS ancestor FROM nation
 UNION SELECT 'c' || c_custkey, 'nation', 'n' || c_nationkey FROM customer UNION SELECT 'c' || c_custkey, 'region', 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey
 UNION SELECT 'o' || o_orderkey, 'customer', 'c' || o_custkey FROM orders UNION SELECT 'o' || o_orderkey, 'nation', 'n' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey
@@ -35,7 +36,15 @@ def uids(spark, sf):
 
 @query("t2_children", "SELECT 'n' || c_nationkey AS parent, count(DISTINCT c_custkey) AS n, min('c' || c_custkey) AS first_child FROM customer GROUP BY 1")
 def children(spark, sf):
-    return c.children(_links(spark, sf)[1][1]).select("parent", F.size("children").cast("long").alias("n"), F.col("children")[0].alias("first_child"))
+    parts = c.children(_links(spark, sf)[1][1], PART)
+    return parts.groupBy("parent").agg(F.sum(F.size("children")).alias("n"), F.min(F.col("children")[0]).alias("first_child"))
+
+
+@query("t2_child_rows", f"""WITH l AS (SELECT 'c' || o_custkey AS parent, 'o' || o_orderkey AS child FROM orders UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)
+SELECT parent, pos, child, pos // {PART} AS part, (n + {PART} - 1) // {PART} AS parts FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) - 1 AS pos, count(*) OVER (PARTITION BY parent) AS n FROM l)""")
+def child_rows(spark, sf):
+    links = [rows for _, rows in _links(spark, sf)]
+    return c.child_rows(links[1].unionByName(links[2]), PART)
 
 
 @query("t3_ancestors", f"WITH {CLOSURE} SELECT uid, level, ancestor FROM closure")
@@ -78,9 +87,28 @@ def cycle(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", c.cycled(F.array(*map(F.lit, "rnco")), F.col("o_orderkey")).alias("next_entry"))
 
 
+@query("t8_next_in_chain", f"WITH {CLOSURE}, own AS (SELECT * FROM closure UNION SELECT DISTINCT uid, 'own', uid FROM closure), chain AS (SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY CASE level WHEN 'region' THEN 1 WHEN 'nation' THEN 2 WHEN 'customer' THEN 3 ELSE 4 END) - 1 AS INTEGER) AS pos, ancestor AS entity FROM own) SELECT a.uid, a.pos, a.entity, b.entity AS next FROM chain a JOIN (SELECT uid, max(pos) + 1 AS n FROM chain GROUP BY uid) s ON s.uid = a.uid JOIN chain b ON b.uid = a.uid AND b.pos = (a.pos + 1) % n")
+def chain_cycle(spark, sf):
+    return c.next_in_chain(c.selection_chain(c.ancestors(_links(spark, sf)), LEVELS, "own")).drop("level")
+
+
 @query("t9_entities_below", f"WITH {CLOSURE} SELECT DISTINCT uid FROM closure WHERE level = 'nation' AND ancestor = 'n3'")
 def below(spark, sf):
-    return c.below(c.ancestors(_links(spark, sf)), "nation", "n3")
+    return c.below(c.nested(_links(spark, sf), "order"), F.col("uid") == "n3")
+
+
+@query("t9_entities_below_many", f"WITH {CLOSURE} SELECT DISTINCT uid FROM closure WHERE (level = 'nation' AND CAST(substr(ancestor, 2) AS BIGINT) % 5 = 0) OR (level = 'customer' AND CAST(substr(ancestor, 2) AS BIGINT) % 2 = 1)")
+def below_many(spark, sf):
+    number = F.substring("uid", 2, 20).cast("long")
+    nations, customers = (F.col("level") == "nation") & (number % 5 == 0), (F.col("level") == "customer") & (number % 2 == 1)
+    return c.below(c.nested(_links(spark, sf), "order"), nations | customers)
+
+
+@query("t9_nested_spans", f"""WITH {CLOSURE}, entity AS (SELECT uid FROM closure UNION SELECT ancestor FROM closure), link AS (SELECT uid, max(CASE level WHEN 'region' THEN ancestor END) AS r, max(CASE level WHEN 'nation' THEN ancestor END) AS n, max(CASE level WHEN 'customer' THEN ancestor END) AS c FROM closure GROUP BY uid),
+path AS (SELECT entity.uid, list_filter([r, n, c, entity.uid], lambda x: x IS NOT NULL) AS path FROM entity LEFT JOIN link USING (uid)), below AS (SELECT ancestor AS uid, count(*) AS n FROM closure GROUP BY 1)
+SELECT uid, CASE uid[1] WHEN 'r' THEN 'region' WHEN 'n' THEN 'nation' WHEN 'c' THEN 'customer' ELSE 'order' END AS level, lo, lo + coalesce(n, 0) AS hi FROM (SELECT uid, row_number() OVER (ORDER BY path) - 1 AS lo FROM path) LEFT JOIN below USING (uid)""")
+def spans(spark, sf):
+    return c.nested(_links(spark, sf), "order").drop("path")
 
 
 @query("t10_color_components", f"SELECT p_partkey, {r('p_size / CASE WHEN p_size > 1 OR p_partkey % 256 > 1 THEN 255.0 ELSE 1 END')} AS red, {r('(p_partkey % 256) / CASE WHEN p_size > 1 OR p_partkey % 256 > 1 THEN 255.0 ELSE 1 END')} AS green FROM part")

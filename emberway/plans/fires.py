@@ -14,6 +14,7 @@ from emberway.plans.fixpoint import cut, shared_folder
 from emberway.streaming import spread
 
 SOURCE, TARGET, MAX_STEPS = 0, 7, 8
+PART = 20  #: nodes of a step in a row, so that steps have several
 BFS = f"{x.ARCS}, reach(node, step) AS (SELECT {SOURCE}::BIGINT, 0 UNION SELECT arcs.dst, step + 1 FROM reach JOIN arcs ON arcs.src = node WHERE step < {MAX_STEPS}), levels AS (SELECT node, min(step) AS step FROM reach GROUP BY node)"
 
 
@@ -28,7 +29,14 @@ def ignition(spark, sf):
 
 @query("f3_ignition_timeline", f"WITH RECURSIVE {BFS} SELECT CAST(step AS INTEGER) AS step, count(*) AS n, min(node) AS least, max(node) AS most FROM levels GROUP BY step")
 def ignition_timeline(spark, sf):
-    return fire.timeline(_levels(spark, sf)).select("step", F.size("nodes").cast("long").alias("n"), F.array_min("nodes").alias("least"), F.array_max("nodes").alias("most"))
+    parts = fire.timeline(_levels(spark, sf), chunk=PART)
+    return parts.groupBy("step").agg(F.sum(F.size("nodes")).alias("n"), F.min(F.array_min("nodes")).alias("least"), F.max(F.array_max("nodes")).alias("most"))
+
+
+@query("f3_timeline_parts", f"""WITH RECURSIVE {BFS}, dealt AS (SELECT *, (row_number() OVER (PARTITION BY step ORDER BY node) - 1) // {PART} AS part, (count(*) OVER (PARTITION BY step) + {PART} - 1) // {PART} AS parts FROM levels)
+SELECT CAST(step AS INTEGER) AS step, CAST(part AS BIGINT) AS part, CAST(parts AS BIGINT) AS parts, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS nodes FROM dealt GROUP BY ALL""")
+def timeline_parts(spark, sf):
+    return fire.timeline(_levels(spark, sf), chunk=PART).withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
 
 
 @query("f6_fire_stream", f"WITH RECURSIVE {BFS} SELECT node, CAST(step AS INTEGER) AS step FROM levels")

@@ -67,7 +67,7 @@ class GraphSession:
         return found.join(self.nodes(graph_id).withColumnRenamed("id", "node"), "node").select("pos", "node", "x", "y", "z")
 
     def fire(self, graph_id: str, start=None, radial: bool = True, max_steps: int = 60, end=None) -> DataFrame:
-        """step, nodes: the precomputed timeline of a fire, radial or breadth first."""
+        """step, part, parts, nodes: the precomputed timeline of a fire, radial or breadth first."""
         nodes, edges = self.nodes(graph_id), self.edges(graph_id)
         start = self.resolve(graph_id, node=start)
         if radial:

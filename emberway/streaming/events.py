@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from emberway.operators.order import numbered
+from emberway.operators.order import in_parts, numbered
 from emberway.plans.fixpoint import cut
 
 CHUNK = 1_000  #: rows of a step that an event tells at most
@@ -20,14 +20,6 @@ def enabled(stream_path: bool, use_temperature: bool, mode: str, start, end) ->
     return bool(stream_path and use_temperature and mode == "ifc" and start not in (None, "") and end not in (None, ""))
 
 
-def _parts(rows: DataFrame, order: list[str], chunk: int) -> DataFrame:
-    """Adds at, a row's number in its step's order, part, that of its chunk of so many rows, and parts, how many the step has."""
-    rows = cut(numbered(rows, ["step", *order], "at"))
-    sizes = rows.groupBy("step").agg(F.min("at").alias("first"), F.ceil(F.count("*") / chunk).alias("parts"))
-    part = F.floor((F.col("at") - F.col("first")) / chunk)
-    return rows.join(sizes, "step").withColumn("part", part).drop("first")
-
-
 def _events(rows: DataFrame, rank: int, kind: str, own: list[str], body: Column, name: str) -> DataFrame:
     """An event for every part of a step: its step, part, parts, `own` values, and a body of its rows."""
     told = rows.groupBy("step", "part", "parts", *own).agg(body.alias(name))
@@ -44,19 +36,24 @@ def event_table(temperatures: DataFrame, routes: DataFrame | None = None, cells:
     """
     spark = temperatures.sparkSession
     listed = lambda *c: F.sort_array(F.collect_list(F.struct("at", *c)))
-    field = _parts(temperatures.select("step", "node", "t"), ["node"], chunk)
+    field = in_parts(temperatures.select("step", "node", "t"), ["step"], ["node"], chunk)
     entries = F.transform(listed(F.col("node").cast("string").alias("key"), "t"), lambda x: F.struct(x["key"], x["t"]))
     out = _events(field, 1, "temperature_step", [], F.map_from_entries(entries), "temperatures")
     if routes is not None:
-        path = _parts(routes.select("step", "cost", "changed", "pos", "node"), ["pos"], chunk)
+        path = in_parts(routes.select("step", "cost", "changed", F.col("pos").alias("place"), "node"), ["step"], ["place"], chunk)
         out = out.unionByName(_events(path, 2, "path_update", ["cost", "changed"], F.transform(listed("node"), lambda x: x["node"]), "path"))
     if cells is not None:
-        boxes = _parts(cells.select(F.lit(-1).alias("step"), F.struct(*cells.columns).alias("cell")), ["cell"], chunk)
+        boxes = in_parts(cells.select(F.lit(-1).alias("step"), F.struct(*cells.columns).alias("cell")), ["step"], ["cell"], chunk)
         out = out.unionByName(_events(boxes, 0, "meta", [], F.transform(listed("cell"), lambda x: x["cell"]), "cell_bboxes"))
     done = spark.range(1).select(F.lit(2**31 - 1).alias("step"), F.lit(3).alias("rank"), F.lit(0).cast("long").alias("part"), F.lit("done").alias("type"), F.lit("{}").alias("payload"))
     return numbered(cut(out.unionByName(done)), ["step", "rank", "part"], "seq").select("seq", "step", "rank", "part", "type", "payload")
 
 
+def routed(stream_path: Column, use_temperature: Column, mode: Column, start: Column, end: Column) -> Column:
+    """The rule of `enabled` for a table of requests; what is null counts as not asked for."""
+    return F.coalesce(stream_path & use_temperature & (mode == "ifc") & (start != "") & (end != ""), F.lit(False))
+
+
 def sse_line(payload: Column) -> Column:
     """A server-sent event of a JSON payload."""
     return F.concat(F.lit("data: "), payload, F.lit("\n\n"))
