@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -29,6 +31,7 @@ IMPLIED = {
 }
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}, "rt": {"ruby"}, "rp": {"ruby"}, "body": {"html"}}
 TABLE_SCOPE = {"table"}
+P_SCOPE = TABLE_SCOPE | {"td", "th", "button"}
 TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 TABLE_INNER = frozenset("table tbody thead tfoot tr".split())  # hold table parts only; what else is in them goes before the table
 HEAD_CONTENT = frozenset("meta link title style script base template noscript".split())
@@ -36,8 +39,11 @@ HEAD_CONTENT = frozenset("meta link title style script base template noscript".s
 _TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|([!?]))")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SIMPLE = re.compile(r"(\*|[A-Za-z][A-Za-z0-9]*)?((?:[.#][\w-]+)*)")
+_MARKS = re.compile(r"([.#])([\w-]+)")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -50,13 +56,39 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-def tree(html: str) -> Node:
+class Open:
+    """The open elements, the root first, and where those of each tag lie, so that none is looked for by going through all."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, i: int) -> None:
+        """Ends the element at i and those in it."""
+        while len(self.nodes) > i:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of some tags lies; 0 if there is none."""
+        found = 0
+        for t in tags:
+            if (places := self.at.get(t)) and places[-1] > found:
+                found = places[-1]
+        return found
+
+
+def tree(html: str, sheets: list[str] | None = None) -> Node:
     """Builds the tree: void elements have no children, opening tags end what they imply, p ends at blocks,
     an end tag without its opening one is ignored (</p> and </br> stand for an element), open elements end with the text.
-    Text and elements that lie in a table but in none of its cells go before the table.
+    Text and elements that lie in a table but in none of its cells go before the table. The page's style
+    sheets are added to `sheets`, in order.
     """
     root = Node("html", {})
-    stack, at, n = [root], 0, len(html)
+    opened, at, n = Open(root), 0, len(html)
+    stack = opened.nodes
 
     def say(text: str) -> None:
         if text:
@@ -70,7 +102,7 @@ def tree(html: str) -> Node:
         if not before:
             stack[-1].children.append(x)
             return
-        table = max(i for i, e in enumerate(stack) if e.tag == "table") if any(e.tag == "table" for e in stack) else 0
+        table = opened.last(("table",))
         if not table:
             stack[-1].children.append(x)
             return
@@ -80,20 +112,16 @@ def tree(html: str) -> Node:
 
     def back_to_table() -> None:
         """Ends what is open in a table outside its cells."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ("td", "th", "caption"):
-                return
-            if stack[i].tag in TABLE_INNER:
-                del stack[i + 1 :]
-                return
-
-    def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
+        inner = opened.last(TABLE_INNER)
+        if inner > opened.last(("td", "th", "caption")):
+            opened.cut(inner + 1)
+
+    def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> bool:
+        i = opened.last(tags)
+        if not i or i < opened.last(scope):
+            return False
+        opened.cut(i)
+        return True
 
     while at < n:
         m = _TAG.search(html, at)
@@ -114,7 +142,7 @@ def tree(html: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not opened.last(("p",)):
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
@@ -130,13 +158,14 @@ def tree(html: str) -> Node:
             root.attrs.update(attrs)
             continue
         if stack[-1].tag == "head" and tag not in HEAD_CONTENT:
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if tag in CLOSES_P:
-            close({"p"}, TABLE_SCOPE | {"td", "th", "button"})
+            close({"p"}, P_SCOPE)
         if tag in IMPLIED:
             scope = SCOPE.get(tag, TABLE_SCOPE)
             for _ in range(4 if scope is TABLE_SCOPE else 2):
-                close(IMPLIED[tag], scope)
+                if not close(IMPLIED[tag], scope):
+                    break
         if tag in TABLE_PARTS:
             back_to_table()
         if tag == "table" and stack[-1].tag in TABLE_INNER:  # ends the one that it is in, but for cells
@@ -148,14 +177,76 @@ def tree(html: str) -> Node:
             text = html[at : end.start() if end else n]
             node.children.append(unescape(text) if tag in ("textarea", "title") else text)
             at = n if not end else html.find(">", end.start()) + 1 or n
+            if tag == "style" and sheets is not None:
+                sheets.append(sheet(node))
         elif tag not in VOID:
-            stack.append(node)
+            opened.push(node)
     return root
 
 
-def hidden(node: Node) -> bool:
+class Styles:
+    """What a page's style sheets say of display and visibility, by simple selectors: a tag, classes and ids, alone or together.
+
+    The more specific rule counts, of equal ones the last. Rules of other selectors (of descendants, states,
+    attributes) and those within at-rules, which hold for some media only, are passed over, as is !important.
+    """
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.by_mark: dict[str, list[tuple]] = defaultdict(list)  # by the tag, .class or #id that a rule's elements have in any case
+        for rules, body in (r for sheet in sheets for r in _rules(_COMMENT.sub(" ", sheet))):
+            said = {name: found[-1].lower() for name, p in (("display", _DISPLAY), ("visibility", _VISIBILITY)) if (found := p.findall(body))}
+            for selector in rules.split(",") if said else ():
+                m = _SIMPLE.fullmatch(selector.strip())
+                if not m or not m[0]:
+                    continue
+                tag, marks = (m[1] or "*").lower(), _MARKS.findall(m[2])
+                rank = (sum(k == "#" for k, _ in marks), sum(k == "." for k, _ in marks), tag != "*")
+                self.by_mark["".join(marks[-1]) if marks else tag].append((rank, tag, {a + b for a, b in marks}, said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility as sheets have them for an element; its own style is not asked."""
+        if not self.by_mark:
+            return {}
+        marks = {"." + c for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if "id" in node.attrs else set())
+        met = [r for k in ("*", node.tag, *marks) for r in self.by_mark.get(k, ()) if r[1] in ("*", node.tag) and r[2] <= marks]
+        out: dict[str, str] = {}
+        for _, _, _, said in sorted(met, key=lambda r: r[0]) if len(met) > 1 and len({r[0] for r in met}) > 1 else met:
+            out |= said
+        return out
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and bodies of the rules outside at-rules; what is never closed is no rule."""
+    at, depth, begun, head = 0, 0, 0, ""
+    for m in re.finditer(r"[{};]", sheet):
+        if m[0] == "{":
+            if not depth:
+                head, begun = sheet[at : m.start()].strip(), m.end()
+            depth += 1
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+            if not depth:
+                if head and not head.startswith("@"):
+                    yield head, sheet[begun : m.start()]
+                at, head = m.end(), ""
+        elif not depth:
+            at = m.end()
+
+
+def sheet(node: Node) -> str:
+    """The text of a style element; for print only, or of another type, it is none."""
+    shown = node.attrs.get("media", "all").lower() in ("all", "screen", "") and node.attrs.get("type", "text/css").lower() in ("text/css", "")
+    return "".join(node.children) if shown else ""
+
+
+def hidden(node: Node, said: dict[str, str]) -> bool:
+    """said: what the style sheets have for the element; its own style comes before that, the hidden attribute after it."""
     a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or bool(a) and ("style" in a and bool(_UNSEEN.search(a["style"])) or node.tag == "input" and a.get("type", "").lower() == "hidden") or node.tag == "dialog" and "open" not in a
+    if node.tag in HIDDEN or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
+        return True
+    own = _DISPLAY.findall(a["style"]) if "style" in a else []
+    display = own[-1].lower() if own else said.get("display")
+    return display == "none" if display else "hidden" in a
 
 
 class Page:
@@ -202,13 +293,14 @@ class Page:
 
 def rendered(html: str) -> str:
     """All visible text of a page: lists with their bullets or numbers, cells of a table in columns."""
-    page = Page()
-    _render(tree(html), page)
+    page, sheets = Page(), []
+    root = tree(html, sheets)
+    _render(root, page, Styles(sheets))
     page.end(0)
     return "\n".join(line.rstrip() for line in page.lines).strip("\n")
 
 
-def _render(root: Node, page: Page) -> None:
+def _render(root: Node, page: Page, styles: Styles) -> None:
     """Walks the tree with a stack of its own, so that depth is no limit. Entries: nodes and strings to enter, or what to do on leaving."""
     todo: list = [root]
     pre = 0
@@ -248,11 +340,12 @@ def _render(root: Node, page: Page) -> None:
             else:
                 p.end(1 if tag in SPACED else 0)
                 p.indent -= 4 * (tag == "blockquote" or tag == "dd")
-        elif not hidden(x) and not (foreign and x.tag in FOREIGN_HIDDEN):
+        elif not hidden(x, said := styles.of(x)) and not (foreign and x.tag in FOREIGN_HIDDEN):
             tag = x.tag
-            if "style" in x.attrs and (said := _VISIBILITY.findall(x.attrs["style"])):
+            own = _VISIBILITY.findall(x.attrs["style"]) if "style" in x.attrs else []
+            if visibility := own[-1].lower() if own else said.get("visibility"):
                 todo.append(("seen", seen))
-                seen = said[-1].lower() == "visible"
+                seen = visibility == "visible"
             if tag in ("svg", "math"):
                 foreign += 1
                 todo.append(("foreign", tag))
@@ -302,7 +395,17 @@ def _render(root: Node, page: Page) -> None:
                     p.end(1 if tag in SPACED else 0)
                     p.indent += 4 * (tag == "blockquote" or tag == "dd")
                     todo.append(("block", tag))
-            todo.extend(reversed(x.children))
+            if tag == "details" and "open" not in x.attrs:  # closed: its summary alone is shown
+                todo.extend([c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1])
+            else:
+                todo.extend(reversed(x.children))
+
+
+def _width(line: str) -> int:
+    """Columns that a line takes: wide characters two, combining ones none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) or c == "\u200b" else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
 
 
 def _span(node: Node, name: str, most: int) -> int:
@@ -334,11 +437,12 @@ def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     width: dict[int, int] = {}
     for r in grid:
         for k, c in enumerate(r):
-            width[k] = max(width.get(k, 0), max(map(len, c), default=0))
+            width[k] = max(width.get(k, 0), max(map(_width, c), default=0))
     out = []
     for r in grid:
         for i in range(max(map(len, r))):
-            cells = [(c[i] if i < len(c) else "").ljust(width[k]) for k, c in enumerate(r) if width[k]]
+            said = [(c[i] if i < len(c) else "", width[k]) for k, c in enumerate(r) if width[k]]
+            cells = [line + " " * (wide - _width(line)) for line, wide in said]
             while cells and not cells[-1].strip():
                 cells.pop()
             out.append(" | ".join(cells).rstrip())
@@ -349,7 +453,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, text: one row per row of pages.
 
     Hidden are elements of HIDDEN, of display: none, of visibility: hidden but for children that
-    are visible again, the hidden attribute, and what svg and math hold besides what they show.
+    are visible again, the hidden attribute, what a closed details holds besides its summary, and what svg and
+    math hold besides what they show; display and visibility are those of the element's style or of the page's
+    style sheets as far as `Styles` reads them. Cells are aligned by display width.
     A null or empty html gives an empty text. Pages are read whole, however long or deep; broken
     markup gives what the rules of `tree` make of it. Repeated rows give repeated rows; other
     columns are not read; an empty table gives no rows.

@@ -288,6 +288,15 @@ def test_toxicity_scores_of_one_text_do_not_depend_on_the_batch():
         ("<table><tr><td>a<td>b|</table>", "a | b|"), ("<table><tr><td>a<td><tr><td>b<td>c</table>", "a\nb | c"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>", "a | b\n  | c | d"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
         ("<div style='visibility:hidden'>x<b style='visibility: visible'>y</b>z</div>w", "y\nw"), ("<div style='display:none'>x<b style='visibility:visible'>y</b></div>w", "w"),
+        # style sheets: the more specific rule counts, of equal ones the last; an element's own style comes first
+        ("<style>.h{display:none}</style><p class='a h'>x</p>y", "y"), ("<style>.h{display:none}p.h{display:block}</style><p class=h>x</p><b class=h>z</b>y", "x\n\ny"),
+        ("<style>#i{display:none}.h{display:inline}</style><b id=i class=h>x</b>y", "y"), ("<style>b{display:none}b{display:inline}</style><b>x</b>y", "xy"),
+        ("<style>.h{display:none}</style><b class=h style='display:inline'>x</b>y", "xy"), ("<b hidden style='display:inline'>x</b>y", "xy"),
+        ("<style>@media print{b{display:none}}/*b{display:none}*/ i, .k {visibility:hidden}</style><b>x</b><i>z</i><u class=k>w</u>y", "xy"),
+        ("<style media=print>b{display:none}</style><b>x</b>y", "xy"), ("<style>div b{display:none}b:hover{display:none}b</style><b>x</b>y", "xy"), ("<style>b{display:none", ""),
+        ("<style>b{backface-visibility:hidden;x-display:none}</style><b>x</b>y", "xy"),
+        ("<details>a<summary>s</summary>b<p>c</p></details>y", "s\ny"), ("<details open><summary>s</summary>b</details>y", "s\nb\ny"), ("<details>a</details>y", "y"),
+        ("<table><tr><td>日本<td>a<tr><td>abc<td>b<tr><td>e\u0301<td>c</table>", "日本 | a\nabc  | b\ne\u0301    | c"),
         ("<svg><title>t</title><text>hi</text><desc>no</desc></svg>", "hi"), ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
     ],
 )
@@ -301,6 +310,39 @@ def test_layout_is_not_recursive_and_loses_no_text():
     assert html_layout.rendered("<table>" * 2000 + "x") == "x"
 
 
+@pytest.mark.parametrize("make", [lambda n: "<b>" * n + "</i>" * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<table><tr><td>" + "<b>" * n + "<p>x" * n, lambda n: "<div>" * n + "<li>x" * n, lambda n: "<table>" + "<div>x" * n])
+def test_layout_takes_no_longer_than_the_page(make):
+    """Stray tags look for no element through all open ones: ten times the tags take some ten times as long, not a hundred times."""
+    import time
+
+    def seconds(n):
+        page = make(n)
+        begun = time.process_time()
+        html_layout.rendered(page)
+        return time.process_time() - begun
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.02)
+
+
+def test_layout_against_a_plain_tree():
+    """Random tags: the tree is that of a builder that looks through all open elements for each rule."""
+    import random
+
+    r = random.Random(7)
+    tags = "p div b i ul li table tr td th tbody caption dl dt dd select option h1".split()
+
+    def last(opened, wanted):
+        return max((k for k, e in enumerate(opened.nodes) if k and e.tag in wanted), default=0)
+
+    for _ in range(300):
+        page = "".join(r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", f"w{k} "]) for k in range(r.randint(1, 60)))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(html_layout.Open, "last", last)
+            plain = html_layout.rendered(page)
+        assert html_layout.rendered(page) == plain, page
+
+
 def test_layout_table(spark, sf):
     """Every word of a page's paragraphs is in its text, no script is."""
     import re
