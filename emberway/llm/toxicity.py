@@ -14,7 +14,6 @@ from emberway.llm._words import Words, blocks, mixed
 
 LENGTHS = (4, 5, 6, 8, None)  #: a word's features: its first so many bytes, and all of them
 POSITIVES, UNLABELLED = 4_000, 8_000  #: rows of the training sample, at most
-LABELLED = 200_000  #: labelled rows that the class prior is taken from, at most
 LEAST, FEATURES = 4, 60_000  #: positive texts that a feature needs; features, at most (the most frequent ones)
 APART = 5.0  #: standard errors by which a feature's share of the positive texts differs from that of the unlabelled ones
 FILTER = 22  #: bits of the hash that the first look at a feature takes
@@ -124,26 +123,38 @@ def fit_nnpu(rows: np.ndarray, found: np.ndarray, positive: np.ndarray, n_featur
     return w, b
 
 
+def lowest(ids: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """The k rows of ids (doc_id, each once) of lowest hash, or all if there are fewer; n: about how many rows ids has.
+
+    A bound on the hash, a fifth and a thousand above what gives k rows, goes before the sort, so that
+    the one task that sorts gets some k rows however many tasks send to it.
+    """
+    h = F.xxhash64("doc_id", F.lit(seed))
+    wanted = k + k // 5 + 1000
+    if n > wanted:
+        ids = ids.where(h <= F.lit(-(1 << 63) + (1 << 64) * wanted // n).cast("long"))
+    return ids.orderBy(h, "doc_id").limit(k)
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 7, fixed_prior: float | None = None) -> Model:
     """Fits a model to a bounded sample: rows labelled toxic, and texts whose labels are not looked at.
 
     Labels of held-out rows (see held_out) are never read. The sample is the rows of lowest hash,
     at most `positives` and `unlabelled` doc_ids, one text of each, each text once. Features are those of LEAST positive
     texts whose share among them lies APART from that among the unlabelled ones; the driver holds
-    the sample's features of these. The class prior is the toxic share of the labelled rows that are not held out
-    (of at most LABELLED of them), unless fixed_prior is given. A doc_id that any label calls
+    the sample's features of these. The class prior is the toxic share of all labelled doc_ids that are not held out, unless fixed_prior is given. A doc_id that any label calls
     toxic is toxic; rows without a toxic value are not labelled. Without toxic labels the model
     knows no features and scores the prior, 0.5 / (labelled rows + 2).
     """
-    order = lambda c: F.xxhash64(c, F.lit(seed))
     told = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, n_toxic = told.orderBy(order("doc_id"), "doc_id").limit(LABELLED).agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
+    n, n_toxic = told.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
     prior = fixed_prior or min(max((n_toxic or 0.5) / (n + 2), 1e-4), 0.9)
     if not n_toxic:
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
-    ids = told.where("toxic = 1").select("doc_id").orderBy(order("doc_id"), "doc_id").limit(positives).withColumn("positive", F.lit(True))
-    some = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(order("doc_id"), "doc_id").limit(unlabelled)
-    ids = ids.unionByName(some.withColumn("positive", F.lit(False)))
+    ids = lowest(told.where("toxic = 1").select("doc_id"), n_toxic, positives, seed).withColumn("positive", F.lit(True))
+    some = docs.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id")
+    n_some = some.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    ids = ids.unionByName(lowest(some.distinct(), n_some, unlabelled, seed).withColumn("positive", F.lit(False)))
     # of rows that repeat a doc_id one text, so that the sample stays within its bounds
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
     found = found.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -248,6 +248,15 @@ def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
     assert toxicity.score(docs, model).count() == 400
 
 
+@pytest.mark.parametrize("k", [0, 5, 700, 9_000, 20_000])
+def test_toxicity_sample_is_the_rows_of_lowest_hash(spark, k):
+    """The bound on the hash changes nothing but how many rows are sorted."""
+    ids = spark.range(0, 60_000, 3).withColumnRenamed("id", "doc_id").cache()
+    want = [r[0] for r in ids.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(k).collect()]
+    for n in (18_500, 20_000, 21_500):  # counts that are a little off
+        assert [r[0] for r in toxicity.lowest(ids, n, k, 7).collect()] == want
+
+
 def test_toxicity_does_not_read_held_out_labels(spark, odd_docs):
     held = odd_docs.where(toxicity.held_out(F.col("doc_id"))).select("doc_id", F.lit(1).alias("toxic"))
     model = toxicity.train(odd_docs, held)
