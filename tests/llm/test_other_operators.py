@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import brute
@@ -127,6 +128,22 @@ def test_top_k_stops_early():
     assert score.tolist() == [x for x in full[order].tolist() if x >= full[order[2]]]
 
 
+def test_top_k_large_products_and_empty_vectors(spark):
+    rng = np.random.default_rng(11)
+    big = [(i, (rng.normal(0, 1, 6) * 10.0 ** (7 if i % 3 else 1)).tolist()) for i in range(90)]  # products beyond 2**53
+    huge = [(i, [1e9 + i, i / 3 - 1e9]) for i in range(1, 30) if i != 20] + [(40, [1e9, 1e9]), (60, [1e-3, 2e-3]), (61, [-2e9, -1e9])]  # sums whose products are beyond 2**63
+    for rows, blocks in ((big, {}), (big, {"candidates": 25, "per_block": 2}), (huge, {}), ([(0, []), (20, [0.5]), (3, []), (4, [-0.5, 1.0]), (5, [1.0])], {}), ([(0, []), (1, [])], {})):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        levels = topk.levels(table)
+        got = {tuple(r) for r in topk.top_k(levels, levels.where("vec_id % 20 = 0"), 20, **blocks).select("query_id", "rank", "vec_id", "score").collect()}
+        whole, want = {i: [math.floor(64 * x) for x in v] for i, v in rows}, set()
+        for q in whole:
+            if q % 20 == 0:
+                scores = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+                want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:20])}
+        assert got == want
+
+
 def test_top_k_few_and_none(spark):
     one = spark.createDataFrame([(0, [1, 2]), (5, [3])], "vec_id long, v array<long>")
     assert [tuple(r)[:4] for r in topk.top_k(one, one.where("vec_id = 0"), 20).collect()] == [(0, 1, 5, 3)]
