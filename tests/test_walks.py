@@ -25,3 +25,30 @@ def test_a_walk_does_not_go_through_one_task(spark):
     steps = ((i, "|".join(sorted(map(str, p)))) for i, p in enumerate(zip(nodes, nodes[1:])))
     assert sorted(map(tuple, out.collect())) == [(i, known[k]) for i, k in steps if k in known]
     assert "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
+def test_arcs_found_from_points_are_those_of_the_graph(spark, monkeypatch):
+    """Fire, burning edges and heat on a radius graph that is not stored, against the same on its arcs; and no row of a pair is written."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from emberway.operators import fire, graph
+
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 3), rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(150)] + [(150, 9.0, 9.0, 9.0), (151, 0.5, 0.5, 0.5), (152, 0.5, 0.5, 0.5)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    edges = graph.radius_graph(points, 0.5)
+    arcs, near = graph.arcs(edges), graph.Within(points, 0.5)
+    got = lambda df: sorted(map(tuple, df.collect()))
+    pairs = got(near.met(points.select(F.col("id").alias("src"))).select("src", "dst"))
+    assert pairs == got(arcs)
+    most, counted = [], fire.cut_counted
+    monkeypatch.setattr(fire, "cut_counted", lambda df: (lambda out: most.append(out[1]["n"]) or out)(counted(df)))
+    levels = fire.ignition(near, 0, 8)
+    assert got(levels) == got(fire.ignition(arcs, 0, 8, both_ways=True)) and max(s for _, s in got(levels)) >= 4
+    assert max(most) <= len(rows)
+    burning = levels.where("step <= 2").select("node")
+    assert got(fire.burning_edges(near, burning)) == got(fire.burning_edges(edges, burning).select("src", "dst"))
+    heat = lambda a: [(s, n, round(t, 9)) for s, n, t in got(fire.heat(a, points, 0, 4))]
+    assert heat(near) == heat(arcs)
