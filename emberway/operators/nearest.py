@@ -12,7 +12,7 @@ from emberway.plans.fixpoint import cut, cut_counted
 PICKED = 64  #: probes that are compared with all nodes
 FAN, HELD = 4, 16  #: cells a side in a cell of the next level; nodes in a cell of the lowest level, about
 FEW = 100_000  #: cells of a level, of nine numbers, that are broadcast rather than shuffled
-CELL = ("cx", "cy", "cz")
+CELL, BOX = ("cx", "cy", "cz"), ("bx", "by", "bz")
 LEVEL = 1.5  #: nodes no further than this from the point on the vertical axis are on its level
 
 
@@ -42,10 +42,11 @@ def nearest_nodes(nodes: DataFrame, probes: DataFrame, vertical: str = "y") -> D
 
 
 class Pyramid:
-    """Cells over nodes (id, x, y, z): cubes that hold a few nodes each, FAN of them a side in a cube of the next level, up to one.
+    """Cells over nodes (id, x, y, z): parts of each axis' span that hold a few nodes each, FAN of them a side in a cell of the next level, up to one.
 
     A cell knows the box that its nodes really fill, so a search from the top takes into the next level only
-    cells that could hold a node as near as one that some other cell holds for certain.
+    cells that could hold a node as near as one that some other cell holds for certain. It goes down once for
+    the probes of a box together, so that there are rows for each box and cell, not for each probe and cell.
     """
 
     def __init__(self, nodes: DataFrame):
@@ -55,12 +56,12 @@ class Pyramid:
         self.levels: list[tuple[DataFrame, int]] = []
         if not n:
             return
-        widest = max(bounds[2 * i + 1] - bounds[2 * i] for i in range(3)) or 1.0
         height = 0
         while FAN ** (2 * height) * HELD < n:  # nodes of buildings lie on surfaces, so that two of three axes fill
             height += 1
-        size = widest / FAN**height
-        cell = {f"c{k}": F.least(F.floor((F.col(k) - bounds[2 * i]) / size), F.lit(FAN**height - 1)) for i, k in enumerate(AXES)}
+        self.least = dict(zip(AXES, bounds[::2]))
+        self.size = {k: (bounds[2 * i + 1] - bounds[2 * i]) / FAN**height or 1.0 for i, k in enumerate(AXES)}
+        cell = {f"c{k}": F.least(F.floor((F.col(k) - self.least[k]) / self.size[k]), F.lit(FAN**height - 1)) for k in AXES}
         self.nodes = cut(self.nodes.withColumns(cell))
         box = lambda rows, own: rows.groupBy(*CELL).agg(*(f(own(k, n)).alias(f"{n}{k}") for k in AXES for n, f in (("min", F.min), ("max", F.max))))
         rows, counts = cut_counted(box(self.nodes, lambda k, n: k))
@@ -76,20 +77,24 @@ class Pyramid:
             return probes.select("probe").join(self.nodes.select("id"), F.lit(False))
         flat = [k for k in AXES if k != vertical]
         square = lambda c: c * c
-        gap = lambda k: F.greatest(F.col(f"min{k}") - F.col(f"p{k}"), F.col(f"p{k}") - F.col(f"max{k}"), F.lit(0.0))
-        far = lambda k: F.greatest(F.abs(F.col(f"min{k}") - F.col(f"p{k}")), F.abs(F.col(f"max{k}") - F.col(f"p{k}")))
+        gap = lambda k: F.greatest(F.col(f"min{k}") - F.col(f"high{k}"), F.col(f"low{k}") - F.col(f"max{k}"), F.lit(0.0))
+        far = lambda k: F.greatest(F.col(f"high{k}") - F.col(f"min{k}"), F.col(f"max{k}") - F.col(f"low{k}"))
         low, high = (sum((square(f(k)) for k in flat), F.lit(0.0)) for f in (gap, far))
         if vertical:
             high = F.when(far(vertical) <= LEVEL, high)  # all its nodes are on the level
-        ways = probes.select("probe", *(f"p{k}" for k in AXES), *(F.lit(0).cast("long").alias(c) for c in CELL), F.lit(float("inf")).alias("bound"))
+        side = {k: LEVEL / 8 if k == vertical else 2 * self.size[k] for k in AXES}
+        probes = probes.where(" and ".join(f"not isnan(p{k})" for k in AXES)).withColumns({f"b{k}": F.floor((F.col(f"p{k}") - self.least[k]) / side[k]) for k in AXES})
+        ways = probes.groupBy(*BOX).agg(*(f(f"p{k}").alias(f"{n}{k}") for k in AXES for n, f in (("low", F.min), ("high", F.max))))
+        ways = ways.select("*", *(F.lit(0).cast("long").alias(c) for c in CELL), F.lit(float("inf")).alias("bound"))
+        own = [*BOX, *(f"{n}{k}" for k in AXES for n in ("low", "high"))]
         for cells, n in self.levels[-2::-1]:
             below = cells.withColumns({f"up_{c}": F.floor(F.col(c) / FAN) for c in CELL})
             ways = ways.withColumnsRenamed({c: f"up_{c}" for c in CELL}).join(F.broadcast(below) if n <= FEW else below, [f"up_{c}" for c in CELL])
             ways = ways.where(gap(vertical) <= LEVEL) if vertical else ways
-            bound = F.least("bound", F.min(high).over(W.partitionBy("probe")))
+            bound = F.least("bound", F.min(high).over(W.partitionBy(*BOX)))
             ways = ways.withColumn("low", low).withColumn("bound", bound).where("low <= bound")
-            ways = cut(ways.select("probe", *(f"p{k}" for k in AXES), *CELL, "bound"))
-        met = ways.join(self.nodes, list(CELL))
+            ways = cut(ways.select(*own, *CELL, "bound"))
+        met = probes.join(ways.select(*BOX, *CELL).join(self.nodes, list(CELL)), list(BOX))
         if vertical:
             met = met.where(F.abs(F.col(vertical) - F.col(f"p{vertical}")) <= LEVEL)
         d2 = sum((square(F.col(k) - F.col(f"p{k}")) for k in flat), F.lit(0.0))

@@ -38,3 +38,29 @@ def test_pyramid_of_little(spark, monkeypatch):
     one = spark.createDataFrame([(7, 1.0, 9.0, 1.0)], "id long, x double, y double, z double")
     assert [tuple(r) for r in nearest.nearest_nodes(one, p).collect()] == [(1, 7)]
     assert nearest.nearest_nodes(one.limit(0), p).collect() == []
+
+
+def test_rows_grow_with_boxes_not_probes(spark, monkeypatch):
+    """Probes of a place go down the pyramid together: forty times the probes there, but no more rows between levels."""
+    monkeypatch.setattr(nearest, "HELD", 2)
+    rng = random.Random(6)
+    n = spark.createDataFrame([(i, rng.uniform(0, 40), float(rng.choice([0, 3, 6])), rng.uniform(0, 40)) for i in range(200)], "id long, x double, y double, z double")
+    places = [(rng.uniform(0, 40), rng.choice([0.0, 3.2]), rng.uniform(0, 40)) for _ in range(8)]
+    cut, seen = nearest.cut, []
+
+    def counting(df):
+        out = cut(df)
+        if "bound" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "cut", counting)
+    pyramid, most = nearest.Pyramid(n), []
+    for copies in (1, 40):
+        rows = [(i * 8 + j, *p) for i in range(copies) for j, p in enumerate(places)]
+        p = spark.createDataFrame(rows, "probe long, px double, py double, pz double")
+        got = sorted((r["probe"], r["id"]) for r in pyramid.nearest(p, "y").collect())
+        assert len(got) == len(rows) and got == plain([tuple(r) for r in n.collect()], rows)
+        most.append(max(seen))
+        seen.clear()
+    assert most[0] == most[1]
