@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from emberway.functions.styles import temperature_rgb
 from emberway.operators.graph import edge_key, pairs_within
+from emberway.plans.fixpoint import cut_counted
+
+FEW = 100_000  #: squares of walls, of eight numbers, that are broadcast rather than shuffled
 
 
 def door_links(doors: DataFrame, floors: DataFrame, k: int = 5, reach: float = 3.0) -> DataFrame:
@@ -30,16 +33,29 @@ def _side(ax: str, ay: str, bx: str, by: str, px: str, py: str) -> Column:
     return F.signum((c(bx) - c(ax)) * (c(py) - c(ay)) - (c(by) - c(ay)) * (c(px) - c(ax)))
 
 
-def not_through_walls(edges: DataFrame, walls: DataFrame, cell: float = 2.0) -> DataFrame:
+def not_through_walls(edges: DataFrame, walls: DataFrame, cell: float = 2.0, longest: float | None = None) -> DataFrame:
     """Edges (src, dst, a_x to b_z, is_door) that cross no wall line of their height; door edges stay.
 
-    Both are dealt into the squares that their boxes touch, so that only neighbours meet.
+    Both are dealt into the squares that their boxes touch, so that only neighbours meet; walls along the same line
+    count once. With longest, a length on x or y that no edge is above, and cells of more than that, an edge touches
+    two squares an axis at most: it then looks into that of its least corner only, as walls stand in those below
+    theirs too, and edges are neither repeated nor, where walls are few, shuffled.
     """
+    walls = walls.select("sx", "sy", "ex", "ey", "z_min", "z_max").distinct()
     squares = lambda df, x1, y1, x2, y2: df.withColumn("cx", F.explode(F.sequence(F.floor(F.least(x1, x2) / cell), F.floor(F.greatest(x1, x2) / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.least(y1, y2) / cell), F.floor(F.greatest(y1, y2) / cell))))
     e = squares(edges.where("not is_door"), "a_x", "a_y", "b_x", "b_y")
     w = squares(walls, "sx", "sy", "ex", "ey")
-    met = e.join(w, ["cx", "cy"]).where(F.greatest("a_z", "b_z") >= F.col("z_min")).where(F.least("a_z", "b_z") <= F.col("z_max"))
+    high = (F.greatest("a_z", "b_z") >= F.col("z_min")) & (F.least("a_z", "b_z") <= F.col("z_max"))
     crosses = (_side("a_x", "a_y", "b_x", "b_y", "sx", "sy") * _side("a_x", "a_y", "b_x", "b_y", "ex", "ey") <= 0) & (_side("sx", "sy", "ex", "ey", "a_x", "a_y") * _side("sx", "sy", "ex", "ey", "b_x", "b_y") <= 0)
+    if longest is not None and longest < cell:
+        for k in ("cx", "cy"):
+            w = w.withColumn(k, F.explode(F.array(F.col(k), F.col(k) - 1)))
+        w, counts = cut_counted(w.distinct())
+        w = F.broadcast(w) if counts["n"] <= FEW else w
+        at = edges.withColumns({f"edge_c{k}": F.floor(F.least(f"a_{k}", f"b_{k}") / cell) for k in "xy"})
+        same = (F.col("edge_cx") == F.col("cx")) & (F.col("edge_cy") == F.col("cy"))
+        return at.join(w, same & ~F.col("is_door") & high & crosses, "left_anti").drop("edge_cx", "edge_cy")
+    met = e.join(w, ["cx", "cy"]).where(high)
     cut = met.where(crosses).select("src", "dst").distinct()
     return edges.join(cut.withColumn("cut", F.lit(True)), ["src", "dst"], "left").where("is_door or cut is null").drop("cut")
 

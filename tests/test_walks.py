@@ -52,3 +52,28 @@ def test_arcs_found_from_points_are_those_of_the_graph(spark, monkeypatch):
     assert got(fire.burning_edges(near, burning)) == got(fire.burning_edges(edges, burning).select("src", "dst"))
     heat = lambda a: [(s, n, round(t, 9)) for s, n, t in got(fire.heat(a, points, 0, 4))]
     assert heat(near) == heat(arcs)
+
+
+def test_walls_cut_short_edges_in_one_pass(spark):
+    """With a bound on lengths the same edges stay, and edges are not shuffled."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from emberway.operators import extensions, graph
+
+    rng = random.Random(3)
+    points = spark.createDataFrame([(i, rng.uniform(-2, 2), rng.uniform(-2, 2), rng.uniform(0, 1)) for i in range(150)], "id long, x double, y double, z double")
+    lines = [(i, x, y, x + rng.choice([0, 1.5]), y + rng.choice([0, 0.7]), 0.2, 0.8) for i in range(12) for x, y in [(rng.uniform(-2, 1), rng.uniform(-2, 1))]]
+    walls = spark.createDataFrame(lines + [(50 + i, *w) for i, *w in lines], "id long, sx double, sy double, ex double, ey double, z_min double, z_max double")
+    edges = graph.radius_graph_with_ends(points, 0.4).withColumn("is_door", F.col("src") % 10 == 0)
+    got = lambda df: sorted(map(tuple, df.select("src", "dst", "is_door").collect()))
+    short = extensions.not_through_walls(edges, walls, 0.5, longest=0.4)
+    assert got(short) == got(extensions.not_through_walls(edges, walls, 0.5)) and 0 < short.count() < edges.count()
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("SortMergeJoin") <= 1
+    temperatures = spark.createDataFrame([(i, 20.0 + 9 * i) for i in range(0, 150, 3)], "node long, t double")
+    from emberway.operators import paths
+
+    hazard = lambda df: sorted(map(tuple, df.select("src", "dst", "length", "avg_t", "hazard", "cost").collect()))
+    assert hazard(paths.hazard_radius_graph(points, 0.4, temperatures, 0.5)) == hazard(paths.hazard_edges(graph.radius_graph(points, 0.4), temperatures, 0.5))
