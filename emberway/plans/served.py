@@ -22,7 +22,7 @@ def _session(spark, sf) -> GraphSession:
     nodes = cells.select("id", *((F.col(f"i{k}") * graphs.CELL).alias(k) for k in "xyz"))
     boxes = nodes.select("id", *((F.col(k) + s * graphs.CELL / 2).alias(f"{name}{k}") for k in "xyz" for name, s in (("min", -1), ("max", 1))))
     session.register("cell", nodes, graph.grid_links(cells).withColumn("d", F.lit(graphs.CELL)), boxes)
-    session.register("ifc", x.points(spark, sf), cut(x.edges(spark, sf)))
+    session.register("ifc", x.points(spark, sf), x.edges(spark, sf), radius=x.RADIUS)
     return session
 
 

@@ -14,12 +14,16 @@ class GraphSession:
 
     def __init__(self, spark: SparkSession, name: str = "default"):
         self.spark, self.name = spark, name
+        self.radius: dict[str, float] = {}
 
     def _view(self, graph_id: str, what: str) -> str:
         return f"graph_{self.name}_{graph_id}_{what}"
 
-    def register(self, graph_id: str, nodes: DataFrame, edges: DataFrame, cells: DataFrame | None = None) -> None:
-        """nodes: id, x, y, z; edges: src, dst, d, one row an edge; cells: bounds by cell id."""
+    def register(self, graph_id: str, nodes: DataFrame, edges: DataFrame, cells: DataFrame | None = None, radius: float | None = None) -> None:
+        """nodes: id, x, y, z; edges: src, dst, d, one row an edge; cells: bounds by cell id; radius: if the edges are all pairs of nodes within it."""
+        self.radius.pop(graph_id, None)
+        if radius is not None:
+            self.radius[graph_id] = radius
         nodes.createOrReplaceTempView(self._view(graph_id, "node"))
         edges.createOrReplaceTempView(self._view(graph_id, "edge"))
         if cells is not None:
@@ -73,7 +77,9 @@ class GraphSession:
         if radial:
             step = graph.step_size(edges, nodes).first()["step"]
             return fire.timeline(fire.radial(nodes, start, step, max_steps, end))
-        return fire.timeline(fire.ignition(graph.arcs(edges), start, max_steps))
+        radius = self.radius.get(graph_id)
+        arcs = graph.arcs(edges) if radius is None else graph.Within(nodes.select("id", "x", "y", "z"), radius)
+        return fire.timeline(fire.ignition(arcs, start, max_steps))
 
     def learned_route(self, graph_id: str, start=None, end=None, episodes: int = 200, max_steps: int = 200, use_fire: bool = True, seed: int = 0) -> DataFrame:
         """pos, node, x, y, z of the route that an agent learns from start to the exit `end`, while a fire spreads breadth first from its start."""

@@ -33,7 +33,8 @@ def test_arcs_found_from_points_are_those_of_the_graph(spark, monkeypatch):
 
     from pyspark.sql import functions as F
 
-    from emberway.operators import fire, graph
+    from emberway.operators import fire, graph, learning
+    from emberway.plans.sessions import GraphSession
 
     rng = random.Random(8)
     rows = [(i, rng.uniform(0, 3), rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(150)] + [(150, 9.0, 9.0, 9.0), (151, 0.5, 0.5, 0.5), (152, 0.5, 0.5, 0.5)]
@@ -52,6 +53,11 @@ def test_arcs_found_from_points_are_those_of_the_graph(spark, monkeypatch):
     assert got(fire.burning_edges(near, burning)) == got(fire.burning_edges(edges, burning).select("src", "dst"))
     heat = lambda a: [(s, n, round(t, 9)) for s, n, t in got(fire.heat(a, points, 0, 4))]
     assert heat(near) == heat(arcs)
+    assert got(learning.values(near, 7, 3)) == got(learning.values(arcs, 7, 3))
+    session = GraphSession(spark, "near")
+    session.register("stored", points, edges)
+    session.register("found", points, edges, radius=0.5)
+    assert got(session.fire("found", 0, radial=False, max_steps=3)) == got(session.fire("stored", 0, radial=False, max_steps=3))
 
 
 def test_walls_cut_short_edges_in_one_pass(spark):
