@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberway.functions.styles import temperature_rgb
-from emberway.operators.graph import edge_key, pairs_within
+from emberway.operators import tiles
+from emberway.operators.graph import Within, edge_key
 from emberway.plans.fixpoint import cut_counted
 
 FEW = 100_000  #: squares of walls, of eight numbers, that are broadcast rather than shuffled
@@ -15,9 +15,8 @@ FEW = 100_000  #: squares of walls, of eight numbers, that are broadcast rather
 
 def door_links(doors: DataFrame, floors: DataFrame, k: int = 5, reach: float = 3.0) -> DataFrame:
     """src (a door), dst, d: each door's bottom centre with its k nearest floor nodes within reach."""
-    near = pairs_within(doors.select("id", "x", "y", "z"), floors.select("id", "x", "y", "z"), reach)
-    ranked = near.withColumn("k", F.row_number().over(W.partitionBy("a_id").orderBy("d", "b_id"))).where(F.col("k") <= k)
-    return ranked.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "d")
+    schema = f"src {dict(doors.dtypes)['id']}, dst {dict(floors.dtypes)['id']}, d double"
+    return tiles.folded(floors.select("id", "x", "y", "z"), doors.select("id", "x", "y", "z"), reach, tiles.nearest(k), schema, apart=False)
 
 
 def wall_lines(walls: DataFrame) -> DataFrame:
@@ -60,14 +59,17 @@ def not_through_walls(edges: DataFrame, walls: DataFrame, cell: float = 2.0, lon
     return edges.join(cut.withColumn("cut", F.lit(True)), ["src", "dst"], "left").where("is_door or cut is null").drop("cut")
 
 
-def edge_colors(edges: DataFrame, shown: DataFrame, temperatures: DataFrame, ambient: float = 20.0) -> DataFrame:
+def edge_colors(edges: DataFrame | Within, shown: DataFrame, temperatures: DataFrame, ambient: float = 20.0) -> DataFrame:
     """edge, t, red, green, blue for the edges (edge, src, dst) that a viewer shows: those that a graph's edges (src, dst) run along, either way.
 
     t is the mean of the ends' temperatures (node, t); an end without one has that of its surroundings. Of shown edges
     between the same nodes the first has the colour.
     """
     first = shown.groupBy(edge_key().alias("key")).agg(F.min(F.struct("edge", "src", "dst")).alias("first")).select("key", "first.*")
-    met = first.join(edges.select(edge_key().alias("key")), "key", "left_semi")
+    if isinstance(edges, Within):  # only the edges that are shown are looked at
+        met = first.join(edges.costs(first.select("src", "dst", "key")).select("key"), "key", "left_semi")
+    else:
+        met = first.join(edges.select(edge_key().alias("key")), "key", "left_semi")
     for end in ("src", "dst"):
         known = temperatures.select(F.col("node").alias(end), F.col("t").alias(f"{end}_t"))
         met = met.join(known, end, "left").withColumn(f"{end}_t", F.coalesce(f"{end}_t", F.lit(ambient)))

@@ -1,10 +1,12 @@
 """Arcs that are found in tiles of points, against the same arcs as a table."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from emberway.operators import fire, graph, paths, tiles
+from emberway.operators import extensions, fire, graph, paths, tiles
+from emberway.streaming import spread
 
 R = 0.6
 
@@ -44,3 +46,27 @@ def test_heat_by_tiles_without_stored_arcs(spark, monkeypatch):
     monkeypatch.setattr(graph, "pairs_within", None)  # pairs are not joined
     monkeypatch.setattr(tiles.Dealt.__init__, "__defaults__", (3,))  # crowded cubes come in parts
     assert told(fire.heat(graph.Within(points, 0.6), points, 0, 3)) == want and max(t for (s, n), t in want.items() if s == 2 and n) > 20
+
+
+def test_links_steps_and_shown_edges_join_no_pairs(spark, monkeypatch, tmp_path):
+    points, warm = drawn(spark)
+    edges = graph.radius_graph(points, R).localCheckpoint()
+    rows = {r["id"]: (r["x"], r["y"], r["z"]) for r in points.collect()}
+    burnt = {(r["node"], r["step"]) for r in fire.ignition(graph.arcs(edges), 0, 4).collect()}
+    step = graph.step_size(edges, points).first()["step"]
+    shown = spark.createDataFrame([(i, i % 9, (i * 7) % 62) for i in range(40)], "edge long, src long, dst long")
+    colors = sorted(tuple(r) for r in extensions.edge_colors(edges, shown, warm).collect())
+    monkeypatch.setattr(graph, "pairs_within", None)
+    monkeypatch.setattr(tiles.Dealt.__init__, "__defaults__", (3,))
+    arcs = graph.Within(points, R)
+    assert sorted(tuple(r) for r in extensions.edge_colors(arcs, shown, warm).collect()) == colors and colors
+    assert graph.step_size(arcs, points).first()["step"] == step
+    doors, floors = points.where("id % 4 = 0"), points.where("id % 4 > 0")
+    want = set()
+    for a in (i for i in rows if i % 4 == 0):
+        near = sorted((math.dist(rows[a], rows[b]), b) for b in rows if b % 4)
+        want |= {(a, b) for d, b in [p for p in near if p[0] <= R][:2]}
+    assert {(r["src"], r["dst"]) for r in extensions.door_links(doors, floors, 2, R).collect()} == want
+    stream = spread.FireStream(arcs, f"file://{tmp_path}/fire", 4)
+    stream.ignite(0)
+    assert {(r["node"], r["step"]) for r in stream.burn_out().collect()} == burnt
