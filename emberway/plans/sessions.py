@@ -74,12 +74,12 @@ class GraphSession:
         """step, part, parts, nodes: the precomputed timeline of a fire, radial or breadth first."""
         nodes, edges = self.nodes(graph_id), self.edges(graph_id)
         start = self.resolve(graph_id, node=start)
+        radius = self.radius.get(graph_id)
+        near = None if radius is None else graph.Within(nodes.select("id", "x", "y", "z"), radius)
         if radial:
-            step = graph.step_size(edges, nodes).first()["step"]
+            step = graph.step_size(near or edges, nodes).first()["step"]
             return fire.timeline(fire.radial(nodes, start, step, max_steps, end))
-        radius = self.radius.get(graph_id)
-        arcs = graph.arcs(edges) if radius is None else graph.Within(nodes.select("id", "x", "y", "z"), radius)
-        return fire.timeline(fire.ignition(arcs, start, max_steps))
+        return fire.timeline(fire.ignition(near or graph.arcs(edges), start, max_steps))
 
     def learned_route(self, graph_id: str, start=None, end=None, episodes: int = 200, max_steps: int = 200, use_fire: bool = True, seed: int = 0) -> DataFrame:
         """pos, node, x, y, z of the route that an agent learns from start to the exit `end`, while a fire spreads breadth first from its start."""
