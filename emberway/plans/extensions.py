@@ -55,4 +55,4 @@ SELECT edge, {r('t')} AS t, {r('least(greatest(n - 2, 0), 1)')} AS red, {r('CASE
 def colors(spark, sf):
     """The edges shown are a line item each, between the nodes of its part's and its supplier's number."""
     shown = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("edge"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return rounded(extensions.edge_colors(x.edges(spark, sf).select("src", "dst"), shown, x.measured_temperatures(spark, sf)), "t", "red", "green", "blue")
+    return rounded(extensions.edge_colors(x.within(spark, sf), shown, x.measured_temperatures(spark, sf)), "t", "red", "green", "blue")
