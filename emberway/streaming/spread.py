@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from emberway.operators import tiles
+from emberway.operators.graph import Within
+
 
 class FireStream:
     """Breadth-first fire over arcs (src, dst), from messages (node, step) in a shared folder that it writes back to itself.
@@ -22,10 +25,11 @@ class FireStream:
     on from its checkpoint and has every node once.
     """
 
-    def __init__(self, arcs: DataFrame, folder: str, max_steps: int = 60):
-        self.spark: SparkSession = arcs.sparkSession
-        self.arcs, self.folder, self.max_steps = arcs.select("src", "dst"), folder.rstrip("/"), max_steps
-        kind = dict(arcs.dtypes)["src"]
+    def __init__(self, arcs: DataFrame | Within, folder: str, max_steps: int = 60):
+        near = isinstance(arcs, Within)
+        self.spark: SparkSession = (arcs.points if near else arcs).sparkSession
+        self.arcs, self.folder, self.max_steps = arcs if near else arcs.select("src", "dst"), folder.rstrip("/"), max_steps
+        kind = arcs.kind if near else dict(arcs.dtypes)["src"]
         self.schema = f"node {kind}, step int"
 
     def ignite(self, *nodes) -> None:
@@ -45,8 +49,11 @@ class FireStream:
         level, out = f"{self.folder}/levels/batch-{batch}", f"{self.folder}/messages/batch-{batch}"
         caught.write.mode("overwrite").parquet(level)
         caught = self.spark.read.schema(self.schema).parquet(level)
-        reached = caught.where(F.col("step") < self.max_steps).join(self.arcs, F.col("node") == F.col("src"))
-        reached = reached.groupBy(F.col("dst").alias("node")).agg((F.min("step") + 1).alias("step"))
+        reached = caught.where(F.col("step") < self.max_steps)
+        if isinstance(self.arcs, Within):
+            reached = self.arcs.folded(reached.select(F.col("node").alias("src"), "step"), tiles.least_step, self.schema)
+        else:
+            reached = reached.join(self.arcs, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((F.min("step") + 1).alias("step"))
         if caught.head(1):  # an empty file would be a message of its own
             reached.write.mode("overwrite").parquet(out)
 
