@@ -70,3 +70,24 @@ def test_links_steps_and_shown_edges_join_no_pairs(spark, monkeypatch, tmp_path)
     stream = spread.FireStream(arcs, f"file://{tmp_path}/fire", 4)
     stream.ignite(0)
     assert {(r["node"], r["step"]) for r in stream.burn_out().collect()} == burnt
+
+
+def test_pairs_of_a_graph_come_from_tiles_by_length(spark, monkeypatch):
+    points, _ = drawn(spark)
+    points = points.withColumn("is_stair", F.col("id") % 3 == 0).localCheckpoint()
+    rows = {r["id"]: r for r in points.collect()}
+    near = lambda r, same: {(a, b) for a in rows for b in rows if a < b and math.dist(rows[a][1:4], rows[b][1:4]) <= r and same(rows[a], rows[b])}
+    monkeypatch.setattr(graph, "pairs_within", None)  # pairs are not joined
+    got = [(r["src"], r["dst"], r["d"], r["task"]) for r in graph.radius_graph(points, R).withColumn("task", F.spark_partition_id()).collect()]
+    assert len(got) == len({p[:2] for p in got}) and {p[:2] for p in got} == near(R, lambda a, b: True)
+    assert all(abs(d - math.dist(rows[a][1:4], rows[b][1:4])) < 1e-9 for a, b, d, _ in got)
+    tiled = sum(p[3] != q[3] or p[2] > q[2] for p, q in zip(got, got[1:]))
+    assert tiled < len(got) / 4  # equal lengths of a tile lie next to each other
+    monkeypatch.setattr(tiles.Dealt.__init__, "__defaults__", (3,))  # crowded cubes come in parts
+    monkeypatch.setattr(tiles, "EMIT", 5)
+    stair, floor = near(0.7, lambda a, b: a["is_stair"] and b["is_stair"]), near(R, lambda a, b: not (a["is_stair"] or b["is_stair"]))
+    want = {("stair", *p) for p in stair} | {("floor", *p) for p in floor}
+    assert {(r["kind"], r["src"], r["dst"]) for r in graph.hybrid_graph(points, 0.7, R).collect()} == want and stair and floor
+    along = lambda a, b: max(u := abs(rows[a]["x"] - rows[b]["x"]), v := abs(rows[a]["y"] - rows[b]["y"])) <= 0.01 or min(u, v) <= 0.25 * max(u, v)
+    straight = {(r["kind"], r["src"], r["dst"]) for r in graph.hybrid_graph(points, 0.7, R, straight=True).collect()}
+    assert straight == {p for p in want if p[0] == "stair" or along(*p[1:])} and straight != want
