@@ -91,3 +91,14 @@ def test_pairs_of_a_graph_come_from_tiles_by_length(spark, monkeypatch):
     along = lambda a, b: max(u := abs(rows[a]["x"] - rows[b]["x"]), v := abs(rows[a]["y"] - rows[b]["y"])) <= 0.01 or min(u, v) <= 0.25 * max(u, v)
     straight = {(r["kind"], r["src"], r["dst"]) for r in graph.hybrid_graph(points, 0.7, R, straight=True).collect()}
     assert straight == {p for p in want if p[0] == "stair" or along(*p[1:])} and straight != want
+
+
+def test_fire_over_points_is_found_in_tiles(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, *(rng.uniform(0, 2) for _ in range(3))) for i in range(200)] + [(200, 9.0, 9.0, 9.0), (201, 1.0, 1.0, 1.0), (202, 1.0, 1.0, 1.0), (203, float("nan"), 1.0, 1.0), (204, None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    want = sorted(map(tuple, fire.ignition(graph.arcs(graph.radius_graph(points, 0.4)), 0, 6).collect()))
+    monkeypatch.setattr(graph, "pairs_within", None)  # pairs were joined, by one task where their ends take little space
+    monkeypatch.setattr(tiles.Dealt.__init__, "__defaults__", (3,))
+    assert sorted(map(tuple, fire.ignition(graph.Within(points, 0.4), 0, 6).collect())) == want
+    assert max(step for _, step in want) >= 3
