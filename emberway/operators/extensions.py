@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberway.functions.geometry import AXES
 from emberway.functions.styles import temperature_rgb
 from emberway.operators import tiles
-from emberway.operators.graph import Within, edge_key
+from emberway.operators.graph import Within, edge_key, radius_graph
 from emberway.plans.fixpoint import cut_counted
 
 FEW = 100_000  #: squares of walls, of eight numbers, that are broadcast rather than shuffled
@@ -59,6 +63,42 @@ def not_through_walls(edges: DataFrame, walls: DataFrame, cell: float = 2.0, lon
     return edges.join(cut.withColumn("cut", F.lit(True)), ["src", "dst"], "left").where("is_door or cut is null").drop("cut")
 
 
+def uncut_edges(points: DataFrame, r: float, walls: DataFrame, is_door: Callable) -> DataFrame:
+    """src, dst, is_door: not_through_walls() of the radius graph over points (id, x, y, z), whose pairs meet walls where they are found.
+
+    is_door: whether an edge is one, of its ends' columns as arrays. Walls go to all tasks, those along the same line once; on which side of
+    a wall's line an end lies is told once a pair, and only pairs on both sides of a line near them are looked at further.
+    """
+    walls = walls.select("sx", "sy", "ex", "ey", "z_min", "z_max").dropna().distinct().toPandas().to_numpy(np.float64).reshape(-1, 6)
+    sent = points.sparkSession.sparkContext.broadcast(walls)
+    side = lambda ax, ay, bx, by, px, py: np.sign((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+
+    def lets(a, b):
+        stays, some = np.ones(len(a["id"]), bool), np.flatnonzero(~is_door(a, b))
+        if not len(some):
+            return stays
+        low, high = ({k: f(a[k][some], b[k][some]) for k in AXES} for f in (np.minimum, np.maximum))
+        w = sent.value
+        near = (np.maximum(w[:, 0], w[:, 2]) >= low["x"].min()) & (np.minimum(w[:, 0], w[:, 2]) <= high["x"].max()) & (np.maximum(w[:, 1], w[:, 3]) >= low["y"].min())
+        near &= (np.minimum(w[:, 1], w[:, 3]) <= high["y"].max()) & (w[:, 4] <= high["z"].max()) & (w[:, 5] >= low["z"].min())
+        ax, ay, bx, by, lz, hz = a["x"][some], a["y"][some], b["x"][some], b["y"][some], low["z"], high["z"]
+        for sx, sy, ex, ey, z_min, z_max in w[near]:
+            at = np.flatnonzero((hz >= z_min) & (lz <= z_max) & (side(sx, sy, ex, ey, ax, ay) * side(sx, sy, ex, ey, bx, by) <= 0))
+            if not len(at):
+                continue
+            ends = ax[at], ay[at], bx[at], by[at]
+            at = at[side(*ends, sx, sy) * side(*ends, ex, ey) <= 0]
+            if len(at):
+                stays[some[at]] = False
+                rest = np.ones(len(some), bool)
+                rest[at] = False
+                some, ax, ay, bx, by, lz, hz = (v[rest] for v in (some, ax, ay, bx, by, lz, hz))
+        return stays
+
+    edges = radius_graph(points, r, lets=lets, told=lambda a, b, d: {"is_door": is_door(a, b)}, columns={"is_door": "boolean"}, by=("src", "dst"))
+    return edges.select("src", "dst", "is_door")
+
+
 def edge_colors(edges: DataFrame | Within, shown: DataFrame, temperatures: DataFrame, ambient: float = 20.0) -> DataFrame:
     """edge, t, red, green, blue for the edges (edge, src, dst) that a viewer shows: those that a graph's edges (src, dst) run along, either way.
 

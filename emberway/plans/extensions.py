@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberway.operators import extensions
-from emberway.operators.graph import radius_graph_with_ends
 from emberway.plans import fixtures as x
 from emberway.plans._registry import query, r, rounded, table
 
-REACH, CELL = 0.2, 0.2
+REACH = 0.2
 
 # a wall a supplier, long on x or on y, of four heights
 _AT = {"minx": "(k * 37 % 100 - 50) / 125.0::DOUBLE", "miny": "(k * 53 % 100 - 50) / 125.0::DOUBLE"}
@@ -45,8 +44,7 @@ def _turn(a: str, b: str, p: str) -> str:
 SELECT src, dst, is_door FROM e WHERE is_door OR NOT EXISTS (SELECT 1 FROM lines WHERE greatest(a_z, b_z) >= z_min AND least(a_z, b_z) <= z_max
   AND {_turn('a_', 'b_', 's')} * {_turn('a_', 'b_', 'e')} <= 0 AND {_turn('s', 'e', 'a_')} * {_turn('s', 'e', 'b_')} <= 0)""")
 def uncut(spark, sf):
-    e = radius_graph_with_ends(x.points(spark, sf), x.RADIUS).withColumn("is_door", F.col("src") % 10 == 0)
-    return extensions.not_through_walls(e, _walls(spark, sf), CELL, longest=x.RADIUS).select("src", "dst", "is_door")
+    return extensions.uncut_edges(x.points(spark, sf), x.RADIUS, _walls(spark, sf), lambda a, b: a["id"] % 10 == 0)
 
 
 @query("x4_edge_colors", f"""WITH {x.EDGES}, {x.TEMPS}, k AS (SELECT least(src::VARCHAR, dst::VARCHAR) || '|' || greatest(src::VARCHAR, dst::VARCHAR) AS key FROM edges), shown AS (SELECT min(l_orderkey * 8 + l_linenumber) AS edge, least(l_partkey::VARCHAR, l_suppkey::VARCHAR) || '|' || greatest(l_partkey::VARCHAR, l_suppkey::VARCHAR) AS key, min(least(l_partkey, l_suppkey)) AS a, max(greatest(l_partkey, l_suppkey)) AS b FROM lineitem GROUP BY key),
