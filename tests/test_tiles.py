@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from emberway.functions.geometry import distance, half_up, squared
 from emberway.operators import extensions, fire, graph, paths, tiles
+from emberway.plans import catalog
 from emberway.streaming import spread
 
 R = 0.6
@@ -102,3 +105,45 @@ def test_fire_over_points_is_found_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(tiles.Dealt.__init__, "__defaults__", (3,))
     assert sorted(map(tuple, fire.ignition(graph.Within(points, 0.4), 0, 6).collect())) == want
     assert max(step for _, step in want) >= 3
+
+
+def test_rounding_in_tasks_is_that_of_spark(spark):
+    rng = random.Random(9)
+    x = [rng.uniform(-1, 1) * 10 ** rng.randrange(-7, 14) for _ in range(3000)] + [k / 2e6 for k in range(-200, 200)] + [0.1234565, 1.0000005, 2.5e-7, -0.0, 1e300, float("inf"), float("nan")]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6) + 0.0).collect()]
+    assert list(map(repr, half_up(np.array(x), 6).tolist())) == list(map(repr, want))
+
+
+def test_squared_lengths_and_hazard_costs_come_from_tiles(spark, monkeypatch):
+    points, warm = drawn(spark)
+    warm = warm.where("node % 3 = 0").localCheckpoint()
+    six = lambda df, *names: sorted(map(tuple, df.withColumns({n: F.round(n, 6) + 0.0 for n in names}).collect()))
+    ends = graph.radius_graph_with_ends(points, R)
+    want = six(ends.select("src", "dst", squared("a_", "b_", ("x", "y")).alias("d2_flat"), squared("a_", "b_").alias("d2")), "d2_flat", "d2")
+    costs = six(paths.hazard_edges(ends.withColumn("d", distance("a_", "b_")), warm, 0.5), "length", "avg_t", "hazard", "cost")
+    monkeypatch.setattr(graph, "pairs_within", None)  # pairs were joined, and came in no order
+    assert sorted(map(tuple, graph.squared_lengths(points, R, 6).collect())) == want
+    got = paths.hazard_radius_graph(points, R, warm, 0.5, digits=6).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:6] for r in got) == costs and len({r["avg_t"] for r in got}) > 3
+    assert sum(p["task"] == q["task"] and (p["avg_t"], p["length"]) > (q["avg_t"], q["length"]) for p, q in zip(got, got[1:])) < len(got) / 4
+
+
+def test_walls_meet_pairs_in_tiles(spark, monkeypatch):
+    rng = random.Random(3)
+    points = spark.createDataFrame([(i, rng.uniform(-2, 2), rng.uniform(-2, 2), rng.uniform(0, 1)) for i in range(150)], "id long, x double, y double, z double").localCheckpoint()
+    lines = [(i, x, y, x + rng.choice([0, 1.5]), y + rng.choice([0, 0.7]), 0.2, 0.8) for i in range(12) for x, y in [(rng.uniform(-2, 1), rng.uniform(-2, 1))]]
+    walls = spark.createDataFrame(lines + [(50 + i, *w) for i, *w in lines], "id long, sx double, sy double, ex double, ey double, z_min double, z_max double")
+    edges = graph.radius_graph_with_ends(points, 0.4).withColumn("is_door", F.col("src") % 10 == 0)
+    want = sorted(map(tuple, extensions.not_through_walls(edges, walls, 0.5).select("src", "dst", "is_door").collect()))
+    n = edges.count()
+    monkeypatch.setattr(graph, "pairs_within", None)  # pairs were joined, and each with its walls
+    monkeypatch.setattr(tiles.Dealt.__init__, "__defaults__", (7,))
+    uncut = lambda walls: sorted(map(tuple, extensions.uncut_edges(points, 0.4, walls, lambda a, b: a["id"] % 10 == 0).collect()))
+    assert uncut(walls) == want and 0 < len(want) < n
+    assert len(uncut(walls.where("false"))) == n
+
+
+def test_exported_edges_lie_next_to_those_that_begin_alike(spark):
+    rows = catalog.QUERIES["s11_contract_export"](spark, "/root/testdata/sf0.001").where("type = 'edge'").withColumn("task", F.spark_partition_id()).collect()
+    heads = [(r["task"], r["uid"].split("_")[0]) for r in rows]
+    assert sum(a != b for a, b in zip(heads, heads[1:])) < len(heads) / 2  # by length nearly all differed
